@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import loading
 
-QUERIES: dict = {}
-SQL: dict = {}
+MODULES = (loading,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
