@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import table
 from .deliveries import first_delivery
 from .frequent import most_frequent
+from .mixing import byte_tokens, mix_report, mixture, shuffled
+from .splitting import LIMIT, split_oversized
 from .term_counts import marked, term_counts
 
 
@@ -60,7 +62,48 @@ def p3_term_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts)}
+def oversized(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of all documents and refrow rows over the limit.
+
+    Token spans are only fetched for rows that may need them: with a stretch so long that it can
+    exceed the limit without white space or punctuation.
+    """
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("item_kind"), F.col("doc_id").alias("item_id"), "text", F.lit(None).cast("array<int>").alias("edges"))
+    long = table(spark, d, "refrow").select("row_id", "text", "arrived_at").filter(F.octet_length("text") > LIMIT)
+    long = first_delivery(long, ["row_id"], ["arrived_at", "text"]).drop("arrived_at")
+    solid = F.col("text").rlike(r"[^\s\p{P}]{%d,}" % (LIMIT // 4))
+    spans = table(spark, d, "token_span").select("row_id", "begin_off", "end_off")
+    spans = spans.join(long.filter(solid).select("row_id").distinct(), "row_id", "left_semi")
+    edges = spans.groupBy("row_id").agg(F.sort_array(F.array_union(F.collect_set("begin_off"), F.collect_set("end_off"))).alias("edges"))
+    rows = long.join(edges, "row_id", "left").select(F.lit("refrow").alias("item_kind"), F.col("row_id").alias("item_id"), "text", "edges")
+    return split_oversized(docs.unionByName(rows))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(spark, d).filter("piece_no = 0").select("item_kind", "item_id", F.col("item_cut").alias("cut_kind"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return oversized(spark, d).drop("item_cut")
+
+
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", "text").withColumn("n_tokens", byte_tokens(F.col("text")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(sized(spark, d), table(spark, d, "mix_target")).filter("short").select("source")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return shuffled(mixture(sized(spark, d), table(spark, d, "mix_target")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(sized(spark, d), table(spark, d, "mix_target"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p6_found, p6_pieces, p8_found, p8_mixture, p8_shares)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
@@ -83,4 +126,8 @@ SQL = {
     "p2_found": f"select field_name, item from ({P2})",
     "p3_term_counts": P3,
     "p3_found": f"with r as ({P3}) select field_name, term, 'rare' mark from r where rare union all select field_name, term, 'common' from r where common",
+    "p6_found": """with i as (select 'documents' item_kind, doc_id item_id, text from documents union all select 'refrow', row_id, arg_min(text, arrived_at) from refrow where strlen(text) > 4192 group by row_id)
+select item_kind, item_id, case when list_max(list_transform(regexp_split_to_array(text, '[\\s\\v\\x1c-\\x1f\\x85\\pZ\\p{P}]'), lambda x: strlen(x))) > 4192 then 'forced' else 'natural' end cut_kind from i where strlen(text) > 4192""",
+    "p8_found": """with s as (select source, sum(coalesce(strlen(text), 0) + 1) n from documents group by source), t as (select sum(n) total from s)
+select source from mix_target left join s using (source), t where target_share * total > max_repeats * coalesce(n, 0)""",
 }
