@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .deliveries import first_delivery
 from .frequent import most_frequent
+from .lookalikes import canonical_forms, lookalike_pairs
 from .mixing import byte_tokens, mix_report, mixture, shuffled
 from .splitting import LIMIT, split_oversized
 from .term_counts import marked, term_counts
@@ -103,7 +104,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(sized(spark, d), table(spark, d, "mix_target"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p6_found, p6_pieces, p8_found, p8_mixture, p8_shares)}
+def looking_alike(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "refrow").select(F.lit("text").alias("field"), F.col("row_id").alias("key"), "text")
+    surfaces = table(spark, d, "surface_form").select(F.lit("surface").alias("field"), F.col("surface_id").alias("key"), F.col("surface").alias("text"))
+    return canonical_forms(texts.unionByName(surfaces))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_pairs(looking_alike(spark, d)).select(F.col("field").alias("field_name"), "key_a", "key_b")
+
+
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return looking_alike(spark, d).select(F.col("field").alias("field_name"), "key", "form")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p8_found, p8_mixture, p8_shares)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
