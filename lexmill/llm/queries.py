@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .deliveries import first_delivery
 from .frequent import most_frequent
+from .leaks import leaked
 from .lookalikes import canonical_forms, lookalike_pairs
 from .mixing import byte_tokens, mix_report, mixture, shuffled
 from .splitting import LIMIT, split_oversized
@@ -88,6 +89,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversized(spark, d).drop("item_cut")
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
 def sized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "text").withColumn("n_tokens", byte_tokens(F.col("text")))
 
@@ -118,7 +127,7 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looking_alike(spark, d).select(F.col("field").alias("field_name"), "key", "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p8_found, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
