@@ -11,6 +11,7 @@ from .frequent import most_frequent
 from .leaks import leaked
 from .lookalikes import canonical_forms, lookalike_pairs
 from .mixing import byte_tokens, mix_report, mixture, shuffled
+from .sentences import sentences
 from .splitting import LIMIT, split_oversized
 from .term_counts import marked, term_counts
 
@@ -127,7 +128,15 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looking_alike(spark, d).select(F.col("field").alias("field_name"), "key", "form")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents").filter("reviewed")).select("doc_id", F.col("end_char").cast("bigint").alias("end_char"))
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
