@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .deliveries import first_delivery
+from .encodings import repaired_texts
 from .frequent import most_frequent
 from .leaks import leaked
 from .lookalikes import canonical_forms, lookalike_pairs
@@ -16,6 +17,20 @@ from .splitting import LIMIT, split_oversized
 from .term_counts import marked, term_counts
 
 
+def decoded(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("item_kind"), F.col("doc_id").alias("item_id"), "text")
+    rows = table(spark, d, "refrow").select(F.lit("refrow").alias("item_kind"), F.col("row_id").alias("item_id"), "text")
+    return repaired_texts(docs.unionByName(rows))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return decoded(spark, d).filter("garbled").select("item_kind", "item_id").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return decoded(spark, d).filter("garbled").select("item_kind", "item_id", "recovered", "encodings", "text")
+
+
 def spill_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "spill_entry").select("entry_id", "run_id", "piece", "piece_count", "arrived_at")
     return first_delivery(rows, ["entry_id"], ["arrived_at", "piece", "piece_count"])
@@ -136,7 +151,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
