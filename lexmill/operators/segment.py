@@ -92,6 +92,17 @@ def encode_nbest(text: str | Column, model: Model, size: int) -> Column:
     return nbest(_col(text))
 
 
+def best_score(text: str | Column, model: Model) -> Column:
+    """DOUBLE: the score of the best path of a unigram model; 0 for empty text, null for null."""
+
+    @arrow_udf("double")
+    def score(batch: pa.Array) -> pa.Array:
+        own = kept(("model", model.key), lambda: model)
+        return pa.array([None if t is None else own.kernel.best(own.normalize(t))[1] for t in batch.to_pylist()], pa.float64())
+
+    return score(_col(text))
+
+
 def sample_ids(text: str | Column, model: Model, alpha: float, seed: int = 0, size: int = -1) -> Column:
     """ARRAY<INT> drawn at random; the seed and the text settle each draw, whatever the partitions."""
     if model.trainer.model_type not in ("unigram", "bpe"):

@@ -24,7 +24,7 @@ from ..kernels.unigram import UnigramKernel, digamma
 from ..session import cut
 from ..spec import NORMAL, RARE, UNKNOWN, NormalizerSpec, TrainerSpec, need
 from .corpus import masked, sample, usable, weighted
-from .vocabulary import alphabet, char_histogram, masked_rare
+from .vocabulary import alphabet, char_histogram
 
 #: Distinct words up to which pairs are merged on the driver.
 LOCAL_WORDS = 2_000_000
@@ -52,9 +52,10 @@ def training_rows(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec)
 def covered(rows: DataFrame, spec: TrainerSpec) -> tuple[DataFrame, list[tuple[str, int]]]:
     """rows with uncovered characters masked, and the covered ones with their counts, most frequent first."""
     histogram = char_histogram(rows, "text", "freq").filter(F.col("char") != "\x1f")
-    kept = alphabet(histogram, spec.character_coverage, spec.required_chars, spec.use_all_vocab).filter("kept").select("char", "freq").collect()  # at most all of Unicode
-    chars = sorted(((r.char, r.freq) for r in kept), key=lambda x: (-x[1], x[0]))
-    return rows.withColumn("text", masked_rare("text", [c for c, _ in chars])), chars
+    found = alphabet(histogram, spec.character_coverage, spec.required_chars, spec.use_all_vocab).select("char", "freq", "kept").collect()  # at most all of Unicode
+    chars = sorted(((r.char, r.freq) for r in found if r.kept), key=lambda x: (-x[1], x[0]))
+    rare = "".join(r.char for r in found if not r.kept)
+    return rows.withColumn("text", F.translate("text", rare, RARE * len(rare))) if rare else rows, chars
 
 
 def logs(counts: list[tuple[str, int]], total: int) -> list[tuple[str, float]]:

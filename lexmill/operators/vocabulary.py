@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words_column
@@ -92,13 +92,6 @@ def alphabet(histogram: DataFrame, coverage: float = 0.9995, required: str = "",
     return h.withColumn("kept", (kept & (F.col("char") != RARE)) if not use_all else kept)
 
 
-def masked_rare(text: str | Column, kept: list[str]) -> Column:
-    """text with every character outside the alphabet replaced by the sign for rare characters."""
-    c = F.col(text) if isinstance(text, str) else text
-    inside = "".join("\\x{%X}" % ord(x) for x in [*kept, " ", "\x1f"])
-    return F.regexp_replace(c, f"[^{inside}]", RARE)
-
-
 def exported(vocab: DataFrame, form: str = "vocab") -> DataFrame:
     """``piece_id, line``: 'vocab' lines of piece and score, 'syms' of piece and id, 'pieces' of the piece only."""
     if form not in ("vocab", "syms", "pieces"):
