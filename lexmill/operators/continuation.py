@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
-from collections.abc import Callable, Iterable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..kernels.text import valid_piece
 from ..kernels.unigram import add_logs
 from ..session import cut
 from ..spec import NORMAL, RARE, USER_DEFINED, TrainerSpec, need
-from .training import LOCAL_WORDS, expected_counts, words_of
+from .training import LOCAL_WORDS, expected_counts, joined, words_of
 
 
 @dataclass(frozen=True)
@@ -80,22 +81,40 @@ def support(rows: Iterable[tuple[list[str], int]]) -> Counter:
 
 
 def support_counts(symbols: DataFrame) -> DataFrame:
-    """``left, right, n``: the same as a table, of ``symbols ARRAY<STRING>, freq``.
-
-    Only a pair of equal symbols can overlap itself: of a run of k of them k div 2 count.
-    """
-    s = F.col("symbols")
-    at = F.sequence(F.lit(1), F.size(s) - 1)
-    pair = F.transform(at, lambda i: F.struct(i.alias("i"), F.element_at(s, i).alias("left"), F.element_at(s, i + 1).alias("right")))
-    # The place of a symbol in its run decides whether a pair of equals counts: every second one does.
-    place = F.aggregate(
-        s, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct(x.alias("last"), F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(1)).alias("run"), F.concat(a["out"], F.array(F.when(x == a["last"], a["run"] + 1).otherwise(F.lit(1)))).alias("out")),
-        lambda a: a["out"],
-    )
-    rows = symbols.filter(F.size(s) > 1).select("freq", place.alias("place"), F.explode(pair).alias("p"))
-    counted = rows.filter((F.col("p.left") != F.col("p.right")) | (F.element_at("place", F.col("p.i")) % 2 == 1))
-    return counted.groupBy("p.left", "p.right").agg(F.sum("freq").cast("bigint").alias("n"))
+    """``left, right, n``: the same as a table, of ``symbols ARRAY<STRING>, freq``; added up in each partition first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            total.update(support(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total]), pa.array([b for _, b in total]), pa.array(list(total.values()), pa.int64())], names=["left", "right", "n"])
+
+    rows = symbols.filter("symbols is not null and freq is not null").select("symbols", F.col("freq").cast("bigint").alias("freq"))
+    return rows.mapInArrow(count, "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+class SupportIndex:
+    """Support of pairs over a weighted corpus that merges are applied to."""
+
+    def __init__(self, corpus: list[tuple[list[str], int]]):
+        self.rows = corpus
+        self.count: Counter = Counter()
+        self.at: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for n, row in enumerate(corpus):
+            for pair, k in support([row]).items():
+                self.count[pair] += k
+                self.at[pair].add(n)
+
+    def apply(self, pair: tuple[str, str]) -> None:
+        for n in list(self.at[pair]):
+            symbols, weight = self.rows[n]
+            before = support([(symbols, weight)])
+            self.rows[n] = (joined(symbols, *pair), weight)
+            after = support([self.rows[n]])
+            for p in before.keys() | after.keys():
+                self.count[p] += after[p] - before[p]
+                (self.at[p].add if after[p] else self.at[p].discard)(n)
 
 
 def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec = TrainerSpec("bpe"), first_id: int | None = None, hard_limit: bool = True, local_words: int = LOCAL_WORDS) -> Program:
@@ -116,11 +135,12 @@ def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec =
     for r in sorted((r.word, r.freq) for r in taken):
         parts = [names[i] if i != runtime.unknown else RARE for _, _, i in runtime.encode(r[0])]
         corpus.append((parts, r[1]))
+    index = SupportIndex(corpus)
     known = {p.piece for p in base.pieces}
     retired: set[tuple[str, str]] = set(base.merges)
     learnt: list[tuple[str, str]] = []
     while len(learnt) < new:
-        counts = support(corpus)
+        counts = index.count
         usable = [(-n, a, b) for (a, b), n in counts.items() if n > 0 and (a, b) not in retired and a in mergeable and b in mergeable and a + b not in known and valid_piece(a + b, spec)]
         if not usable:
             break
@@ -129,8 +149,7 @@ def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec =
         retired.add((a, b))
         known.add(a + b)
         mergeable.add(a + b)
-        pair = (a, b)
-        corpus = [(_joined(s, pair) if a in s else s, w) for s, w in corpus]
+        index.apply((a, b))
     need(not hard_limit or len(learnt) == new, f"only {len(learnt)} of {new} new pieces could be learnt")
     begin = max((p.id for p in base.pieces), default=-1) + 1
     first_id = begin if first_id is None else first_id
@@ -144,18 +163,6 @@ def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec =
     return out
 
 
-def _joined(symbols: list[str], pair: tuple[str, str]) -> list[str]:
-    out, i = [], 0
-    while i < len(symbols):
-        if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-            out.append(symbols[i] + symbols[i + 1])
-            i += 2
-        else:
-            out.append(symbols[i])
-            i += 1
-    return out
-
-
 def splits_of(vocab: DataFrame) -> DataFrame:
     """``piece, left, right``: every way to split a piece into two pieces of the vocabulary."""
     p = F.col("piece")

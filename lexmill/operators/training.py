@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import normalize_column, valid_piece_column, words_column
 from ..kernels.model import Model, assemble, special_layout
@@ -119,15 +120,29 @@ def first_pair(pairs: DataFrame, n: int = 1) -> DataFrame:
     return pairs.orderBy(F.col("n").desc(), F.char_length(whole), whole, F.char_length("left")).limit(n)
 
 
-def pair_applied(symbols: str | Column, left: str, right: str) -> Column:
+def joined(symbols: list[str], left: str, right: str) -> list[str]:
     """symbols with neighbours left, right joined from the left on, never overlapping."""
-    c = F.col(symbols) if isinstance(symbols, str) else symbols
+    out, i, n = [], 0, len(symbols)
+    while i < n:
+        if i + 1 < n and symbols[i] == left and symbols[i + 1] == right:
+            out.append(left + right)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) == left) & (x == right)
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(left + right)))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(c, F.array().cast("array<string>"), step)
+def pair_applied(symbols: str | Column, left: str, right: str) -> Column:
+    """The same on a column of ARRAY<STRING>; arrays without both symbols stay in the JVM's hands."""
+
+    @arrow_udf("array<string>")
+    def apply(batch: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else joined(s, left, right) for s in batch.to_pylist()], pa.list_(pa.string()))
+
+    c = F.col(symbols) if isinstance(symbols, str) else symbols
+    holds = F.array_contains(c, left) & F.array_contains(c, right)
+    return F.when(holds, apply(F.when(holds, c))).otherwise(c)
 
 
 class PairLearner:
@@ -166,19 +181,10 @@ class PairLearner:
 
     def apply(self, pair: tuple[str, str]) -> None:
         left, right = pair
-        whole = left + right
         changed: set[tuple[str, str]] = set()
         for n in sorted(self.at.get(pair, ())):
             old, weight = self.words[n], self.weights[n]
-            new: list[str] = []
-            i = 0
-            while i < len(old):
-                if i + 1 < len(old) and old[i] == left and old[i + 1] == right:
-                    new.append(whole)
-                    i += 2
-                else:
-                    new.append(old[i])
-                    i += 1
+            new = joined(old, left, right)
             before, after = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
             for p in before.keys() | after.keys():
                 if before[p] != after[p]:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import corpus, evaluation, training
 from ..session import table
-from . import loading, models, texts
+from ..spec import NormalizerSpec, TrainerSpec
+from . import continuations, loading, models, texts
 
-MODULES = (loading, texts, models)
+MODULES = (loading, texts, models, continuations)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").count()
+    """Merges learnt on documents, and how well their vocabulary compresses them."""
+    lines = corpus.lines(table(spark, d, "documents"))
+    model = training.train(lines, TrainerSpec("bpe", vocab_size=1200, character_coverage=0.99), NormalizerSpec())
+    return evaluation.evaluate(table(spark, d, "documents"), model)

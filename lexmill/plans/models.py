@@ -272,7 +272,7 @@ select surface_id, round(coalesce(best[-1], 0.0), 3) score from surface_form lef
     "byte_fallback": f"with {TEXTS}, c as (select distinct unnest(string_split(text, '')) as char from l) select char, regexp_replace(hex(encode(char)), '(..)', '<0x\\1>', 'g') pieces from c where char not in ('', ' ', chr(0), chr(9), chr(10), chr(13), '{SPACE}') and char not in (select piece from vocab_piece)",
     "pair_counts": f"with {TEXTS}, {ESC}, {WORDS}, {PAIRS} select \"left\", \"right\", n from p",
     "first_pairs": f"with {DOCS}, {ESC}, {WORDS}, {PAIRS} select \"left\", \"right\", n from p order by n desc, \"left\" || \"right\" limit 25",
-    "pair_applied": f"with {TEXTS}, {ESC}, {WORDS} select word, trim(replace(replace(regexp_replace(word, '(.)', '\\1 ', 'g'), 'e r ', 'er '), 'a a ', 'aa ')) symbols from t",
+    "pair_applied": f"with {TEXTS}, {ESC}, {WORDS} select word, trim(replace(replace(regexp_replace(word, '(.)', '\\1 ', 'g'), 'e r ', 'er '), 'a a ', 'aa '), ' ') symbols from t",
     "overlay_restored": f"with {STREAMS} select user_id, array_to_string(ids, ' ') ids from x",
     "overlay_built_in": f"with {STREAMS} select user_id, array_to_string(ids, ' ') ids from x",
     "overlay_encoded": f"with {STREAMS} select user_id, array_to_string({MERGED}, ' ') ids from x",

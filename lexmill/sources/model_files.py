@@ -233,22 +233,23 @@ def write_rule_blob(rules: dict[str, str]) -> bytes:
     units: dict[int, int] = {}
     used = {0}
     bases: set[int] = set()
-    lowest = 1
+    free = 1
 
     def place(at: int, node: dict, label: int) -> None:
-        nonlocal lowest
+        nonlocal free
         labels = sorted(node)
-        base = lowest
+        while free in used:
+            free += 1
+        first = free
         while True:
+            base = first ^ labels[0]
             far = base ^ at
             small = far < 1 << 21 or (far & 0xFF == 0 and far < 1 << 29)
-            if small and base not in bases and all(base ^ b not in used for b in labels) and base != 0:
+            if first not in used and base and small and base not in bases and all(base ^ b not in used for b in labels):
                 break
-            base += 1
+            first += 1
         bases.add(base)
         used.update(base ^ b for b in labels)
-        while lowest in used and lowest in bases:
-            lowest += 1
         far = base ^ at
         units[at] = (far << 10 if far < 1 << 21 else far << 2 | 1 << 9) | (1 << 8 if 0 in node else 0) | label
         for b in labels:
