@@ -17,6 +17,9 @@ def first_delivery(df: DataFrame, key: list[str], order: list[str]) -> DataFrame
     for c in key:
         known = known & F.col(c).isNotNull()
     w = Window.partitionBy(*key).orderBy(*order)
-    ranked = df.filter(known).withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
+    nth = "__nth"
+    while nth in df.columns:
+        nth += "_"
+    ranked = df.filter(known).withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
     nullable = any(df.schema[c].nullable for c in key)
     return ranked.unionByName(df.filter(~known)) if nullable else ranked

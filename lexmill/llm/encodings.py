@@ -179,8 +179,11 @@ def expected() -> re.Pattern:
 def utf8_again(text: str, encoding: str) -> str:
     """text with its UTF-8 sequences that were read as the encoding decoded."""
 
+    # A few plain Cyrillic letters are evidence only beside others.
+    weak = encoding in CYRILLIC and not any(len(m[0]) > 3 or not all("А" <= c <= "ё" for c in m[0]) for m in utf8_as(encoding).finditer(text))
+
     def fix(m: re.Match) -> str:
-        if len(m[0]) < 4 and all("А" <= c <= "ё" for c in m[0]):
+        if weak:
             return m[0]
         raw = encoded(m[0], encoding)
         try:
@@ -286,6 +289,11 @@ def single_again(text: str, read: str, written: str) -> str:
     begin, end = text.rfind(" ", 0, min(places)) + 1, text.find(" ", max(places))
     end = len(text) if end < 0 else end
     table = single_map(read, written)
+    # The rest of a line belongs to it if its only foreign characters are such that the line's language hasn't.
+    head, tail = text.rfind("\n", 0, begin) + 1, text.find("\n", end)
+    tail = len(text) if tail < 0 else tail
+    odd = lambda part: all(c.isascii() or (c in table and c not in WESTERN and c not in PLAIN_SIGNS) for c in part)
+    begin, end = head if odd(text[head:begin]) else begin, tail if odd(text[end:tail]) else end
     return text[:begin] + "".join(table.get(c, c) for c in text[begin:end]) + text[end:]
 
 

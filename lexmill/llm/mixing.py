@@ -102,16 +102,19 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int
     docs: the key (unique, not null), ``source``, ``n_tokens`` and any other columns. Documents
     without a target source are left out, those of a null source too. No document stands more
     than its source's ``max_repeats`` times; repeated texts under several keys are drawn
-    independently. An empty table gives an empty mixture.
+    independently. An empty table gives an empty mixture. Columns ``copy_no`` and ``shuffle_key``
+    of the input give way to those of the mixture.
     """
-    plan = mix_plan(docs, targets).select(F.col("source").alias("__source"), "copies_cdf")
+    plan = mix_plan(docs, targets).select(F.col("source").alias("__source"), F.col("copies_cdf").alias("__cdf"))
     # How many targets there are is counted before they are broadcast.
     small = len(targets.select("source").take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES
-    drawn = docs.join(F.broadcast(plan) if small else plan, F.col("source") == F.col("__source")).drop("__source")
-    u = uniform(F.lit(seed), F.col(key))
-    n = F.aggregate("copies_cdf", F.lit(0), lambda a, x: a + F.when(x <= u, 1).otherwise(0))
-    drawn = drawn.withColumn("__n", n).filter("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), "__n"))).drop("__n", "copies_cdf")
-    return drawn.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), key, "copy_no"))
+    kept = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
+    rows = docs.select(F.col(key).alias("__key"), F.col("source").alias("__own"), F.struct(*kept).alias("__row"))
+    drawn = rows.join(F.broadcast(plan) if small else plan, F.col("__own") == F.col("__source"))
+    u = uniform(F.lit(seed), F.col("__key"))
+    n = F.aggregate("__cdf", F.lit(0), lambda a, x: a + F.when(x <= u, 1).otherwise(0))
+    drawn = drawn.select("__key", "__row", n.alias("__n")).filter("__n > 0").select("__key", "__row", F.explode(F.sequence(F.lit(1), "__n")).alias("copy_no"))
+    return drawn.select("__row.*", "copy_no", F.xxhash64(F.lit(seed + 1), "__key", "copy_no").alias("shuffle_key"))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
