@@ -102,6 +102,18 @@ def form_rules(form: str) -> dict[str, str]:
             new = unicodedata.normalize(form, source)
             if new != source:
                 out[source] = new if source != c else target
+    if "K" in form:
+        # Half- and full-width spellings of a letter and its mark compose as well.
+        wide: dict[str, list[str]] = {}
+        for c in map(chr, range(0xFF00, 0xFFF0)):
+            wide.setdefault(unicodedata.normalize("NFKD", c), []).append(c)
+        for c in assigned():
+            parts = unicodedata.normalize("NFD", c)
+            if len(parts) == 2 and not "가" <= c <= "힣" and (parts[0] in wide or parts[1] in wide):
+                for a in [parts[0], *wide.get(parts[0], ())]:
+                    for b in [parts[1], *wide.get(parts[1], ())]:
+                        if (new := unicodedata.normalize(form, a + b)) != a + b:
+                            out[a + b] = new
     return out
 
 

@@ -134,15 +134,13 @@ def joined(symbols: list[str], left: str, right: str) -> list[str]:
 
 
 def pair_applied(symbols: str | Column, left: str, right: str) -> Column:
-    """The same on a column of ARRAY<STRING>; arrays without both symbols stay in the JVM's hands."""
+    """The same on a column of ARRAY<STRING>. The column is named once, so that chains of merges stay linear."""
 
     @arrow_udf("array<string>")
     def apply(batch: pa.Array) -> pa.Array:
         return pa.array([None if s is None else joined(s, left, right) for s in batch.to_pylist()], pa.list_(pa.string()))
 
-    c = F.col(symbols) if isinstance(symbols, str) else symbols
-    holds = F.array_contains(c, left) & F.array_contains(c, right)
-    return F.when(holds, apply(F.when(holds, c))).otherwise(c)
+    return apply(F.col(symbols) if isinstance(symbols, str) else symbols)
 
 
 class PairLearner:
