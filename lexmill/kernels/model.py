@@ -8,6 +8,7 @@ import random
 import re
 from dataclasses import asdict, dataclass, field, replace
 from functools import cached_property
+from itertools import chain
 
 from ..spec import BYTE, CONTROL, NORMAL, SPACE, TYPES, UNKNOWN, USER_DEFINED, NormalizerSpec, SpecError, TrainerSpec, need
 from .merges import PairKernel
@@ -151,20 +152,39 @@ class Model:
         return [i for _, i, _, _ in self.pieces_of(text)]
 
     def encode_words(self, text: str, known: dict[str, tuple[int, ...]], most: int = 1 << 20) -> list[int]:
-        """The same by words, each worked out once; for models whose pieces don't cross words."""
+        """The same by words, each worked out once; for models whose pieces don't cross words.
+
+        known: ids by word; a word without its space sign stands under itself, else without the sign.
+        """
         norm = self.normalize(text)
+        if not norm:
+            return []
+        if self.trainer.whitespace_as_suffix:
+            words = split_words(norm, True)
+            parts = [known.get(w) for w in words]
+        else:
+            # Words but the first begin with the sign; the first may not, and is kept apart then.
+            words = norm.split(SPACE)
+            begin = words[0]
+            words[0] = SPACE + begin if begin else ""
+            parts = list(map(known.get, words))
+            if not begin:
+                del words[0], parts[0]
+        if None in parts:
+            for n, ids in enumerate(parts):
+                if ids is None:
+                    word = words[n]
+                    if not self.trainer.whitespace_as_suffix:
+                        word = word[1:] if n == 0 and begin else SPACE + word
+                    ids = parts[n] = known.get(words[n]) or tuple(i for _, i, _, _ in self.finished(word, self.segment(word)))
+                    if len(known) < most:
+                        known[words[n]] = ids
+        if self.trainer.byte_fallback:
+            return list(chain.from_iterable(parts))
         out: list[int] = []
-        unk, merge_unknown = self.unk, not self.trainer.byte_fallback
-        for w in split_words(norm, self.trainer.whitespace_as_suffix) if norm else ():
-            ids = known.get(w)
-            if ids is None:
-                ids = tuple(i for _, i, _, _ in self.finished(w, self.segment(w)))
-                if len(known) < most:
-                    known[w] = ids
-            if merge_unknown and out and ids[0] == unk and out[-1] == unk:
-                out += ids[1:]
-            else:
-                out += ids
+        unk = self.unk
+        for ids in parts:
+            out += ids[1:] if ids[0] == unk and out and out[-1] == unk else ids
         return out
 
     def spans(self, text: str) -> list[Span]:
