@@ -67,7 +67,7 @@ def continued_unigram(spark, d):
 
 
 def refitted(spark, d):
-    base = L.train(table(spark, d, "refrow").filter("text is not null").select("text"), TrainerSpec("unigram", vocab_size=1200, character_coverage=1.0, seed_size=4000, max_piece_length=6, hard_vocab_limit=False), PLAIN)
+    base = L.train(table(spark, d, "refrow").filter("text is not null").select("text"), TrainerSpec("unigram", vocab_size=1200, character_coverage=1.0, seed_size=4000, max_piece_length=6, hard_vocab_limit=False, max_sentence_length=1 << 30), PLAIN)
     model, history = N.refit(_rows(spark, d), base, 2)
     return V.vocabulary(spark, model)
 

@@ -218,8 +218,8 @@ SQL = {
     "split_barline": f"with {LINES}, {ESC}, s as (select unnest(string_split(replace(text, '{SPACE}|', chr(1) || '{SPACE}|'), chr(1))) as word from e) select word, count(*) freq from s where word <> '' group by word",
     "char_histogram": f"with {LINES}, e as (select text from l), {LETTERS} select char, freq from c",
     "char_alphabet": f"with {LINES}, {ESC}, {LETTERS}, {COVER} select char, freq, kept from k",
-    "char_train": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, t as (select sum(freq) total from k where kept) select piece_id, piece, score, type from ({SPECIAL} union all select (2 + row_number() over (order by freq desc, char))::int, char, round(ln(freq) - ln(total), 4), 'NORMAL' from k, t where kept) where piece_id < 5000",
-    "word_train": f"with {USABLE}, {ESC}, {WORDS}, c as (select word, count(*) freq from w group by word), t as (select sum(freq) total from c) select piece_id, piece, score, type from ({SPECIAL} union all select (2 + row_number() over (order by freq desc, word))::int, word, round(ln(freq) - ln(total), 4), 'NORMAL' from c, t) where piece_id < 3000",
+    "char_train": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, t as (select sum(freq) total from k where kept) select piece_id, piece, score, type from ({SPECIAL} union all select (2 + row_number() over (order by freq desc, char))::int, char, round((ln(freq) - ln(total))::float::double, 4), 'NORMAL' from k, t where kept) where piece_id < 5000",
+    "word_train": f"with {USABLE}, {ESC}, {WORDS}, c as (select word, count(*) freq from w group by word), t as (select sum(freq) total from c) select piece_id, piece, score, type from ({SPECIAL} union all select (2 + row_number() over (order by freq desc, word))::int, word, round((ln(freq) - ln(total))::float::double, 4), 'NORMAL' from c, t) where piece_id < 3000",
     "char_usage": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, v as (select char, 2 + row_number() over (order by freq desc, char) id from k where kept qualify id < 300), al as (select unnest(string_split(text, chr(10))) as text from documents), ae as (select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text from al where {CLEAN} <> ''), p as (select unnest(string_split(text, '')) as char from ae) select coalesce(id, 0)::int id, count(*) n from p left join v using (char) where char <> '' group by 1",
     "unknown_runs": "with s as (select row_id, seq, id, lag(id) over (partition by row_id order by seq) before_id from token_span) select row_id, count(*)::int as before, sum(case when id = 0 and before_id = 0 then 0 else 1 end)::int as after from s group by row_id",
 }
