@@ -1,7 +1,7 @@
 """Problem 7: passages of evaluation items inside training documents.
 
-One Aho-Corasick automaton holds stretches of the normalised items, at a small stride, that stand
-in one item only. Each document is normalised the same way and scanned once; stretches that hit on
+One Aho-Corasick automaton holds stretches of the normalised items, at a small stride, each with
+all items it stands in. Each document is normalised the same way and scanned once; stretches that hit on
 the same diagonal of a document and an item are extended to exact runs and chained over changed
 words, and the chain is measured against the item. Offsets lead back to the original text.
 
@@ -125,11 +125,8 @@ class Scanner:
             for at in range(0, len(item.text) - size + 1, stride):
                 places[item.text[at : at + size]].append((n, at))
         self.automaton = ahocorasick.Automaton()
-        alone = {n for found in places.values() if len({x for x, _ in found}) == 1 for n, _ in found}
         for stretch, found in places.items():
-            # Stretches of several items say little, unless an item has no other.
-            if len({n for n, _ in found}) == 1 or any(n not in alone for n, _ in found):
-                self.automaton.add_word(stretch, (len(stretch), found))
+            self.automaton.add_word(stretch, (len(stretch), found))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()

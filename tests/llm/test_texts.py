@@ -205,6 +205,14 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
         assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, frame).collect()} == want
 
 
+def test_items_that_share_most_of_their_text_leak_both():
+    rng = random.Random(4)
+    shared = passage(rng, 40)
+    items = [(1, shared + " " + passage(rng, 10)), (2, passage(rng, 10) + " " + shared)]
+    found = leaks.Scanner(items).match(passage(rng, 20) + " " + shared)
+    assert sorted(r[0] for r in found) == [1, 2]
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_origins_have_the_streams_length(text):
