@@ -1,9 +1,10 @@
 """Problem 7: passages of evaluation items inside training documents.
 
-One Aho-Corasick automaton holds stretches of the normalised items, at a small stride, each with
-all items it stands in. Each document is normalised the same way and scanned once; stretches that hit on
-the same diagonal of a document and an item are extended to exact runs and chained over changed
-words, and the chain is measured against the item. Offsets lead back to the original text.
+One Aho-Corasick automaton holds stretches of the normalised items, chosen for each item so that
+every passage that counts holds one unchanged (see ``anchors_of``). Each document is normalised the
+same way and scanned once; stretches that hit near the same diagonal of a document and an item are
+extended to exact runs and chained over changed words, and the chain is measured against the item.
+Offsets lead back to the original text.
 
 Items are held by every worker; they are taken in blocks of a bounded size, each a scan of its own.
 """
@@ -26,15 +27,13 @@ from .lookalikes import LOOKALIKES
 LEAKS = "doc_id bigint, item_id bigint, begin_char int, end_char int, matched int, item_letters int, changed int"
 #: Bytes of item text that one scan holds.
 BLOCK_BYTES = 4 << 20
-#: Length and stride of the stretches, in letters and digits: with blanks between words, and without.
-SPACED, SOLID = (24, 4), (11, 3)
+#: The longest stretches and their stride: in words, and in letters where no blanks stand between words.
+SPACED, SOLID = (4, 1), (9, 2)
 #: Letters a word has in scripts without blanks, for counting changed words.
 SOLID_WORD = 3
 #: Longest gap between runs of one passage, in letters, and the shortest run beyond a gap.
 GAP, RESUME = 64, 8
 CHANGED = 6
-#: Letters for each of which a passage has an anchor at least, and letters that can lie before its first or after its last.
-SPARSEST, FRINGE = 40, 80
 
 SWAPS = sorted({(k.casefold(), v.casefold()) for k, v in LOOKALIKES.items()})
 LOOK = re.compile("[" + "".join(a for a, _ in SWAPS) + "]")
@@ -111,6 +110,50 @@ def item_of(key: int, text: str) -> Item:
     return Item(key, joined, starts, len(BLANKLESS.findall(joined)) > len(joined) / 3)
 
 
+def surest(cases: list[tuple[int, int]], most: tuple[int, int]) -> tuple[int, int, int]:
+    """Length and stride of stretches, and how many of them every passage that counts holds unchanged.
+
+    cases: the units that stay unchanged in a passage, and the changes that part them, so one run
+    more. A run of R units holds (R - length - stride + 2) / stride whole stretches or more.
+    """
+    for length in range(most[0], 0, -1):
+        stride = min(most[1], length)
+        least = min(-(-(kept - (cut + 1) * (length + stride - 2)) // stride) for kept, cut in cases)
+        if least > 0:
+            return length, stride, least
+    return 1, 1, 1
+
+
+def anchors_of(item: Item) -> tuple[list[tuple[int, int]], int]:
+    """Begin and end of stretches, and how many of them every passage that counts holds unchanged.
+
+    That is fewest for the shortest passage with half of the letters, or for the next one that
+    may have a changed word more. The last word of a passage may be cut and then isn't in a stretch.
+    """
+    size = len(item.text)
+    need = (size + 1) // 2
+    if not need:
+        return [], 1
+    letters = lambda length, stride: [(at, at + length) for at in range(0, size - length + 1, stride)]
+    if item.solid:
+        c = item.words(0, need) // CHANGED
+        more = SOLID_WORD * CHANGED * (c + 1) - SOLID_WORD // 2  # letters that are rounded to so many words
+        length, stride, least = surest([(n - SOLID_WORD * k, k) for n, k in ((need, c), (more, c + 1))], SOLID)
+        return letters(length, stride), least
+    fewest = min(item.words(b, b + need) for b in (0, *(x + 1 for x in item.starts)) if b + need <= size)
+    more = CHANGED * (fewest // CHANGED + 1)
+    cases = [(w - 1 - w // CHANGED, w // CHANGED) for w in (fewest, more)]
+    if fewest > 1:
+        length, _, least = surest(cases, SPACED)
+    else:  # part of one word may be half of the item
+        length, _, least = surest(cases[1:], SPACED)
+    bounds = [*item.starts, size]
+    out = list(zip(bounds, bounds[length:]))
+    if fewest > 1:
+        return out, least
+    return out + letters(*surest([(need, 0)], SOLID)[:2]), 1
+
+
 class Scanner:
     """The automaton over items, and the matching of one document."""
 
@@ -119,11 +162,12 @@ class Scanner:
 
         self.items = [item_of(k, t) for k, t in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.least: list[int] = []
         for n, item in enumerate(self.items):
-            size, stride = SOLID if item.solid else SPACED
-            size = max(1, min(size, len(item.text) // 3))
-            for at in range(0, len(item.text) - size + 1, stride):
-                places[item.text[at : at + size]].append((n, at))
+            anchors, least = anchors_of(item)
+            self.least.append(least)
+            for begin, end in anchors:
+                places[item.text[begin:end]].append((n, begin))
         self.automaton = ahocorasick.Automaton()
         for stretch, found in places.items():
             self.automaton.add_word(stretch, (len(stretch), found))
@@ -136,20 +180,19 @@ class Scanner:
         doc = stream(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for end, (size, found) in self.automaton.iter(doc):
+            pos = end - size + 1
             for n, at in found:
-                hits[n].append((end - size + 1, at))
+                hits[n].append((pos - at, pos))
         out: list[tuple[int, int, int, int, int, int]] = []
         for n, anchors in hits.items():
-            item = self.items[n]
-            need = (len(item.text) + 1) // 2
-            # Six words hold about 33 letters: even with a changed word in every six, a passage of
-            # this size has more anchors than these, and its ends lie no further from them.
-            least = max(1, need // SPARSEST)
+            least = self.least[n]
             if len(anchors) < least:
                 continue
+            item = self.items[n]
+            need = (len(item.text) + 1) // 2
             best = None
             for group in diagonals(anchors):
-                if len(group) < least or max(a for _, a in group) - min(a for _, a in group) + 2 * FRINGE < need:
+                if len(group) < least or len({at for _, at in group}) < least:
                     continue
                 got = passage(doc, item, group)
                 if got and (best is None or got[2] > best[2]):
@@ -160,13 +203,16 @@ class Scanner:
 
 
 def diagonals(anchors: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Anchors in groups that may belong to one passage: by position in the document, and by diagonal."""
+    """Anchors (diagonal, position in the document) in groups of near diagonals that may belong to one passage, as (position, place in the item)."""
     groups: list[list[tuple[int, int]]] = []
-    for pos, at in sorted(anchors, key=lambda x: (x[0] - x[1], x[0])):
-        if groups and pos - at - (groups[-1][-1][0] - groups[-1][-1][1]) <= GAP:
-            groups[-1].append((pos, at))
+    last = None
+    for diagonal, pos in sorted(anchors):
+        if last is not None and diagonal - last <= GAP:
+            group.append((pos, pos - diagonal))
         else:
-            groups.append([(pos, at)])
+            group = [(pos, pos - diagonal)]
+            groups.append(group)
+        last = diagonal
     return groups
 
 
@@ -193,7 +239,7 @@ def behind(a: str, i: int, b: str, j: int) -> int:
 
 
 def runs(doc: str, item: str, anchors: list[tuple[int, int]]) -> list[list[int]]:
-    """Exact runs [position in doc, in item, length] through the anchors, further runs beyond changed words at both ends."""
+    """Exact runs [position in doc, in item, length] through the anchors, and further runs beyond changed words at their ends."""
     out: list[list[int]] = []
     seen: dict[int, int] = {}
     for pos, at in sorted(anchors):
@@ -203,22 +249,28 @@ def runs(doc: str, item: str, anchors: list[tuple[int, int]]) -> list[list[int]]
         n = ahead(doc, pos, item, at)
         out.append([pos - back, at - back, back + n])
         seen[pos - at] = pos + n
-    out.sort(key=lambda r: (r[1], r[0]))
-    kept: list[list[int]] = []
-    for r in out:  # of runs that overlap in the item the longer stays
-        if kept and r[1] < kept[-1][1] + kept[-1][2] and min(r[2], kept[-1][2]) < RESUME + (kept[-1][1] + kept[-1][2] - r[1]):
-            if r[2] > kept[-1][2]:
-                kept[-1] = r
-            continue
-        kept.append(r)
-    if not kept:
-        return kept
-    while (more := resumed(doc, item, kept[-1][0] + kept[-1][2], kept[-1][1] + kept[-1][2])) is not None:
-        kept.append(more)
+    known = {(r[0], r[1]) for r in out}
     back = doc[::-1], item[::-1]
-    while (more := resumed(*back, len(doc) - kept[0][0], len(item) - kept[0][1])) is not None:
-        kept.insert(0, [len(doc) - more[0] - more[2], len(item) - more[1] - more[2], more[2]])
-    return kept
+    for pos, at, n in tuple(out):
+        end = pos + n, at + n
+        while (more := resumed(doc, item, *end)) is not None:
+            # What follows may begin before the place where it was found.
+            b = behind(doc, more[0], item, more[1])
+            more = [more[0] - b, more[1] - b, more[2] + b]
+            if (more[0], more[1]) in known:
+                break
+            known.add((more[0], more[1]))
+            out.append(more)
+            end = more[0] + more[2], more[1] + more[2]
+        begin = len(doc) - pos, len(item) - at
+        while (more := resumed(*back, *begin)) is not None:
+            begin = more[0] + more[2], more[1] + more[2]
+            d, i = len(doc) - begin[0], len(item) - begin[1]
+            if (d, i) in known:
+                break
+            known.add((d, i))
+            out.append([d, i, more[2] + ahead(doc, d + more[2], item, i + more[2])])
+    return sorted(out, key=lambda r: (r[1], r[0]))
 
 
 def resumed(doc: str, item: str, pos: int, at: int) -> list[int] | None:
@@ -253,18 +305,28 @@ def changes(doc: str, item: Item, one: list[int], two: list[int]) -> int | None:
 def passage(doc: str, item: Item, anchors: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
     """(begin, end, letters of the item, changed words) of the largest passage with few enough changes."""
     rs = runs(doc, item.text, anchors)
-    steps = [changes(doc, item, a, b) for a, b in zip(rs, rs[1:])]
+    links: list[list[tuple[int, int]]] = [[] for _ in rs]
+    for i, one in enumerate(rs):
+        for j in range(i + 1, len(rs)):
+            two = rs[j]
+            if two[1] - one[1] - one[2] > GAP:
+                break
+            # Both begin and end later, in the document and in the item.
+            if two[0] > one[0] and two[1] > one[1] and two[0] + two[2] > one[0] + one[2] and two[1] + two[2] > one[1] + one[2]:
+                n = changes(doc, item, one, two)
+                if n is not None:
+                    links[i].append((j, n))
     best = None
     for i in range(len(rs)):
-        changed = 0
+        least = {i: 0}  # the fewest changed words up to each run; links lead to later ones only
         for j in range(i, len(rs)):
-            if j > i:
-                if steps[j - 1] is None:
-                    break
-                changed += steps[j - 1]
+            if j not in least:
+                continue
             begin, end = rs[i][1], rs[j][1] + rs[j][2]
-            if changed * CHANGED <= item.words(begin, end) and (best is None or end - begin > best[2]):
-                best = rs[i][0], rs[j][0] + rs[j][2], end - begin, changed
+            if least[j] * CHANGED <= item.words(begin, end) and (best is None or end - begin > best[2]):
+                best = rs[i][0], rs[j][0] + rs[j][2], end - begin, least[j]
+            for k, n in links[j]:
+                least[k] = min(least.get(k, 1 << 30), least[j] + n)
     return best
 
 

@@ -213,6 +213,39 @@ def test_items_that_share_most_of_their_text_leak_both():
     assert sorted(r[0] for r in found) == [1, 2]
 
 
+SHORT_WORDS = "de la que el en no se por un con su las al lo es una más los del sin fue si ya vez muy dos así tres cada sol mar luz pan".split()
+HINDI_WORDS = "यह खंड को है और भाग अंतिम अंक से में नहीं पर शब्द सूची लंबा दो तीन नया पुराना क्रम".split()
+
+
+@pytest.mark.parametrize("words", [SHORT_WORDS, HINDI_WORDS])
+@pytest.mark.parametrize("n", [26, 60, 120])
+def test_leaks_with_every_sixth_word_changed(words, n):
+    rng = random.Random(n)
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k in range(8)]
+    scanner = leaks.Scanner(items)
+    for k, text in items:
+        doc = "vor dem Text " + " ".join("qxzvk" if i % 6 == 3 else w for i, w in enumerate(text.split())) + " nach dem Text"
+        assert k in [r[0] for r in scanner.match(doc)]
+
+
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=60), st.integers(0, 1 << 30), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_passages_that_count_hold_enough_anchors(lengths, seed, solid):
+    rng = random.Random(seed)
+    item = leaks.item_of(1, "".join("文" * n for n in lengths) if solid else " ".join("a" * n for n in lengths))
+    anchors, least = leaks.anchors_of(item)
+    size = len(item.text)
+    begin = rng.randint(0, size // 2)
+    end = min(size, begin + (size + 1) // 2 + rng.randint(0, size))
+    bounds = [*range(begin, end, leaks.SOLID_WORD), end] if solid else [*item.starts, size]
+    inner = [(a, b) for a, b in zip(bounds, bounds[1:]) if begin <= a and b <= end]
+    if end - begin < (size + 1) // 2 or not inner:
+        return
+    changed = rng.sample(inner, min(len(inner), item.words(begin, end) // leaks.CHANGED))
+    left = [(a, b) for a, b in anchors if begin <= a and b <= end and not any(x < b and a < y for x, y in changed)]
+    assert len(left) >= least
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_origins_have_the_streams_length(text):
