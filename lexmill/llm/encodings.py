@@ -131,21 +131,38 @@ def odd_cyrillic(text: str) -> float:
     return max(0.0, (mean - 3.15) * len(letters))
 
 
+def rare_ideographs(text: str) -> float:
+    """How many more uncommon ideographs than 0.3 of all stand side by side, over all places; what stands elsewhere in the text doesn't count."""
+    places = [m.start() for m in patterns()["ideograph"].finditer(text)]
+    if len(places) <= 3:
+        return 0.0
+    total = now = peak = 0.0
+    count, last = 0, places[0]
+    for at in places:
+        between = text[last + 1 : at]
+        now -= 0.3 * sum("㐀" <= c <= "鿿" for c in between)
+        if now <= 0 or len(between) > APART or "\n" in between:
+            total, now, peak, count = total + peak, 0.0, 0.0, 0
+        now, count, last = now + 0.7, count + 1, at
+        if count > 3:
+            peak = max(peak, now)
+    return total + peak
+
+
 def cost(text: str) -> float:
     """The garbling cost: 0 for clean text."""
     p = patterns()
     total = sum(w * len(p[k].findall(text)) for k, w in WEIGHTS.items())
     for m in p["accents"].finditer(text):
         total += len(m[0]) / 2
-    rare = len(p["ideograph"].findall(text))
-    if rare > 3:
-        han = sum("㐀" <= c <= "鿿" for c in text)
-        total += max(0.0, rare - 0.3 * han)
+    total += rare_ideographs(text)
     if p["cyrillic"].search(text):
         total += sum(odd_cyrillic(s[0]) for s in CYRILLIC_STRETCH.finditer(text))
     return total
 
 
+#: Characters between uncommon ideographs beyond which they aren't side by side.
+APART = 12
 CYRILLIC_STRETCH = re.compile(r"[А-Яа-яЁёЂ-Џђ-џҐґ][А-Яа-яЁёЂ-Џђ-џҐґ \-,]*")
 RUSSIAN_ONLY = re.compile(r"[А-Яа-яЁё \-,]*")
 HIGH = re.compile(r"[\x80-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™](?:[\x21-\xffŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]| (?=[\x80-\xff]))*")
@@ -195,6 +212,40 @@ def utf8_again(text: str, encoding: str) -> str:
     return utf8_as(encoding).sub(fix, text)
 
 
+def utf8_inside(text: str, encoding: str) -> str:
+    """text with its stretches decoded that are whole characters both as read and in UTF-8; what stands around them stays."""
+    raw, bounds, unread = bytearray(), {0: 0}, b"\xff"  # no byte of UTF-8
+    for n, c in enumerate(text, 1):
+        try:
+            raw += c.encode(encoding)
+        except UnicodeEncodeError:
+            raw += unread
+        bounds[len(raw)] = n
+    out, done = [], 0
+    for m in UTF8_WIDE.finditer(raw):
+        begin = m.start()
+        while begin < m.end() and begin not in bounds:
+            begin += 3 if raw[begin] >= 0x80 else 1
+        end, units, best = begin, 0, None
+        while end < m.end():
+            wide = raw[end] >= 0x80
+            end += 3 if wide else 1
+            units += wide
+            if wide and units > 1 and end in bounds:
+                best = end
+        if best is None or bounds[begin] < done:
+            continue
+        new = raw[begin:best].decode("utf-8", "replace")
+        if plausible(new) and expected().fullmatch(new):
+            out += [text[done : bounds[begin]], new]
+            done = bounds[best]
+    return "".join([*out, text[done:]])
+
+
+#: UTF-8 of kana, ideographs and their punctuation, with ASCII between.
+UTF8_WIDE = re.compile(rb"[\xe2-\xe9\xef][\x80-\xbf]{2}(?:[\xe2-\xe9\xef][\x80-\xbf]{2}|[\x00-\x7f])*")
+
+
 def utf8_again_wide(text: str, encoding: str) -> str:
     """The same for encodings of several bytes; what was lost between stays as it is."""
 
@@ -202,7 +253,7 @@ def utf8_again_wide(text: str, encoding: str) -> str:
         try:
             raw = m[0].encode(encoding)
         except UnicodeEncodeError:
-            return m[0]
+            return utf8_inside(m[0], encoding)
         try:
             return raw.decode("utf-8")
         except UnicodeDecodeError:
@@ -213,7 +264,7 @@ def utf8_again_wide(text: str, encoding: str) -> str:
                         return raw[begin:end].decode("utf-8")
                     except UnicodeDecodeError:
                         continue
-            return m[0]
+            return utf8_inside(m[0], encoding)
 
     return WIDE.sub(fix, text)
 
@@ -336,7 +387,35 @@ def as_single(text: str):
 
 
 def repaired(text: str) -> tuple[str, list[str], float, float]:
-    """The repaired text, the layers undone, and the cost before and after."""
+    """The repaired text, the layers undone, and the cost before and after.
+
+    What a repair of the whole text leaves is judged by lines, then by sentences, each by its own
+    cost: a stretch that is repaired alone is so in a text of any length.
+    """
+    new, names, first, now = undone(text)
+    for parts in (LINES, SENTENCES):
+        if now <= 0:
+            break
+        out = []
+        for piece in parts.split(new):
+            got = undone(piece) if piece != new and not piece.isascii() and suspicious(piece) else (piece, [])
+            if len(MIXED.findall(got[0])) > len(MIXED.findall(piece)):
+                got = piece, []
+            out.append(got[0])
+            names += [n for n in got[1] if n not in names]
+        if (whole := "".join(out)) != new:
+            new, now = whole, cost(whole)
+    return new, names, first, now
+
+
+LINES, SENTENCES = re.compile(r"(?<=\n)"), re.compile(r"(?<=[\n。！？])|(?<=[.!?])(?=\s)")
+
+#: Cyrillic next to letters of other scripts but the Latin of ASCII.
+MIXED = re.compile(r"[Ѐ-ԯ](?=[^\W\x00-\x7fЀ-ԯ])|(?<=[^\W\x00-\x7fЀ-ԯ])[Ѐ-ԯ]")
+
+
+def undone(text: str) -> tuple[str, list[str], float, float]:
+    """The same judged by the cost of the text as one."""
     first = now = cost(text)
     names: list[str] = []
     for _ in range(LAYERS):
@@ -379,6 +458,8 @@ def judged(text: str | None) -> tuple[bool, bool | None, str | None, str | None]
     new, names, before, after = repaired(probe)
     if not names:
         new = text
+    if not patterns()["han"].search(new):  # a few uncommon names are no garbling
+        after -= rare_ideographs(new)
     controls = patterns()["control"].search(text) is not None
     garbled = bool(names) or lost or controls
     return garbled, (not lost and bool(names) and after < 1) if garbled else None, " > ".join(names) or None, new

@@ -56,6 +56,15 @@ def test_nested_layers_and_stretches(lang):
     assert encodings.judged(part)[3] == "\n".join([CLEAN["de"], CLEAN[lang], CLEAN["fr"]])
 
 
+@pytest.mark.parametrize("length", [1, 30, 200])
+def test_a_stretch_is_found_in_text_of_any_length(length):
+    stretch = "留出样本重新统计了全部后缀"[:12]
+    garbled = stretch.encode("utf-8").decode("gb18030")
+    around = "每一行都保存相邻的符号，而短句在同样的条件下重新统计了全部数字。" * length
+    for text in ("{}\n" + around, around + "{}" + around, around + "\n第二行{}结束。\n" + around):
+        assert encodings.judged(text.format(garbled)) == (True, True, "utf-8 as gb18030", text.format(stretch))
+
+
 def test_lost_text_is_found_but_not_recovered():
     lossy = CLEAN["es"].encode("cp1252").decode("utf-8", "replace")
     assert encodings.judged(lossy)[:2] == (True, False)
