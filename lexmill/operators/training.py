@@ -221,19 +221,74 @@ class PairLearner:
         return out
 
 
-def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, every: int = 16) -> list[tuple[str, str]]:
-    """The same on the cluster, a job for each merge; what occurs no longer isn't learnt."""
-    symbols, out, learnt = cut(symbols_of(words)), [], set()
-    while len(out) < most:
-        found = first_pair(valid_pairs(pair_counts(symbols), spec), 1 + len(out)).collect()  # bounded by the vocabulary
-        pair = next(((r.left, r.right) for r in found if r.left + r.right not in learnt), None)
-        if pair is None:
-            break
+def replay(word: list[str], ranks: dict[tuple[str, str], int]) -> Iterator[tuple[int, list[str]]]:
+    """The states of a word while merges are applied in order: -1 and the word itself, then each merge that changes it."""
+    at = -1
+    yield at, word
+    while (at := min((n for p in zip(word, word[1:]) if (n := ranks.get(p, -1)) > at), default=-1)) >= 0:
+        pair = next(p for p in zip(word, word[1:]) if ranks.get(p) == at)
+        word = joined(word, *pair)
+        yield at, word
+
+
+def ranked(merges: Iterable[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    out: dict[tuple[str, str], int] = {}
+    for n, pair in enumerate(merges):
+        out.setdefault(pair, n)
+    return out
+
+
+def pairs_met(symbols: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """``left, right``: every pair that occurs before, between or after the merges."""
+    ranks = ranked(merges)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {p for word in b.column(0).to_pylist() for _, state in replay(word, ranks) for p in zip(state, state[1:])}
+            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.string()) for n in (0, 1)], names=["left", "right"])
+
+    return symbols.select("symbols").mapInArrow(met, "left string, right string").distinct()
+
+
+def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, every: int = 16, known: Iterable[str] = (), first: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    """The same as PairLearner.learn on the cluster, a job for each merge."""
+    whole = cut(symbols_of(words))
+    symbols, out, learnt = whole, list(first), set(known)
+    learnt |= {a + b for a, b in out}
+    if out:
+        ranks = ranked(out)
+
+        @arrow_udf("array<string>")
+        def last(batch: pa.Array) -> pa.Array:
+            return pa.array([None if s is None else [*replay(s, ranks)][-1][1] for s in batch.to_pylist()], pa.list_(pa.string()))
+
+        symbols = cut(symbols.withColumn("symbols", last("symbols")))
+
+    def best(pairs: DataFrame) -> tuple[str, str] | None:
+        n = 1 + len(learnt)  # bounded by the vocabulary, but for pairs that make the same piece
+        while True:
+            found = first_pair(pairs, n).collect()
+            pair = next(((r.left, r.right) for r in found if r.left + r.right not in learnt), None)
+            if pair or len(found) < n:
+                return pair
+            n *= 2
+
+    while len(out) < most and (pair := best(valid_pairs(pair_counts(symbols), spec))):
         learnt.add(pair[0] + pair[1])
         out.append(pair)
         symbols = symbols.withColumn("symbols", pair_applied("symbols", *pair))
         if len(out) % every == 0:
             symbols = cut(symbols)
+    if len(out) < most:  # pairs that no longer occur fill up what room is left
+        gone = cut(valid_pairs(pairs_met(whole, out), spec).withColumn("n", F.lit(0).cast("bigint")))
+        n = most
+        while True:
+            more = first_pair(gone, n).collect()
+            fill = {r.left + r.right: (r.left, r.right) for r in reversed(more) if r.left + r.right not in learnt}
+            if len(fill) >= most - len(out) or len(more) < n:
+                break
+            n *= 2
+        out += sorted(fill.values(), key=lambda p: (len(p[0] + p[1]), p[0] + p[1]))[: most - len(out)]
     return out
 
 
@@ -249,10 +304,11 @@ def train_pairs(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec = N
     if len(local) <= local_words:
         merges = PairLearner([(r.word, r.freq) for r in local], spec).learn(budget, protected, seed_merges)
     else:
-        merges = learn_distributed(words, spec, budget)
+        words = cut(words)
+        merges = learn_distributed(words, spec, budget, known=protected, first=seed_merges)
     names = [c for c, _ in chars]
     if whole:
-        k, names = best_mixture(merge_gains(merges, local), [(c, n) for c, n in chars], room)
+        k, names = best_mixture(merge_gains(merges, local) if len(local) <= local_words else merge_gains_distributed(merges, words), [(c, n) for c, n in chars], room)
         merges = merges[:k]
     order = list(dict.fromkeys([*protected, *(a + b for a, b in merges), *names]))
     return assemble(spec, [(p, -float(i)) for i, p in enumerate(order)], normalizer), merges
@@ -270,6 +326,27 @@ def merge_gains(merges: list[tuple[str, str]], words: list) -> list[int]:
     return out
 
 
+def merge_gains_distributed(merges: list[tuple[str, str]], words: DataFrame) -> list[int]:
+    """The same over all of ``word, freq`` on the cluster."""
+    ranks = ranked(merges)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for word, freq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                before = len(word)
+                for n, state in replay(word, ranks):
+                    if n >= 0:
+                        total[n] += (before - len(state)) * freq
+                    before = len(state)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["n", "gain"])
+
+    out = [0] * len(merges)
+    for r in symbols_of(words).mapInArrow(gains, "n int, gain bigint").groupBy("n").agg(F.sum("gain").alias("gain")).collect():  # one row a merge
+        out[r.n] = r.gain
+    return out
+
+
 def best_mixture(gains: list[int], chars: list[tuple[str, int]], room: int) -> tuple[int, list[str]]:
     """How many merges and which characters of several bytes fill the room best, when bytes stand for the rest.
 

@@ -119,6 +119,25 @@ def test_distributed_merges_equal_local_ones(spark):
     assert far == local[: len(far)] and len(far) >= 5
 
 
+@pytest.mark.parametrize("size", [16, 22, 80])
+def test_distributed_merges_keep_seeds_protected_pieces_and_gone_pairs(spark, size):
+    df = texts(spark, "banana bandana", "cabana ban", "band aid")
+    spec = TrainerSpec("bpe", vocab_size=size, character_coverage=1.0, hard_vocab_limit=False)
+    given = {"seed_merges": (("n", "a"), ("d", "a")), "protected": ("an",)}
+    model, local = L.train_pairs(df, spec, DUMMY, **given)
+    other, far = L.train_pairs(df, spec, DUMMY, local_words=2, **given)
+    assert far == local and far[:2] == [("n", "a"), ("d", "a")] and ("a", "n") not in far
+    assert other.pieces == model.pieces
+
+
+def test_automatic_coverage_counts_all_words_when_distributed(spark):
+    df = texts(spark, "漢é漢é banana", "bandana é", "cabana 漢字", "band aid")
+    spec = TrainerSpec("bpe", vocab_size=256 + 3 + 12, character_coverage=1.0, hard_vocab_limit=False, byte_fallback=True, auto_character_coverage=True)
+    model, local = L.train_pairs(df, spec, DUMMY)
+    other, far = L.train_pairs(df, spec, DUMMY, local_words=1)
+    assert far == local and other.pieces == model.pieces
+
+
 def test_automatic_coverage():
     assert L.best_mixture([10, 5, 1], [("漢", 4), ("é", 3), ("a", 99)], 3) == (2, ["漢"])
     assert L.best_mixture([], [("漢", 4)], 3) == (0, ["漢"])
