@@ -1,8 +1,8 @@
 """Problem 3: how often every term occurs, and in how many records.
 
 Vertical layout: for each term and each block of 65,536 record identifiers a container holds the
-records the term occurs in (a sorted array of 16-bit offsets, or past 4,096 of them a bitmap of
-8 KB), next to a counter of occurrences. Containers are built inside each partition, so what a
+records the term occurs in (a sorted array of 16-bit offsets, or from 4,096 of them on a bitmap of
+8 KB, so that no array has a bitmap's length), next to a counter of occurrences. Containers are built inside each partition, so what a
 frequent term sends is a container a block and not its rows; equal (term, block) containers are
 then merged by union, and the document frequency is the sum of the cardinalities over blocks.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 BUILD_ROWS = 400_000
-ARRAY_MOST = 4096
+ARRAY_MOST = 4095
 BITMAP_BYTES = 8192
 CONTAINERS = "field string, term string, block bigint, records binary, occurrences bigint"
 COUNTS = "field string, term string, block bigint, records bigint, occurrences bigint"

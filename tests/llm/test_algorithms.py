@@ -77,6 +77,15 @@ def test_containers_round_trip(groups, large):
         assert len(packed[0].as_py()) == term_counts.BITMAP_BYTES
 
 
+@pytest.mark.parametrize("size", [4095, 4096, 4097])
+def test_containers_about_the_bound_between_array_and_bitmap(size):
+    rng = np.random.default_rng(size)
+    lows = np.sort(rng.choice(65536, size, replace=False))
+    got, owner = term_counts.unpack(term_counts.pack(np.append(lows, [7, 9]), np.array([0, size])))
+    assert (got == np.append(lows, [7, 9])).all() and (owner == np.append(np.zeros(size), [1, 1])).all()
+    assert (term_counts.unpack(term_counts.pack(lows, np.array([0])))[0] == lows).all()
+
+
 def test_term_counts_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [("piece", "hot", int(r), 2, 0) for r in rng.integers(-200_000, 200_000, 4000)]
