@@ -23,7 +23,7 @@ from ..kernels.model import Model, assemble, special_layout
 from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel, digamma
 from ..session import cut
-from ..spec import NORMAL, RARE, UNKNOWN, NormalizerSpec, TrainerSpec, need
+from ..spec import NORMAL, RARE, SPACE, UNKNOWN, NormalizerSpec, TrainerSpec, need
 from .corpus import masked, sample, usable, weighted
 from .vocabulary import alphabet, char_histogram
 
@@ -378,23 +378,40 @@ def repeated_substrings(rows: DataFrame, spec: TrainerSpec, order: str | None =
     n = F.char_length(t)
     end = F.lit("\0")
     cols = ["text", "freq"]
+    inside = spec.split_by_whitespace and not spec.whitespace_as_suffix and not spec.allow_whitespace_only
     if order:
         following = F.lead(F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)).over(Window.orderBy(order))
         own = F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)
         rows = rows.withColumn("__after", F.array_distinct(F.array_compact(F.array(F.when(F.col("freq") > 1, own), F.coalesce(following, F.lit("--"))))))
         cols.append("__after")
+    elif inside:
+        # Equal words count together; a blank or the row's end follows.
+        words = F.split(t, f"(?={SPACE})", -1)
+        rows = rows.select(F.posexplode(words).alias("__at", "__word"), (F.size(words) - 1).alias("__last"), "freq")
+        rows = rows.select(F.col("__word").alias("text"), F.when(F.col("__at") == F.col("__last"), "\0").otherwise(SPACE).alias("__end"), "freq")
+        rows = rows.groupBy("text", "__end").agg(F.sum("freq").cast("bigint").alias("freq"))
+        end = F.col("__end")
+        cols.append("__end")
     else:
         rows = rows.groupBy("text").agg(F.sum("freq").cast("bigint").alias("freq"))
     begins = rows.filter(n > 0).select(*cols, F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(spec.max_piece_length), n - F.col("i") + 1))
+    most = F.least(F.lit(spec.max_piece_length), n - F.col("i") + 1)
+    if inside:
+        # Beyond the next blank no piece is valid.
+        blank = F.call_function("locate", F.lit(SPACE), t, F.col("i") + 1)
+        most = F.when(blank > 0, F.least(most, blank - F.col("i"))).otherwise(most)
+    sizes = F.sequence(F.lit(1), most)
     subs = begins.select(*cols, "i", F.explode(sizes).alias("k"))
     following = F.substring(F.hex(F.encode(F.concat(t, end).substr(F.col("i") + F.col("k"), F.lit(1)), "UTF-8")), 1, 2)
     inner = subs.select(t.substr(F.col("i"), F.col("k")).alias("piece"), F.lit(False).alias("ended"), F.array(following).alias("nexts"), "freq")
     if order:
         ended = subs.filter(F.col("i") + F.col("k") - 1 == n)
         inner = inner.unionByName(ended.select(t.substr(F.col("i"), F.col("k")).alias("piece"), F.lit(True).alias("ended"), F.col("__after").alias("nexts"), "freq"))
-    grouped = inner.groupBy("piece", "ended").agg(F.sum("freq").alias("n"), F.array_distinct(F.flatten(F.collect_set("nexts"))).alias("nexts"))
-    twice = grouped.filter((F.col("n") >= 2) & (F.size("nexts") >= 2) & (F.octet_length("piece") > 1))
+    # Numbers aggregate by hash; two different ones have different ends.
+    code = lambda x: F.when(x == "--", -1).otherwise(F.conv(x, 16, 10).cast("int"))
+    inner = inner.withColumn("nexts", F.transform("nexts", code))
+    grouped = inner.groupBy("piece", "ended").agg(F.sum("freq").alias("n"), F.min(F.array_min("nexts")).alias("low"), F.max(F.array_max("nexts")).alias("high"))
+    twice = grouped.filter((F.col("n") >= 2) & (F.col("low") != F.col("high")) & (F.octet_length("piece") > 1))
     summed = twice.groupBy("piece").agg(F.sum("n").cast("bigint").alias("n")).filter(F.char_length("piece") >= 2)
     return summed.filter(valid_piece_column("piece", spec))
 

@@ -186,8 +186,9 @@ def train_pairs(spark, d):
 
 
 def train_unigram(spark, d):
-    parts = table(spark, d, "part").select(F.col("p_name").alias("text"))
-    return V.vocabulary(spark, L.train(parts, TrainerSpec("unigram", vocab_size=120, character_coverage=1.0, hard_vocab_limit=False), PLAIN))
+    """With the trainer's own seeds, piece length and size."""
+    rows = table(spark, d, "refrow").filter("text is not null").select("text")
+    return V.vocabulary(spark, L.train(rows, TrainerSpec("unigram", hard_vocab_limit=False), PLAIN))
 
 
 def seed_substrings(spark, d):
@@ -196,6 +197,13 @@ def seed_substrings(spark, d):
     return L.repeated_substrings(rows, spec)
 
 
+def seed_substrings_lines(spark, d):
+    """The substrings that the trainer's seeds are taken from, with its own options."""
+    spec = TrainerSpec("unigram")
+    rows = L.training_rows(table(spark, d, "refrow").filter("text is not null").select("text"), spec, PLAIN)
+    return L.repeated_substrings(rows, spec)
+
+
 BASE, SIZE = 40, 48
 PROGRAM = [(0, 1, 2, 40, (1, 2)), (1, 3, 4, 41, (3, 4)), (2, 40, 3, 42, (1, 2, 3)), (3, 5, 5, 43, (5, 5)), (4, 43, 41, 44, (5, 5, 3, 4)), (5, 7, 1, 45, (7, 1))]
 
@@ -234,7 +242,7 @@ def overlay_counts(spark, d):
 QUERIES = {f.__name__: f for f in (
     vocabulary_faults, vocabulary_lines, id_map_hash, piece_ids, id_pieces, word_encode, encode_unigram, encode_best_score, encode_pairs, roundtrip_unigram, roundtrip_pairs, roundtrip_sampled,
     roundtrip_dropout, roundtrip_options, roundtrip_nbest, spans_cover, decode_given, decode_built_in, decode_spans, options_applied, byte_fallback, vocabulary_used,
-    evaluation_report, pair_counts, first_pairs, pair_applied, train_pairs, train_unigram, seed_substrings, overlay_encoded, overlay_restored, overlay_built_in, overlay_counts,
+    evaluation_report, pair_counts, first_pairs, pair_applied, train_pairs, train_unigram, seed_substrings, seed_substrings_lines, overlay_encoded, overlay_restored, overlay_built_in, overlay_counts,
 )}
 
 CLEAN = "regexp_replace(trim(text, ' '), ' +', ' ', 'g')"

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.functions.sql import register
 from lexmill.kernels.model import Model
+from lexmill.kernels.text import valid_piece
 from lexmill.operators import continuation as N
 from lexmill.operators import corpus as C
 from lexmill.operators import evaluation, overlay
 from lexmill.operators import segment as S
 from lexmill.operators import training as L
 from lexmill.operators import vocabulary as V
+from lexmill.plans import models as queries
 from lexmill.plans.models import program
 from lexmill.sources import model_files, rejects
 from lexmill.spec import NormalizerSpec, SpecError, TrainerSpec
@@ -143,6 +145,27 @@ def test_automatic_coverage():
     assert L.best_mixture([], [("漢", 4)], 3) == (0, ["漢"])
 
 
+def test_repeated_substrings_against_brute_force(spark):
+    lines = ["▁the▁morphology▁of▁morphologists", "▁morphologists▁12▁the", "▁données▁là▁où", "▁données▁12▁x", "▁the▁morphology▁of▁morphologists"]
+    spec = TrainerSpec("unigram")
+    count, following = {}, {}
+    for t in lines:
+        for i in range(len(t)):
+            for j in range(i + 1, min(len(t), i + spec.max_piece_length) + 1):
+                count[t[i:j]] = count.get(t[i:j], 0) + 1
+                following.setdefault(t[i:j], set()).add((t[j : j + 1] or "\0").encode()[:1])
+    want = {p: n for p, n in count.items() if n > 1 and len(following[p]) > 1 and len(p) > 1 and valid_piece(p, spec)}
+    got = L.repeated_substrings(texts(spark, *lines).withColumn("freq", F.lit(1).cast("bigint")), spec)
+    assert {r.piece: r.n for r in got.collect()} == want and max(map(len, want)) > 6
+
+
+def test_unigram_queries_meet_a_corpus_with_the_trainers_own_options(spark):
+    d = "/root/testdata/sf0.001"
+    seeds = {r.piece for r in queries.QUERIES["seed_substrings_lines"](spark, d).collect()}
+    pieces = {r.piece for r in queries.QUERIES["train_unigram"](spark, d).collect()}
+    assert len(pieces) > 1000 and max(map(len, seeds)) > 6 and max(map(len, pieces)) > 6
+
+
 def test_sparse_training(spark):
     df = spark.createDataFrame(WEIGHTED, "text string, freq bigint")
     model = L.train_unigram(df, TrainerSpec("unigram", vocab_size=30, character_coverage=1.0, hard_vocab_limit=False, sparse_pruning=True), DUMMY)
