@@ -57,7 +57,7 @@ JOINERS = set(",;:，、；：—–-")
 
 def _set(pattern: str) -> str:
     found = regex.compile(pattern)
-    return "".join(re.escape(chr(n)) for n in range(0x21, 0x12000) if found.match(chr(n)))
+    return "".join(re.escape(chr(n)) for n in range(0x21, 0x110000) if found.match(chr(n)))
 
 
 @cache
@@ -71,7 +71,7 @@ def marks() -> tuple[re.Pattern, frozenset[str], frozenset[str]]:
     closers = r"[\"'’”»」』）)\]】》〉›〕｣*_]"
     ahead = rf"[{always}…⋯]|[{stops}](?=[{both}]|{closers}*(?:\s|\Z|[{re.escape(OPENING)}]|[​-‏⁠﻿]))"
     own = regex.compile(r"\p{SB=STerm}"), regex.compile(r"\p{SB=ATerm}")
-    a, s = (frozenset(chr(n) for n in range(0x21, 0x12000) if x.match(chr(n))) for x in own)
+    a, s = (frozenset(chr(n) for n in range(0x21, 0x110000) if x.match(chr(n))) for x in own)
     return re.compile(rf"(?:{ahead})[{both}]*(?:{closers}|“(?=[\s,.]|\Z)|[   ](?=»)|[​-‏⁠﻿])*"), a, s
 
 

@@ -316,3 +316,9 @@ def test_sentence_table(spark):
     got = sentences.sentences(spark.createDataFrame(rows, "doc_id bigint, text string, unit_no int")).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {1: 2, 5: 4, 6: 20_000}
     assert np.array(sentences.sentences(spark.createDataFrame([], "doc_id bigint, text string")).collect()).size == 0
+
+
+@pytest.mark.parametrize("mark", [0x16A6E, 0x16AF5, 0x16B37, 0x16E98, 0x1BC9F, 0x1DA88])
+def test_marks_of_all_planes_end_sentences(mark):
+    pattern, always, _ = sentences.marks()
+    assert chr(mark) in always and pattern.search("x" + chr(mark) + " y")
