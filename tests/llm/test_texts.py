@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 
 from lexmill.llm import encodings, leaks, lookalikes, sentences, splitting
 
+from .languages import MORE_CLEAN
+
 CLEAN = {
     "de": "Die größere Silbe überdeckt das gültige Stück, und das müde Zählwerk prüft 3 Maße.",
     "fr": "La pièce la plus légère dépasse l’élément inconnu ; à vrai dire, la lignée héritée répète « la clé ».",
@@ -56,6 +58,32 @@ def test_nested_layers_and_stretches(lang):
     assert encodings.judged(part)[3] == "\n".join([CLEAN["de"], CLEAN[lang], CLEAN["fr"]])
 
 
+@pytest.mark.parametrize("lang", MORE_CLEAN)
+def test_clean_text_of_other_languages_stays_as_it_is(lang):
+    text = MORE_CLEAN[lang]
+    for t in (text, text.upper(), text * 30, *text.split(". ")):
+        assert encodings.judged(t) == (False, None, None, t)
+
+
+def test_recall_on_languages_that_the_tables_do_not_hold():
+    """Measured on inputs that no generator planted: UTF-8 read as five other encodings, restored letter by letter."""
+    tried = [(text, encodings.judged(misread(text, read, "utf-8"))) for text in MORE_CLEAN.values() for read in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1250")]
+    assert sum(got[0] for _, got in tried) == len(tried)
+    assert sum(got[3] == text for text, got in tried) >= 0.98 * len(tried)
+    assert sum(got[3] == text and got[1] for text, got in tried) >= 0.95 * len(tried)
+    assert not [text for text, got in tried if got[1] and got[3] != text and "×" not in got[3]]
+
+
+def test_no_repair_into_another_script_and_no_lost_byte_counts_as_recovered():
+    greek = MORE_CLEAN["el"].encode().decode("latin-1")
+    assert encodings.judged(greek)[3] == MORE_CLEAN["el"]
+    assert encodings.judged(MORE_CLEAN["ko"].encode().decode("latin-1"))[3] == MORE_CLEAN["ko"]
+    cut = CLEAN["ja"].encode()[1:-1].decode("gb18030", "ignore")
+    garbled, recovered, _, new = encodings.judged(cut)
+    assert garbled and not recovered
+    assert encodings.judged("don\x92t stop \x93now\x94")[1:] == (True, "cp1252 as latin-1", "don’t stop “now”")
+
+
 @pytest.mark.parametrize("length", [1, 30, 200])
 def test_a_stretch_is_found_in_text_of_any_length(length):
     stretch = "留出样本重新统计了全部后缀"[:12]
