@@ -6,7 +6,9 @@ same way and scanned once; stretches that hit near the same diagonal of a docume
 extended to exact runs and chained over changed words, and the chain is measured against the item.
 Offsets lead back to the original text.
 
-Items are held by every worker; they are taken in blocks of a bounded size, each a scan of its own.
+Items go to the workers as broadcast blocks of a bounded size, of which the driver holds one at a
+time. Documents are read and normalised once: where there are several blocks, a worker holds some
+documents and takes them through the automaton of each block in turn.
 """
 
 from __future__ import annotations
@@ -16,28 +18,36 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalikes import LOOKALIKES
 
 LEAKS = "doc_id bigint, item_id bigint, begin_char int, end_char int, matched int, item_letters int, changed int"
-#: Bytes of item text that one scan holds.
-BLOCK_BYTES = 4 << 20
+#: Bytes of item text in one automaton, bytes of documents that are taken through all of them together, and automata kept by a worker.
+BLOCK_BYTES, HELD_BYTES, KEPT = 8 << 20, 32 << 20, 3
 #: The longest stretches and their stride: in words, and in letters where no blanks stand between words.
 SPACED, SOLID = (4, 1), (9, 2)
 #: Letters a word has in scripts without blanks, for counting changed words.
 SOLID_WORD = 3
-#: Longest gap between runs of one passage, in letters, and the shortest run beyond a gap.
-GAP, RESUME = 64, 8
+#: Longest gap between runs of one passage, in letters (more in items with long words).
+GAP = 64
+#: The shortest run beyond a gap: letters anywhere, letters of whole words.
+RESUME, RESUME_WORDS = 8, 4
+#: Letters between two runs within which no further run is looked for.
+NEAR = 16
 CHANGED = 6
 
-SWAPS = sorted({(k.casefold(), v.casefold()) for k, v in LOOKALIKES.items()})
-LOOK = re.compile("[" + "".join(a for a, _ in SWAPS) + "]")
-MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&[a-z]{2,6};")
+SWAPS = str.maketrans({k.casefold(): v.casefold() for k, v in LOOKALIKES.items() if len(k.casefold()) == 1})
+LOOK = re.compile("[" + "".join(map(chr, sorted(SWAPS))) + "]")
+#: Tags with their attributes, targets of links, character references.
+MARKUP = re.compile(r"</?[A-Za-z][\w:-]*+(?:\s[^<>]*+|/)?>|(?<=\])\([^()\s]*+\)|&(?:[A-Za-z]{2,8}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});")
 NO_LETTER = re.compile(r"[\W_]+")
 ASCII_OTHER = bytes(n for n in range(128) if not chr(n).isalnum())
 BLANKLESS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
@@ -50,15 +60,12 @@ def folded(text: str) -> str:
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     text = text.casefold()
-    if LOOK.search(text):
-        for a, b in SWAPS:
-            text = text.replace(a, b)
-    return text
+    return text.translate(SWAPS) if LOOK.search(text) else text
 
 
 def stream(text: str) -> str:
     """The letters and digits of text, folded, without markup."""
-    if "<" in text or "&" in text:
+    if "<" in text or "&" in text or "](" in text:
         text = MARKUP.sub("", text)
     # Most of what goes is ASCII and goes at once; the pattern looks for the rest.
     text = folded(text).encode("utf-8", "surrogatepass").translate(None, ASCII_OTHER).decode("utf-8", "surrogatepass")
@@ -83,6 +90,8 @@ class Item:
     text: str
     starts: list[int]
     solid: bool
+    gap: int = GAP
+    known_probes: dict[bool, dict[int, int]] = field(default_factory=dict)
 
     def words(self, begin: int, end: int) -> int:
         """Words that begin in a part of the item."""
@@ -90,6 +99,25 @@ class Item:
             return max(1, round((end - begin) / SOLID_WORD))
         return bisect_left(self.starts, end) - bisect_left(self.starts, begin)
 
+    def probes(self, turned: bool) -> dict[int, int]:
+        if turned not in self.known_probes:
+            self.known_probes[turned] = self._probes(turned)
+        return self.known_probes[turned]
+
+    def _probes(self, turned: bool) -> dict[int, int]:
+        """At the begin of each word, how many letters of whole words are looked for there; turned: from the other end."""
+        size = len(self.text)
+        bounds = [*range(0, size, SOLID_WORD), size] if self.solid else [*self.starts, size]
+        if turned:
+            bounds = [size - b for b in reversed(bounds)]
+        out, j = {}, 0
+        for i, b in enumerate(bounds[:-1]):
+            j = max(j, i + 1)
+            while j + 1 < len(bounds) and bounds[j] - b < RESUME_WORDS:
+                j += 1
+            out[b] = min(RESUME, bounds[j] - b) if bounds[j] - b >= RESUME_WORDS else RESUME
+        return out
+
     def split(self, begin: int, end: int) -> list[str]:
         """The words of a part, cut to it."""
         if self.solid:
@@ -107,7 +135,9 @@ def item_of(key: int, text: str) -> Item:
             whole.append(w)
             n += len(w)
     joined = "".join(whole)
-    return Item(key, joined, starts, len(BLANKLESS.findall(joined)) > len(joined) / 3)
+    longest = max((b - a for a, b in zip(starts, [*starts[1:], n])), default=0)
+    solid = len(BLANKLESS.findall(joined)) > len(joined) / 3
+    return Item(key, joined, starts, solid, GAP if solid else max(GAP, 2 * longest + RESUME))
 
 
 def surest(cases: list[tuple[int, int]], most: tuple[int, int]) -> tuple[int, int, int]:
@@ -169,51 +199,60 @@ class Scanner:
             for begin, end in anchors:
                 places[item.text[begin:end]].append((n, begin))
         self.automaton = ahocorasick.Automaton()
-        for stretch, found in places.items():
-            self.automaton.add_word(stretch, (len(stretch), found))
+        # The places of stretch k are first[k] to first[k + 1] of owner and offset.
+        flat, first = [], [0]
+        for k, (stretch, found) in enumerate(places.items()):
+            self.automaton.add_word(stretch, (k, len(stretch)))
+            flat += found
+            first.append(len(flat))
+        self.owner, self.offset = (np.array(x, np.int64) for x in (zip(*flat) if flat else ([], [])))
+        self.first = np.array(first)
+        self.fewest, self.gaps = np.array(self.least, np.int64), np.array([x.gap for x in self.items], np.int64)
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
 
     def match(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
         """(item key, begin, end, matched letters, letters of the item, changed words); begin and end in stream(text)."""
-        doc = stream(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, (size, found) in self.automaton.iter(doc):
-            pos = end - size + 1
-            for n, at in found:
-                hits[n].append((pos - at, pos))
-        out: list[tuple[int, int, int, int, int, int]] = []
-        for n, anchors in hits.items():
-            least = self.least[n]
-            if len(anchors) < least:
-                continue
-            item = self.items[n]
-            need = (len(item.text) + 1) // 2
-            best = None
-            for group in diagonals(anchors):
-                if len(group) < least or len({at for _, at in group}) < least:
-                    continue
-                got = passage(doc, item, group)
-                if got and (best is None or got[2] > best[2]):
-                    best = got
-            if best and best[2] >= need:
-                out.append((item.key, best[0], best[1], best[2], len(item.text), best[3]))
-        return out
-
-
-def diagonals(anchors: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Anchors (diagonal, position in the document) in groups of near diagonals that may belong to one passage, as (position, place in the item)."""
-    groups: list[list[tuple[int, int]]] = []
-    last = None
-    for diagonal, pos in sorted(anchors):
-        if last is not None and diagonal - last <= GAP:
-            group.append((pos, pos - diagonal))
-        else:
-            group = [(pos, pos - diagonal)]
-            groups.append(group)
-        last = diagonal
-    return groups
+        return [] if self.empty else self.matched(stream(text))
+
+    def matched(self, doc: str) -> list[tuple[int, int, int, int, int, int]]:
+        found = [(k, end + 1 - size) for end, (k, size) in self.automaton.iter(doc)]
+        if not found:
+            return []
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for n, group in self.groups(np.array(found)):
+            got = passage(doc, self.items[n], group)
+            if got and (n not in best or got[2] > best[n][2]):
+                best[n] = got
+        return [(x.key, b[0], b[1], b[2], len(x.text), b[3]) for n, b in sorted(best.items()) if 2 * b[2] >= len((x := self.items[n]).text)]
+
+    def groups(self, found: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Item number and anchors (position, place in the item) of near diagonals that may belong to one passage.
+
+        found: stretch and position of each hit. Groups with fewer different places than a passage
+        that counts has are left out.
+        """
+        k, pos = found[:, 0], found[:, 1]
+        many = self.first[k + 1] - self.first[k]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[k], many)
+        owner, at, pos = self.owner[place], self.offset[place], np.repeat(pos, many)
+        often = np.bincount(owner, minlength=len(self.fewest)) >= self.fewest
+        keep = often[owner]
+        owner, at, pos = owner[keep], at[keep], pos[keep]
+        if not len(owner):
+            return
+        order = np.lexsort((pos, pos - at, owner))
+        owner, at, pos = owner[order], at[order], pos[order]
+        diagonal = pos - at
+        new = np.flatnonzero((owner[1:] != owner[:-1]) | (diagonal[1:] - diagonal[:-1] > self.gaps[owner[1:]])) + 1
+        bounds = np.concatenate(([0], new, [len(owner)]))
+        for b in np.flatnonzero(bounds[1:] - bounds[:-1] >= self.fewest[owner[bounds[:-1]]]).tolist():
+            part = slice(bounds[b], bounds[b + 1])
+            n = int(owner[part.start])
+            places = at[part].tolist()
+            if len(set(places)) >= self.least[n]:
+                yield n, list(zip(pos[part].tolist(), places))
 
 
 def ahead(a: str, i: int, b: str, j: int) -> int:
@@ -238,46 +277,56 @@ def behind(a: str, i: int, b: str, j: int) -> int:
     return n
 
 
-def runs(doc: str, item: str, anchors: list[tuple[int, int]]) -> list[list[int]]:
+def runs(doc: str, item: Item, anchors: list[tuple[int, int]]) -> list[list[int]]:
     """Exact runs [position in doc, in item, length] through the anchors, and further runs beyond changed words at their ends."""
+    text = item.text
     out: list[list[int]] = []
     seen: dict[int, int] = {}
     for pos, at in sorted(anchors):
         if seen.get(pos - at, -1) >= pos:
             continue
-        back = behind(doc, pos, item, at)
-        n = ahead(doc, pos, item, at)
+        back = behind(doc, pos, text, at)
+        n = ahead(doc, pos, text, at)
         out.append([pos - back, at - back, back + n])
         seen[pos - at] = pos + n
     known = {(r[0], r[1]) for r in out}
-    back = doc[::-1], item[::-1]
+    turned = doc[::-1], text[::-1], item.probes(True), item.gap
+    onward = doc, text, item.probes(False), item.gap
+    # Nothing is looked for where the next run is so near that the words between are compared one by one.
+    begins, stops = [(r[0], r[1]) for r in out], [(r[0] + r[2], r[1] + r[2]) for r in out]
+    near = lambda d, i: 0 <= d <= NEAR and 0 <= i <= NEAR
     for pos, at, n in tuple(out):
         end = pos + n, at + n
-        while (more := resumed(doc, item, *end)) is not None:
+        while not any(near(d - end[0], i - end[1]) for d, i in begins) and (more := resumed(*onward, *end)) is not None:
             # What follows may begin before the place where it was found.
-            b = behind(doc, more[0], item, more[1])
+            b = behind(doc, more[0], text, more[1])
             more = [more[0] - b, more[1] - b, more[2] + b]
             if (more[0], more[1]) in known:
                 break
             known.add((more[0], more[1]))
             out.append(more)
             end = more[0] + more[2], more[1] + more[2]
-        begin = len(doc) - pos, len(item) - at
-        while (more := resumed(*back, *begin)) is not None:
+        begin = len(doc) - pos, len(text) - at
+        if any(near(pos - d, at - i) for d, i in stops):
+            continue
+        while (more := resumed(*turned, *begin)) is not None:
             begin = more[0] + more[2], more[1] + more[2]
-            d, i = len(doc) - begin[0], len(item) - begin[1]
+            d, i = len(doc) - begin[0], len(text) - begin[1]
             if (d, i) in known:
                 break
             known.add((d, i))
-            out.append([d, i, more[2] + ahead(doc, d + more[2], item, i + more[2])])
+            out.append([d, i, more[2] + ahead(doc, d + more[2], text, i + more[2])])
     return sorted(out, key=lambda r: (r[1], r[0]))
 
 
-def resumed(doc: str, item: str, pos: int, at: int) -> list[int] | None:
+def resumed(doc: str, item: str, probes: dict[int, int], gap: int, pos: int, at: int) -> list[int] | None:
     """The next run after a changed word."""
-    window = doc[pos : pos + GAP // 2]
-    for skip in range(0, min(GAP // 2, len(item) - at - RESUME + 1)):
-        here = window.find(item[at + skip : at + skip + RESUME])
+    window = doc[pos : pos + gap // 2 + RESUME]
+    for skip in range(0, min(gap // 2, len(item) - at)):
+        size = probes.get(at + skip, RESUME)
+        if at + skip + size > len(item):
+            continue
+        here = window.find(item[at + skip : at + skip + size])
         if here >= 0 and (skip or here):
             n = ahead(doc, pos + here, item, at + skip)
             return [pos + here, at + skip, n]
@@ -290,7 +339,7 @@ def changes(doc: str, item: Item, one: list[int], two: list[int]) -> int | None:
     if d1 < d0 or i1 < i0:  # an overlap by equal letters at the edges of a changed word
         over = max(d0 - d1, i0 - i1)
         d0, i0 = d0 - over, i0 - over
-    if d1 - d0 > GAP or i1 - i0 > GAP:
+    if d1 - d0 > item.gap or i1 - i0 > item.gap:
         return None
     left, n = doc[d0:d1], 0
     for w in item.split(i0, i1) if i1 > i0 else []:
@@ -304,12 +353,12 @@ def changes(doc: str, item: Item, one: list[int], two: list[int]) -> int | None:
 
 def passage(doc: str, item: Item, anchors: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
     """(begin, end, letters of the item, changed words) of the largest passage with few enough changes."""
-    rs = runs(doc, item.text, anchors)
+    rs = runs(doc, item, anchors)
     links: list[list[tuple[int, int]]] = [[] for _ in rs]
     for i, one in enumerate(rs):
         for j in range(i + 1, len(rs)):
             two = rs[j]
-            if two[1] - one[1] - one[2] > GAP:
+            if two[1] - one[1] - one[2] > item.gap:
                 break
             # Both begin and end later, in the document and in the item.
             if two[0] > one[0] and two[1] > one[1] and two[0] + two[2] > one[0] + one[2] and two[1] + two[2] > one[1] + one[2]:
@@ -330,32 +379,76 @@ def passage(doc: str, item: Item, anchors: list[tuple[int, int]]) -> tuple[int,
     return best
 
 
-_scanners: dict[int, Scanner] = {}
+_scanners: dict[tuple[str, int], Scanner] = {}
+
+
+def scanner_of(name: str, n: int, block: Broadcast) -> Scanner:
+    """The automaton of a block, kept for the next batches and tasks of this worker."""
+    if (name, n) not in _scanners:
+        for old in [k for k in _scanners if k[0] != name] + list(_scanners)[: max(0, len(_scanners) - KEPT + 1)]:
+            _scanners.pop(old, None)
+        path = getattr(block, "_path", None)
+        _scanners[name, n] = Scanner(block.load_from_path(path) if path else block.value)  # the items aren't kept beside the automaton
+    return _scanners[name, n]
 
 
-def _scan(items: list[tuple[int, str]], name: int):
+def held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of at least ``most`` bytes."""
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _scan(blocks: list[Broadcast], name: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scanners:
-            _scanners.clear()
-            _scanners[name] = Scanner(items)
-        scanner = _scanners[name]
         kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
         names = [f.split()[0] for f in LEAKS.split(", ")]
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = [] if text is None or scanner.empty else scanner.match(text)
-                if found:
-                    place = origins(text)
-                    for key, begin, end, matched, whole, changed in found:
-                        exact = len(place) >= end
-                        rows.append((doc, key, place[begin] if exact else None, place[end - 1] + 1 if exact else None, matched, whole, changed))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        for group in held(batches, HELD_BYTES if len(blocks) > 1 else 1):
+            docs = [(key, text, stream(text)) for b in group for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text]
+            # From the block used last to the first, then back: its automaton is still there.
+            known = [n for n in range(len(blocks)) if (name, n) in _scanners]
+            for n in known + [n for n in range(len(blocks)) if n not in known]:
+                scanner = scanner_of(name, n, blocks[n])
+                rows = []
+                for doc, text, letters in docs:
+                    found = [] if scanner.empty else scanner.matched(letters)
+                    if found:
+                        place = origins(text)
+                        for key, begin, end, matched, whole, changed in found:
+                            exact = len(place) >= end
+                            rows.append((doc, key, place[begin] if exact else None, place[end - 1] + 1 if exact else None, matched, whole, changed))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return scan
 
 
+def item_blocks(items: DataFrame) -> list[Broadcast]:
+    """The items as broadcasts of about BLOCK_BYTES of text. The driver reads partition by partition and lets go of each block."""
+    spark = items.sparkSession
+    texts = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = -(-total // BLOCK_BYTES)
+    if parts > 1:
+        texts = texts.repartition(4 * parts, "item_id", F.xxhash64("text"))
+    out, block, size = [], [], 0
+    for key, text in texts.toLocalIterator():
+        block.append((key, text))
+        size += len(text.encode("utf-8", "surrogatepass"))
+        if size >= BLOCK_BYTES:
+            out.append(spark.sparkContext.broadcast(sorted(block)))
+            block, size = [], 0
+    if block:
+        out.append(spark.sparkContext.broadcast(sorted(block)))
+    return out
+
+
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, begin_char, end_char, matched, item_letters, changed`` for each item that a document holds.
 
@@ -365,14 +458,4 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     its longest passage. Null and empty texts and items without letters match nothing; equal
     items leak each; repeated documents are scanned each.
     """
-    texts = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = None
-    for n in range(blocks):
-        own = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
-        block = sorted((r[0], r[1]) for r in own.collect())  # about BLOCK_BYTES of text
-        found = rows.mapInArrow(_scan(block, hash(tuple(block))), LEAKS)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan(item_blocks(items), uuid4().hex), LEAKS)

@@ -239,7 +239,71 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     frame = spark.createDataFrame(items, "item_id bigint, text string")
     for size in (1 << 22, 700):
         monkeypatch.setattr(leaks, "BLOCK_BYTES", size)
-        assert {(r.doc_id, r.item_id) for r in leaks.leaked(docs, frame).collect()} == want
+        got = leaks.leaked(docs, frame)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        # However many blocks there are, the documents are read once.
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert len(leaks.item_blocks(frame)) > 3
+
+
+def test_markup_of_any_length_does_not_part_a_passage():
+    rng = random.Random(6)
+    text = passage(rng, 40)
+    scanner = leaks.Scanner([(1, text)])
+    for link in ('<a href="https://host.example/' + "x/" * 200 + '">{}</a>', "[{}](https://host.example/" + "y/" * 200 + ")", "<b\nclass='k'>{}</b>", "&nbsp;{}&#8203;"):
+        doc = " ".join(link.format(w) if i % 4 == 0 else w for i, w in enumerate(text.split()))
+        assert [r[0] for r in scanner.match(doc)] == [1]
+        assert leaks.stream(doc) == leaks.stream(text)
+
+
+def test_a_changed_word_may_be_long():
+    rng = random.Random(16)
+    words = passage(rng, 40).split()
+    words[20] = "q" * 90
+    item = " ".join(words)
+    other = " ".join("z" * 90 if i == 20 else w for i, w in enumerate(words))
+    assert [r[4] == r[3] for r in leaks.Scanner([(1, item)]).match(other)] == [True]
+
+
+def counts(doc: list[str], item: list[str]) -> bool:
+    """Whether a passage of the item counts that begins and ends with unchanged words, by exact alignment of words."""
+    size, far = [len(w) for w in item], 1 << 20
+    for begin in range(len(item)):
+        row = [far, *(0 if w == item[begin] else far for w in doc)]  # changed words up to each place of the document
+        for end in range(begin, len(item)):
+            same = row[1:]
+            if end > begin:
+                new = [far]
+                for j, w in enumerate(doc):
+                    new.append(min(row[j] + (w != item[end]), row[j + 1] + 1, new[j] + 1))
+                same = [row[j] if w == item[end] else far for j, w in enumerate(doc)]
+                row = new
+            if 2 * sum(size[begin : end + 1]) >= sum(size) and min(same) * leaks.CHANGED <= end + 1 - begin:
+                return True
+    return False
+
+
+def test_recall_against_exact_alignment():
+    """Passages cut, with words changed, left out and put in, of items that share parts with each other."""
+    rng = random.Random(12)
+    pool = [w + str(n) for w in WORDS for n in range(3)] + SHORT_WORDS
+    base = [rng.choice(pool) for _ in range(30)]
+    items = [[w if rng.random() < 0.8 else rng.choice(pool) for w in base] for _ in range(6)] + [[rng.choice(pool) for _ in range(rng.randint(8, 40))] for _ in range(14)]
+    scanner = leaks.Scanner([(k, " ".join(x)) for k, x in enumerate(items)])
+    right = found = 0
+    for _ in range(120):
+        item = rng.choice(items)
+        cut = item[rng.randint(0, len(item) // 3) :][: rng.randint(len(item) // 3, len(item))]
+        rate = rng.choice([0, 0.05, 0.1, 0.15])
+        doc = [rng.choice(pool) for _ in range(12)]
+        for w in cut:
+            what = rng.random()
+            doc += [] if what < rate / 4 else [w, "inserted"] if what < rate / 2 else ["changed"] if what < rate else [w]
+        doc += [rng.choice(pool) for _ in range(12)]
+        want = {k for k, x in enumerate(items) if counts(doc, x)}
+        got = {r[0] for r in scanner.match(" ".join(doc))}
+        right, found = right + len(want), found + len(want & got)
+    assert right > 120 and found >= 0.98 * right
 
 
 def test_items_that_share_most_of_their_text_leak_both():
