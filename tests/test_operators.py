@@ -346,4 +346,20 @@ def test_lines_against_the_exact_scan(spark):
     got = {r.raw_id: r.reason for r in rejects.load_lines(spark.createDataFrame(rows, "raw_id bigint, raw_line string")).collect()}
     for i, line in rows:
         fields, wrong = rejects.scan(line)
-        assert got[i] == ("quoting" if wrong else "columns" if len(fields) != 3 else "invalid_value" if rejects.values(fields)[1] else None)
+        valid = len(fields) == 3 and fields[0].strip() and rejects.WEIGHT.fullmatch(fields[1]) and rejects.in_range(fields[1])
+        assert got[i] == ("quoting" if wrong else "columns" if len(fields) != 3 else None if valid else "invalid_value")
+
+
+def test_reasons_come_from_the_joined_reject_rows(tmp_path):
+    import duckdb
+
+    lines = ["only", "x\t1\tm\tz", "x\tabc\tm", "x\t5\tm", '"abc"x"\t3\tt', "x\t99999999999999999999\t"]
+    read = rejects._read(duckdb.connect(), str(tmp_path), lines)
+    kinds = ["MISSING COLUMNS", "TOO MANY COLUMNS", "CAST", None, "UNQUOTED VALUE", "CAST"]
+    assert [read.errors.get(i, (None,))[0] for i in range(len(lines))] == kinds
+    got = [rejects.judged(x, read.rows.get(i), read.errors.get(i)) for i, x in enumerate(lines)]
+    assert [r[3] for r in got] == ["columns", "columns", "invalid_value", None, "quoting", "invalid_value"]
+    assert "weight" in got[2][4] and "byte 2" in got[2][4]
+    for i in (0, 1, 2, 5):  # without the reject rows there is no reason
+        with pytest.raises(ValueError, match="neither a row nor an error"):
+            rejects.judged(lines[i], read.rows.get(i), None)
