@@ -41,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in
-    tests on one machine, a folder of this machine is set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a folder of this
+    machine serves if all tasks run on it too (a local master); on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
     return df.checkpoint(eager=True)
 
