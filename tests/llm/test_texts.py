@@ -1,6 +1,7 @@
 """Encoding repair, look-alikes, splitting, leaks, sentences."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -395,6 +396,36 @@ def test_headings_lists_thai_and_hindi():
     assert [hindi[a:b] for a, b in sentences.units(hindi)] == ["डॉ. मोहन ने पूछा, “कौन अंक को बदलता है?”", "लंबा खंड रखता है।", "पृ. 88 देखें।"]
 
 
+@pytest.mark.parametrize(
+    "lang,parts",
+    [
+        ("ru", ["Он отдал книги им.", "Потом он ушёл.", "Это театр им. Чехова.", "По словам А. В. Фамоти, он стоит в г. Москве."]), ("en", ["She met her ex.", "They argued.", "He got an A.", "Then J. R. R. Tolkien wrote to Dr. Smith, e.g. on vol. 3."]),
+        (None, ["Sie prüft z. B. die Liste usw. und mehr.", "Vgl. Abs. 3 der Liste."]), ("de", ["La lignée est, p. ex., la plus longue.", "Il la répète."]), ("fr", ["He saw the ex.", "It was in the list of the files."]),
+    ],
+)
+def test_abbreviations_of_the_texts_language(lang, parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.units(text, lang)] == parts
+
+
+@pytest.mark.parametrize("text", ["እንዴት ነህ።|ደህና ነኝ።", "كيف حالك؟|بخير۔|نعم.", "Ինչպե՞ս եք։|Լավ։", "တို့။|ပြီး။", "ខ្ញុំ។|គាត់៕", "Τι κάνεις.|Καλά!"])
+def test_scripts_beyond_the_tables(text):
+    parts = text.split("|")
+    joined = " ".join(parts)
+    assert [joined[a:b] for a, b in sentences.units(joined)] == parts
+
+
+@pytest.mark.parametrize("piece", ["He said “it is done. Now (see Fig. 3) go.” ", "a. ", "(a. ", '("', "ก. \n", "One... or two?! “"])
+def test_time_grows_with_the_text(piece):
+    sentences.units(piece)
+    took = []
+    for size in (60_000, 600_000):
+        began = time.perf_counter()
+        sentences.units(piece * (size // len(piece)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
 @given(st.text(st.sampled_from("ab A.!?。”“«»()\n\t- 1ก…"), max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_units_are_in_order_and_hold_all_but_blanks(text):
