@@ -1,11 +1,15 @@
 """Problem 5: one form for strings that look the same.
 
-A transducer over grapheme clusters (a character with the marks that follow it) rewrites a text
-in one pass: at each cluster that isn't plain the longest entry of a precomputed mapping applies.
-The mapping is made by rule from the Unicode tables for widths, compatibility forms, ligatures,
-composition and blanks, drops invisible characters, and turns look-alike letters of other scripts
-into Latin ones. Before use it is checked for conflicts: it must be idempotent, keep case, accents,
-digits and punctuation apart, and never turn a visible sign into a blank.
+A transducer over grapheme clusters (a character with the marks that follow it) rewrites a text in
+one pass: at each cluster that isn't plain the longest entry of a precomputed mapping applies. The
+mapping holds single characters and clusters of several: it is made by rule from the Unicode
+tables for widths, compatibility forms, ligatures, composition and blanks, drops invisible
+characters, and turns look-alike letters of other scripts into Latin ones. All entries are checked
+for conflicts before use: each must be final, keep case, accents, digits and punctuation apart,
+never turn a visible sign into a blank, and agree with what its parts give.
+
+Clusters longer than any entry (several marks in any order, strewn with invisible characters) can
+be any number; they are rewritten by the rule that the mapping is made from.
 """
 
 from __future__ import annotations
@@ -20,14 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like a Latin letter, each above its double.
-LOOKALIKES = dict(
-    zip(
-        "аеорсухіјѕһԁԛԝ" "АВЕКМНОРСТХІЈЅҮԌԚԜ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "οϲϳ" "ɑɡօսոհ",
-        "aeopcyxijshdqw" "ABEKMHOPCTXIJSYGQW" "ABEZHIKMNOPTYX" "ocj" "agounh",
-        strict=True,
-    )
-)
+from ..session import cut
+
+# Fixed values, by script: letters that look like a Latin letter, each above its double.
+DOUBLES = {
+    "Cyrillic": ("аеорсухіјѕһԁԛԝӏ" "АВЕКМНОРСТХІЈЅҮԌԚԜӀ", "aeopcyxijshdqwl" "ABEKMHOPCTXIJSYGQWI"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" "αονρυϲϳ", "ABEZHIKMNOPTYXCJ" "aovpucj"),
+    "Armenian": ("օոսհցԼՕՏ", "ounhgLOS"),
+    "Latin": ("ɑɡ", "ag"),
+    "Coptic": ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ" "ⲟⲣⲥ", "ABEHIKMNOPCTYX" "opc"),
+    "Cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+}
+LOOKALIKES = {a: b for one, other in DOUBLES.values() for a, b in zip(one, other, strict=True)}
 #: Marks that join the character before them: combining marks, kana sound marks, Hangul vowels and finals.
 JOINING = "゙゚ﾞﾟ"
 HANGUL = range(0x1160, 0x1200)
@@ -59,31 +68,76 @@ def by_rule(cluster: str) -> str:
 
 
 @cache
-def mapping() -> dict[str, str]:
-    """Every single character that changes, with its form. Checked for conflicts."""
-    table = {}
+def singles() -> dict[str, str]:
+    """Every single character that changes, with its form."""
+    out = {}
     for c in map(chr, CODES):
         if c in LOOKALIKES or unicodedata.decomposition(c) or unicodedata.category(c) == "Zs" or dropped(c):
             form = by_rule(c)
             if form != c:
-                table[c] = form
-    conflicts = {c: f for c, f in table.items() if conflict(c, f)}
-    for c in conflicts:
-        del table[c]
-    return table
+                out[c] = form
+    return out
+
+
+def sequences() -> Iterator[str]:
+    """Clusters of several characters that are one when composed: those of the tables, and with every other form of their first character."""
+    first: dict[str, list[str]] = {}
+    for c, form in singles().items():
+        if len(form) == 1 and not unicodedata.combining(c):
+            first.setdefault(form, []).append(c)
+    for c in map(chr, CODES):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            parts = unicodedata.normalize("NFD", c)
+            if len(parts) > 1 and not unicodedata.combining(parts[0]):
+                tails = {parts[1:], "".join(sorted(parts[1:])), "".join(sorted(parts[1:], reverse=True))}
+                yield from (head + tail for head in (parts[0], *first.get(parts[0], ())) for tail in tails)
+                # A letter that already holds one of its marks, with the others behind.
+                for k in range(1, len(parts) - 1):
+                    for left in (parts[1 : k + 1], parts[len(parts) - k :]):
+                        head = unicodedata.normalize("NFC", parts[0] + left)
+                        rest = "".join(m for m in parts[1:] if m not in left)
+                        if len(head) == 1 and rest:
+                            yield head + rest
+    leads, vowels, finals = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
+    for lead in leads:
+        for vowel in vowels:
+            yield chr(lead) + chr(vowel)
+            for final in finals:
+                yield chr(lead) + chr(vowel) + chr(final)
+                yield unicodedata.normalize("NFC", chr(lead) + chr(vowel)) + chr(final)
+
+
+@cache
+def mapping() -> dict[str, str]:
+    """The entries of the transducer: single characters and clusters, with their forms. Checked for conflicts."""
+    table = dict(singles())
+    for cluster in sequences():
+        form = by_rule(cluster)
+        if form != cluster:
+            table[cluster] = form
+    return {c: form for c, form in table.items() if not conflict(c, form)}
+
+
+@cache
+def longest() -> int:
+    return max(map(len, mapping()))
 
 
 def conflict(c: str, form: str) -> bool:
-    """Whether an entry would unite what must stay apart, or isn't final."""
+    """Whether an entry would unite what must stay apart, isn't final, or disagrees with what its parts give."""
     if form and by_rule(form) != form:
         return True
-    if unicodedata.category(c) != "Zs" and form and not form.strip():
+    if len(c) > 1:
+        if not form.strip() or any(conflict(x, by_rule(x)) for x in c if x in singles()):
+            return True
+        return any(by_rule(by_rule(c[:k]) + c[k:]) != form for k in range(1, len(c)))
+    kind = unicodedata.category(c)
+    if kind != "Zs" and form and not form.strip():
         return True
-    upper = unicodedata.category(c)
-    if len(form) == 1 and upper in ("Lu", "Ll") and unicodedata.category(form) in ("Lu", "Ll") and upper != unicodedata.category(form):
+    if len(form) == 1 and kind in ("Lu", "Ll") and unicodedata.category(form) in ("Lu", "Ll") and kind != unicodedata.category(form):
         return True
     digit = unicodedata.digit(c, None)
-    return digit is not None and unicodedata.category(c) == "Nd" and unicodedata.digit(form, digit) != digit
+    return digit is not None and kind == "Nd" and unicodedata.digit(form, digit) != digit
 
 
 def _class(chars: list[int]) -> str:
@@ -113,11 +167,25 @@ def clusters() -> re.Pattern:
             joining.add(int(parts[1], 16))
     # Within 16 bits a class is a table; characters beyond are few and all looked up.
     marks, joining = ({n for n in x if n < 0x10000} for x in (marks, joining))
-    special = sorted(n for n in {ord(c) for c in mapping()} - marks if n < 0x10000)
+    special = sorted(n for n in {ord(c) for c in singles() if c in mapping()} - marks if n < 0x10000)
     m, j = _class(sorted(marks)), _class(sorted(joining & marks))
     return re.compile(f"[{_class(special)}][{m}]*|[\\U00010000-\\U0010ffff]+[{m}]*|[^{m}\\x00-\\x1f](?:[{j}][{m}]*|[{m}]{{2,}})|[{m}]+")
 
 
+def rewritten(cluster: str) -> str:
+    """The form of a cluster: entries by the longest match, where nothing but invisible characters is left between them."""
+    table, most = mapping(), longest()
+    if len(cluster) <= most and (form := table.get(cluster)) is not None:
+        return form
+    if len(cluster) == 1:
+        return cluster
+    # What can't be seen belongs to no entry; without it the cluster may be one.
+    seen = "".join(c for c in cluster if table.get(c) != "")
+    if seen != cluster and len(seen) <= most and (not seen or seen in table or len(seen) == 1):
+        return table.get(seen, seen)
+    return by_rule(cluster)
+
+
 _known: dict[str, str] = {}
 
 
@@ -125,10 +193,7 @@ def _form(m: re.Match) -> str:
     cluster = m[0]
     form = _known.get(cluster)
     if form is None:
-        table = mapping()
-        form = table.get(cluster) if len(cluster) == 1 else by_rule(cluster)
-        if form is None:
-            form = cluster
+        form = rewritten(cluster)
         if len(_known) < CACHE:
             _known[cluster] = form
     return form
@@ -154,30 +219,58 @@ def canonical_forms(df: DataFrame) -> DataFrame:
     return df.select("field", F.col("key").cast("bigint").alias("key"), "text").mapInArrow(_forms, FORMS)
 
 
-#: So many rows of one string are one part when pairs are made.
-PART = 20_000
+#: So many rows of one string are one part when pairs are made, and so many shares its rows are spread over before that.
+PART, SHARES = 20_000, 32
+GROUP, STRING = ["field", "f1", "f2"], ["field", "s1", "s2"]
+
+
+def hashed(forms: DataFrame) -> DataFrame:
+    """``field, key`` and the 128-bit hashes of form and text of every different row, written once."""
+    two = lambda c, out: [F.xxhash64(c).alias(f"{out}1"), F.xxhash64(F.lit(1), c).alias(f"{out}2")]
+    rows = forms.filter("key is not null and text is not null").select("field", "key", *two("form", "f"), *two("text", "s")).distinct()
+    return cut(rows)
+
+
+def strings_of(rows: DataFrame) -> DataFrame:
+    """The different strings of forms that have several, with their rows ``n``, and rows ``total``, strings ``m`` and least key of the form."""
+    strings = rows.groupBy(*GROUP, "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    forms = strings.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"), F.min("least").alias("class_key")).filter("m > 1")
+    return strings.join(forms, GROUP).drop("least")
+
+
+def members_of(rows: DataFrame, strings: DataFrame) -> DataFrame:
+    """The rows of the strings. A string may hold a third of all rows: its rows are spread over shares, and the string is repeated for each."""
+    spread_rows = rows.select("field", "key", "s1", "s2").withColumn("share", F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(SHARES)).cast("int"))
+    shares = strings.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return spread_rows.join(shares, [*STRING, "share"]).drop("share")
+
+
+def lookalike_classes(forms: DataFrame) -> DataFrame:
+    """``field, key, class_key, links`` of every row whose form has several texts.
+
+    ``class_key`` is the least key of the class, ``links`` the number of its rows with another
+    text. Copies aren't expanded into pairs. A key with several texts has a row for each. Rows
+    with a null key or text are in no class; an empty table gives none.
+    """
+    rows = hashed(forms)
+    return members_of(rows, strings_of(rows)).select("field", "key", "class_key", (F.col("total") - F.col("n")).alias("links"))
 
 
 def lookalike_pairs(forms: DataFrame) -> DataFrame:
     """``field, key_a, key_b`` of rows whose texts differ but have the same form; key_a < key_b.
 
-    Strings stand as 128-bit hashes. Pairs are made between distinct strings of a form, and only
-    then between their rows, so copies of one string are never compared with each other; a string
-    with many rows is taken in parts. Rows with a null key or text have no partner.
+    All pairs between the rows of ``lookalike_classes``, for those who need them. They are made
+    between distinct strings of a form, and only then between their rows, so copies of one string
+    are never compared with each other; a string with many rows is taken in parts. Rows with a
+    null key or text have no partner.
     """
-    rows = forms.filter("key is not null and text is not null").select(
-        "field", "key", F.struct(F.xxhash64("form"), F.xxhash64(F.lit(1), "form")).alias("f"), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("s")
-    )
-    rows = rows.select("field", "key", F.col("f.col1").alias("f1"), F.col("f.col2").alias("f2"), F.col("s.col1").alias("s1"), F.col("s.col2").alias("s2")).distinct()
-    group, string = ["field", "f1", "f2"], ["field", "s1", "s2"]
-    strings = rows.groupBy(*group, "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
-    several = strings.groupBy(*group).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(*group)
-    strings = strings.join(several, group, "left_semi").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    a = strings.select(*group, F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("parts").alias("a_parts"))
-    b = strings.select(*group, F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("parts").alias("b_parts"))
-    pairs = a.join(b, group).filter("a1 < b1 or (a1 = b1 and a2 < b2)").drop("f1", "f2")
+    rows = hashed(forms)
+    strings = strings_of(rows).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    a = strings.select(*GROUP, F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("parts").alias("a_parts"))
+    b = strings.select(*GROUP, F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("parts").alias("b_parts"))
+    pairs = a.join(b, GROUP).filter("a1 < b1 or (a1 = b1 and a2 < b2)").drop("f1", "f2")
     pairs = pairs.withColumn("a_part", F.explode(F.sequence(F.lit(0), F.col("a_parts") - 1))).withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1)))
-    members = rows.join(strings.select(*string, "parts"), string).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    members = members_of(rows, strings.select(*STRING, "parts")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     of = lambda x: members.select("field", F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("part").alias(f"{x}_part"), F.col("key").alias(f"key_{x}"))
     pairs = pairs.join(of("a"), ["field", "a1", "a2", "a_part"]).join(of("b"), ["field", "b1", "b2", "b_part"])
     return pairs.filter("key_a <> key_b").select("field", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()

@@ -10,7 +10,7 @@ from .deliveries import first_delivery
 from .encodings import repaired_texts
 from .frequent import most_frequent
 from .leaks import leaked
-from .lookalikes import canonical_forms, lookalike_pairs
+from .lookalikes import canonical_forms, lookalike_classes, lookalike_pairs
 from .mixing import byte_tokens, mix_report, mixture, shuffled
 from .sentences import sentences
 from .splitting import LIMIT, split_oversized
@@ -139,6 +139,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(looking_alike(spark, d)).select(F.col("field").alias("field_name"), "key_a", "key_b")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_classes(looking_alike(spark, d)).select(F.col("field").alias("field_name"), "key", "class_key", "links")
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return looking_alike(spark, d).select(F.col("field").alias("field_name"), "key", "form")
 
@@ -151,7 +155,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_classes, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""

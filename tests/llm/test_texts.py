@@ -113,7 +113,7 @@ def test_repaired_texts_with_nulls_and_clashes(spark):
 
 SAME = [
     ("Ｆｕｌｌ　ｗｉｄｔｈ", "Full width"), ("café", "café"), ("a​b⁠c﻿", "abc"), ("a b", "a b"), ("аррle", "apple"), ("ﬁne", "fine"),
-    ("ｶﾞｷﾞ", "ガギ"), ("が", "が"), ("⼀元", "一元"), ("ё", "ё"), ("Ѕоѕ", "Sos"), ("น้ำ", "น้ํา"), ("한", "한"),
+    ("ｶﾞｷﾞ", "ガギ"), ("が", "が"), ("⼀元", "一元"), ("ё", "ё"), ("Ѕоѕ", "Sos"), ("ραν", "pav"), ("ӏ", "l"), ("ᎪᏴ", "AB"), ("ꓮꓐ", "AB"), ("Ⲁⲟ", "Ao"), ("น้ำ", "น้ํา"), ("한", "한"),
 ]
 APART = [("a", "A"), ("é", "e"), ("1", "l"), ("a.", "a,"), ("ñ", "n"), ("ハ", "バ"), ("い", "ぃ"), ("ab", "a b"), ("0", "O")]
 
@@ -136,6 +136,32 @@ def test_canonical_is_final_and_ignores_composition(text):
     assert lookalikes.canonical(unicodedata.normalize("NFD", text)) == lookalikes.canonical(unicodedata.normalize("NFC", text))
 
 
+LETTERS = [c for c in (chr(n) for n in range(0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo", "Lm")]
+MARKS = "".join(chr(n) for n in range(0x300, 0x350)) + "\u3099\u309a\u0e4d\u200d\ufe0f\u00ad\u05b4\u0651\u093c\u1161\u11a8"
+
+
+@given(st.sampled_from(LETTERS), st.lists(st.sampled_from(MARKS), max_size=5))
+@settings(max_examples=1500, deadline=None)
+def test_entries_give_what_the_rule_gives(letter, marks):
+    cluster = letter + "".join(marks)
+    assert lookalikes.rewritten(cluster) == lookalikes.by_rule(cluster) or len(cluster) == 1
+
+
+def test_entries_of_several_characters_are_compiled_and_checked():
+    table = lookalikes.mapping()
+    assert table["e\u0301"] == "é" and table["\uff45\u0301"] == "é" and table["\u0435\u0301"] == "é" and table["ᄒ\u1161\u11ab"] == "한" and table["a\u0323\u0302"] == table["a\u0302\u0323"] == table["ạ\u0302"] == "ậ"
+    assert lookalikes.longest() == 4 and sum(len(c) > 1 for c in table) > 30_000
+    assert lookalikes.conflict("e\u0301", "e") and lookalikes.conflict("e\u0301", "É") and lookalikes.conflict("ｅ", "E") and lookalikes.conflict("\u2022", " ")
+
+
+def test_classes_count_links(spark):
+    rows = [("text", 1, "abc"), ("text", 2, "аbc"), ("text", 3, "abc"), ("text", 4, "ａbc"), ("text", 5, "xyz"), ("text", 6, "xyz"), ("text", 4, "ａbc"), ("surface", 1, "abc"), ("text", None, "abc"), ("text", 7, None)]
+    forms = lookalikes.canonical_forms(spark.createDataFrame(rows, "field string, key bigint, text string"))
+    got = sorted(tuple(r) for r in lookalikes.lookalike_classes(forms).collect())
+    assert got == [("text", 1, 1, 2), ("text", 2, 1, 3), ("text", 3, 1, 2), ("text", 4, 1, 3)]
+    assert lookalikes.lookalike_classes(forms.limit(0)).collect() == []
+
+
 def test_mapping_has_no_conflicts():
     assert not [c for c, f in lookalikes.mapping().items() if lookalikes.conflict(c, f)]
     assert all(lookalikes.canonical(f) == f for f in lookalikes.mapping().values())
