@@ -44,7 +44,8 @@ RESUME, RESUME_WORDS = 8, 4
 NEAR = 16
 CHANGED = 6
 
-SWAPS = str.maketrans(LOOKALIKES)
+#: Look-alike letters without case; where a capital and its small form look like different letters, the capital counts.
+SWAPS = str.maketrans({k.casefold(): v.casefold() for k, v in sorted(LOOKALIKES.items(), key=lambda x: x[0].isupper()) if len(k.casefold()) == 1})
 LOOK = re.compile("[" + "".join(map(chr, sorted(SWAPS))) + "]")
 #: Tags with their attributes, targets of links, character references.
 MARKUP = re.compile(r"</?[A-Za-z][\w:-]*+(?:\s[^<>]*+|/)?>|(?<=\])\([^()\s]*+\)|&(?:[A-Za-z]{2,8}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});")
@@ -59,8 +60,8 @@ def folded(text: str) -> str:
         return text.lower()
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    # Before the case goes: a capital may look like another letter than its small form.
-    return (text.translate(SWAPS) if LOOK.search(text) else text).casefold()
+    text = text.casefold()
+    return text.translate(SWAPS) if LOOK.search(text) else text
 
 
 def stream(text: str) -> str:

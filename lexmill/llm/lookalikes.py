@@ -220,7 +220,7 @@ def canonical_forms(df: DataFrame) -> DataFrame:
 
 
 #: So many rows of one string are one part when pairs are made, and so many shares its rows are spread over before that.
-PART, SHARES = 20_000, 32
+PART, SHARES = 20_000, 8
 GROUP, STRING = ["field", "f1", "f2"], ["field", "s1", "s2"]
 
 
