@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 RUN_ROWS = 200_000
 RUNS = "field string, item string, weight bigint"
@@ -104,10 +104,10 @@ def _heaviest(bound: int):
                     close()
                     last, weight = key, int(sums[i])
         close()
-        rows = [(f, x, n, totals[f]) for f, heap in heaps.items() for n, x in heap]
+        rows = [(f, x, n, None) for f, heap in heaps.items() for n, x in heap] + [(f, None, None, n) for f, n in totals.items()]
         if rows:
             f, x, n, t = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(x), pa.array(n, pa.int64()), pa.array(t, pa.decimal128(38, 0))], names=["field", "item", "weight", "range_total"])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(x, pa.string()), pa.array(n, pa.int64()), pa.array(t, pa.decimal128(38, 0))], names=["field", "item", "weight", "range_total"])
 
     return ranged
 
@@ -123,15 +123,15 @@ def most_frequent(df: DataFrame, share: float = 0.005, ranges: int | None = None
     spark = df.sparkSession
     bound = math.ceil(1 / share)
     rows = df.select("field", "item", "weight").filter("field is not null and item is not null and weight > 0")
-    runs = rows.mapInArrow(sorted_runs, RUNS)
+    # The exchange by ranges reads its input twice, for their bounds and for itself: the runs are written once.
+    runs = cut(rows.mapInArrow(sorted_runs, RUNS))
     ranged = runs.repartitionByRange(ranges or spread(spark), "field", "item").sortWithinPartitions("field", "item")
-    heavy = ranged.mapInArrow(_heaviest(bound), CANDIDATES)
-    # One row a range and value from here on: at most ranges x bound rows.
-    heavy = heavy.withColumn("__range", F.spark_partition_id())
-    heavy = heavy.withColumn("nth", F.row_number().over(Window.partitionBy("field", "__range").orderBy("item")))
-    by_field = Window.partitionBy("field")
+    # One row a range and value from here on: at most ranges x bound rows, and for each field one row a range with its total.
+    heavy = cut(ranged.mapInArrow(_heaviest(bound), CANDIDATES))
+    totals = heavy.filter("item is null").groupBy("field").agg(F.sum("range_total").cast("decimal(38,0)").alias("total"))
     return (
-        heavy.withColumn("total", F.sum(F.when(F.col("nth") == 1, F.col("range_total"))).over(by_field).cast("decimal(38,0)"))
+        heavy.filter("item is not null")
+        .join(totals, "field")
         .filter(F.col("weight") >= F.col("total") * F.lit(share).cast("decimal(18,9)"))
         .select("field", "item", "weight", F.col("total").cast("bigint").alias("total"), (F.col("weight") / F.col("total").cast("double")).alias("share"))
     )

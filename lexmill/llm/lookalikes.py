@@ -152,9 +152,13 @@ def _class(chars: list[int]) -> str:
     return "".join(out)
 
 
+ASTRAL = "\\U00010000-\\U0010ffff"
+BEYOND = re.compile(f"[{ASTRAL}]")
+
+
 @cache
-def clusters() -> re.Pattern:
-    """Matches the clusters that may change.
+def clusters() -> tuple[re.Pattern, re.Pattern]:
+    """Match the clusters that may change: in texts of 16-bit characters, and in others.
 
     They hold a character that changes, a mark that joins with others or can't be seen, or
     several marks, whose order may vary. A plain character with one plain mark stays as it is.
@@ -169,7 +173,11 @@ def clusters() -> re.Pattern:
     marks, joining = ({n for n in x if n < 0x10000} for x in (marks, joining))
     special = sorted(n for n in {ord(c) for c in singles() if c in mapping()} - marks if n < 0x10000)
     m, j = _class(sorted(marks)), _class(sorted(joining & marks))
-    return re.compile(f"[{_class(special)}][{m}]*|[\\U00010000-\\U0010ffff]+[{m}]*|[^{m}\\x00-\\x1f](?:[{j}][{m}]*|[{m}]{{2,}})|[{m}]+")
+    return (
+        re.compile(f"[{_class(special)}][{m}]*|[^{m}\\x00-\\x1f](?:[{j}][{m}]*|[{m}]{{2,}})|[{m}]+"),
+        # Beyond 16 bits there are marks too, which join with what stands before.
+        re.compile(f"[^{m}\\x00-\\x1f]?[{m}]*[{ASTRAL}][{m}{ASTRAL}]*|[{_class(special)}][{m}]*|[^{m}\\x00-\\x1f](?:[{j}][{m}]*|[{m}]{{2,}})|[{m}]+"),
+    )
 
 
 def rewritten(cluster: str) -> str:
@@ -201,7 +209,7 @@ def _form(m: re.Match) -> str:
 
 def canonical(text: str) -> str:
     """The one form of all strings that look like text."""
-    return text if text.isascii() else clusters().sub(_form, text)
+    return text if text.isascii() else clusters()[BEYOND.search(text) is not None].sub(_form, text)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -13,7 +13,7 @@ from .leaks import leaked
 from .lookalikes import canonical_forms, lookalike_classes, lookalike_pairs
 from .mixing import byte_tokens, mix_report, mixture, shuffled
 from .sentences import sentences
-from .splitting import LIMIT, split_oversized
+from .splitting import LIMIT, OVERLAP, split_oversized
 from .term_counts import marked, term_counts
 
 
@@ -105,6 +105,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversized(spark, d).drop("item_cut")
 
 
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Of each text that was cut: its size, whether all pieces fit and share at most the overlap, and a digest of the pieces joined again."""
+    cut = oversized(spark, d)
+    nth = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    pieces = cut.withColumn("shared", F.coalesce(F.lag("end_char").over(nth) - F.col("begin_char"), F.lit(0))).withColumn("shared_bytes", F.coalesce(F.lag("end_byte").over(nth) - F.col("begin_byte"), F.lit(0)))
+    pieces = pieces.withColumn("own", F.expr("substring(text, shared + 1)"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    return pieces.groupBy("item_kind", "item_id").agg(
+        F.max("end_byte").cast("bigint").alias("n_bytes"), (F.max(F.octet_length("text")) <= LIMIT).alias("all_fit"), F.min(F.col("shared_bytes").between(0, OVERLAP).cast("int")).cast("boolean").alias("overlap_fits"), F.md5(joined).alias("digest")
+    )
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -129,6 +141,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(sized(spark, d), table(spark, d, "mix_target"))
 
 
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Of each target source its sizes, whether no document stands too often, and whether the mixture holds what it should within six standard deviations."""
+    docs, targets = sized(spark, d), table(spark, d, "mix_target")
+    report = mix_report(docs, targets).join(docs.groupBy("source").agg(F.sum(F.col("n_tokens").cast("double") ** 2).alias("squares")), "source", "left")
+    meant = F.least("target_tokens", F.col("max_repeats") * F.col("source_tokens").cast("double"))
+    near = F.abs(F.col("mixed_tokens") - meant) <= 6 * F.sqrt((F.col("repetition") + 1) * F.coalesce("squares", F.lit(0.0)))
+    return report.select("source", "source_docs", "source_tokens", "total_tokens", "short", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), near.alias("near_target"))
+
+
 def looking_alike(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "refrow").select(F.lit("text").alias("field"), F.col("row_id").alias("key"), "text")
     surfaces = table(spark, d, "surface_form").select(F.lit("surface").alias("field"), F.col("surface_id").alias("key"), F.col("surface").alias("text"))
@@ -155,7 +176,18 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_classes, p5_canonical, p6_found, p6_pieces, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_sentences)}
+BLANKS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of the units of each document, joined again without blanks."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    units = sentences(table(spark, d, "documents")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "begin_char", "end_char"))).alias("units"))
+    own = F.transform("units", lambda u: F.substring("text", u["begin_char"] + 1, u["end_char"] - u["begin_char"]))
+    return docs.join(units, "doc_id").select("doc_id", F.md5(F.regexp_replace(F.array_join(own, ""), BLANKS, "")).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_frequent_items, p3_found, p3_term_counts, p5_found, p5_classes, p5_canonical, p6_found, p6_pieces, p6_restored, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p8_bounds, p9_found, p9_sentences, p9_restored)}
 
 ENTRIES = "select distinct entry_id, run_id, piece, piece_count from spill_entry"
 P2 = f"""
@@ -180,6 +212,11 @@ SQL = {
     "p3_found": f"with r as ({P3}) select field_name, term, 'rare' mark from r where rare union all select field_name, term, 'common' from r where common",
     "p6_found": """with i as (select 'documents' item_kind, doc_id item_id, text from documents union all select 'refrow', row_id, arg_min(text, arrived_at) from refrow where strlen(text) > 4192 group by row_id)
 select item_kind, item_id, case when list_max(list_transform(regexp_split_to_array(text, '[\\s\\v\\x1c-\\x1f\\x85\\pZ\\p{P}]'), lambda x: strlen(x))) > 4192 then 'forced' else 'natural' end cut_kind from i where strlen(text) > 4192""",
+    "p6_restored": """with i as (select 'documents' item_kind, doc_id item_id, text from documents union all select 'refrow', row_id, arg_min(text, arrived_at) from refrow where strlen(text) > 4192 group by row_id)
+select item_kind, item_id, strlen(text) n_bytes, true all_fit, true overlap_fits, md5(text) digest from i where strlen(text) > 4192""",
+    "p9_restored": r"select doc_id, md5(regexp_replace(text, '[\s\v\x1c-\x1f\x85\pZ]', '', 'g')) digest from documents where regexp_matches(text, '[^\s\v\x1c-\x1f\x85\pZ]')",
+    "p8_bounds": """with s as (select source, sum(coalesce(strlen(text), 0) + 1) n, count(*) d from documents group by source), t as (select sum(n) total from s)
+select source, cast(coalesce(d, 0) as bigint) source_docs, cast(coalesce(n, 0) as bigint) source_tokens, cast(total as bigint) total_tokens, target_share * total > max_repeats * coalesce(n, 0) short, true within_cap, true near_target from mix_target left join s using (source), t""",
     "p8_found": """with s as (select source, sum(coalesce(strlen(text), 0) + 1) n from documents group by source), t as (select sum(n) total from s)
 select source from mix_target left join s using (source), t where target_share * total > max_repeats * coalesce(n, 0)""",
 }

@@ -46,8 +46,8 @@ def depths(text: str, ends: np.ndarray) -> np.ndarray:
     if len(ends) < 2:
         return np.zeros(len(ends))
     words, at = [], []
-    for m in WORD.finditer(text.lower() if text.isascii() else text):
-        words.append(m[0])
+    for m in WORD.finditer(text):
+        words.append(m[0].casefold())
         at.append(m.start())
     if not words:
         return np.zeros(len(ends))
@@ -148,15 +148,6 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, edges: np.ndar
         start, done = begin, cut
 
 
-def forced(text: str, limit: int = LIMIT) -> bool:
-    """Whether a stretch of more than ``limit`` bytes has no white space and no punctuation."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    stops = np.concatenate(([-1], np.flatnonzero(breaks()[points]), [len(points)]))
-    return bool((at[stops[1:]] - at[stops[:-1] + 1] > limit).any())
-
-
 def _cut(limit: int, overlap: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PIECES.split(", ")]

@@ -185,6 +185,15 @@ def test_pairs_against_brute_force(spark, monkeypatch):
 # --- splitting ---
 
 
+def forced(text: str, limit: int) -> bool:
+    """Whether a stretch of more than ``limit`` bytes has no white space and no punctuation."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    stops = np.concatenate(([-1], np.flatnonzero(splitting.breaks()[points]), [len(points)]))
+    return bool((at[stops[1:]] - at[stops[:-1] + 1] > limit).any())
+
+
 @given(st.lists(st.sampled_from(["a", "b", "é", "中", "😀", " ", ".", "\n", "word", "ั", ". "]), max_size=200), st.sampled_from([8, 20, 64]), st.integers(0, 4))
 @settings(max_examples=200, deadline=None)
 def test_pieces_cover_fit_and_overlap(parts, limit, overlap):
@@ -197,7 +206,12 @@ def test_pieces_cover_fit_and_overlap(parts, limit, overlap):
     for p, q in zip(found, found[1:]):
         assert p[0] < q[0] <= p[1] < q[1] and p[3] - q[2] <= overlap
     if len(raw) > limit:
-        assert any(p[4] in ("token", "forced") for p in found) == splitting.forced(text, limit)
+        assert any(p[4] in ("token", "forced") for p in found) == forced(text, limit)
+
+
+def test_words_count_without_case_in_any_text():
+    ends = np.array([18, 36, 54])
+    assert (splitting.depths("Ab cd é. x y z. k" * 5, ends) == splitting.depths("AB CD É. X y Z. k" * 5, ends)).all()
 
 
 def test_cuts_fall_where_the_topic_changes():
