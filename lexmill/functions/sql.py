@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf, arrow_udtf
 
 from ..kernels.model import Model
-from ..operators.segment import _lists, encoder
+from ..operators.segment import encoder
 from .text import kept
 
 
@@ -26,8 +27,7 @@ def register(spark: SparkSession, model: Model, prefix: str = "lm") -> list[str]
 
     @arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        run = encoder(own())
-        return _lists([None if t is None else run(t) for t in text.to_pylist()])
+        return encoder(own())(text)
 
     @arrow_udf("array<string>")
     def encode_pieces(text: pa.Array) -> pa.Array:
@@ -39,8 +39,7 @@ def register(spark: SparkSession, model: Model, prefix: str = "lm") -> list[str]
 
     @arrow_udf("int")
     def count(text: pa.Array) -> pa.Array:
-        run = encoder(own())
-        return pa.array([None if t is None else len(run(t)) for t in text.to_pylist()], pa.int32())
+        return pc.list_value_length(encoder(own())(text))
 
     @arrow_udtf(returnType="seq int, piece string, id int, begin int, end int")
     class Tokenize:

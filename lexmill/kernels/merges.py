@@ -61,6 +61,10 @@ def merge(symbols: Sequence[Hashable], rule: Callable, drop: Callable | None = N
     return out
 
 
+#: Words of so many characters are merged in a list, longer ones with a heap; the result is the same.
+SHORT, NO_PAIR = 200, float("-inf")
+
+
 class PairKernel:
     """Segmenting by the scores of a merge vocabulary: the pair whose union scores best is merged first.
 
@@ -76,10 +80,30 @@ class PairKernel:
         self.matcher = PrefixMatcher(users)
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "UNKNOWN"), -1)
 
+    def short(self, text: str) -> list[tuple[int, int, int]]:
+        """The same for a word: the best pair is looked for among all, the leftmost first."""
+        parts, get = list(text), self.scores.get
+        pairs = [get(a + b, NO_PAIR) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > NO_PAIR:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NO_PAIR)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NO_PAIR)
+        out, at = [], 0
+        for p in parts:
+            out.append((at, at + len(p), self.ids.get(p, self.unknown)))
+            at += len(p)
+        return out
+
     def best(self, text: str, alpha: float = 0.0, rng=None) -> list[tuple[int, int, int]]:
         """(begin, end, id) of the pieces. alpha: the share of merges that is skipped at random."""
         if not text:
             return []
+        if alpha <= 0 and len(text) <= SHORT and not self.users and not self.unused:
+            return self.short(text)
         parts = self.matcher.split(text) if self.users else [(c, False) for c in text]
         made: dict[str, tuple[str, str]] = {}
         scores, unused = self.scores, self.unused

@@ -1,8 +1,9 @@
 """Encoding and decoding columns with a model.
 
 The model travels in the task's closure (a vocabulary is bounded by its training options) and is
-built once in a worker. Where no piece crosses words, each distinct word is worked out once in a
-worker and looked up from then on; no shuffle is needed for that.
+built once in a worker. Where no piece crosses words, a batch is split into words and
+dictionary-encoded in Arrow, each distinct word is worked out once in a worker and looked up from
+then on, and the ids are gathered by their numbers; no shuffle is needed for that.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import kept
 from ..kernels.model import Model
+from ..spec import SPACE
 
 SPAN = pa.struct([("piece", pa.string()), ("id", pa.int32()), ("surface", pa.string()), ("begin", pa.int32()), ("end", pa.int32())])
 SPAN_DDL = "array<struct<piece string, id int, surface string, begin int, end int>>"
@@ -37,11 +40,77 @@ def _lists(rows: list[list[int] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
 
 
-def encoder(model: Model) -> Callable[[str], list[int]]:
+def words_of(model: Model, batch: pa.Array) -> pa.Array | None:
+    """The words of each text, without their space signs, null for null and empty texts; None if a text may begin without the sign."""
+    spec = model.normalizer
+    plain = spec.rules is None and spec.name == "identity" and not model.normalize.symbols
+    if plain and spec.add_dummy_prefix and spec.escape_whitespaces:
+        text = batch
+        if spec.remove_extra_whitespaces:
+            text = pc.utf8_trim(text, " ")
+            if pc.any(pc.match_substring(text, "  ")).as_py():
+                text = pc.replace_substring_regex(text, " +", " ")
+        text, sign = pc.replace_substring(text, SPACE, " "), " "
+        return pc.split_pattern(filled(text), sign)
+    text = filled(pa.array([None if t is None else model.normalize(t) for t in batch.to_pylist()], pa.string()))
+    if pc.all(pc.starts_with(text, SPACE)).as_py() is False:
+        return None
+    return pc.split_pattern(pc.utf8_slice_codeunits(text, 1), SPACE)
+
+
+def filled(text: pa.Array) -> pa.Array:
+    """text with null for what is empty."""
+    return pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+
+
+class BatchEncoder:
+    """Ids of batches of texts, for models whose pieces don't cross words and stand behind their space sign."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def ids_of(self, word: str) -> tuple[int, ...]:
+        ids = self.known.get(word)
+        if ids is None:
+            m, full = self.model, SPACE + word
+            ids = tuple(i for _, i, _, _ in m.finished(full, m.segment(full)))
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+    def __call__(self, batch: pa.Array) -> pa.Array:
+        words = words_of(self.model, batch)
+        if words is None:
+            return _lists([None if t is None else self.model.encode(t) for t in batch.to_pylist()])
+        coded = words.flatten().dictionary_encode()
+        own = list(map(self.ids_of, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
+        code = coded.indices.to_numpy()
+        size = sizes[code]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.repeat(starts[code] - ends[:-1], size) + np.arange(ends[-1])]
+        rows = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))))
+        bounds = ends[rows]
+        if not self.model.trainer.byte_fallback:  # unknown pieces side by side are one
+            unknown = ids == self.model.unk
+            again = np.zeros(len(ids), bool)
+            again[1:] = unknown[1:] & unknown[:-1]
+            again[bounds[:-1][bounds[:-1] < len(ids)]] = False
+            ids, bounds = ids[~again], bounds - np.concatenate(([0], np.cumsum(again)))[bounds]
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pc.is_null(batch) if batch.null_count else None)
+
+
+def encoder(model: Model) -> Callable[[pa.Array], pa.Array]:
+    if model.by_words and not model.trainer.whitespace_as_suffix:
+        return kept(("batches", model.key), lambda: BatchEncoder(model))
     if model.by_words:
         known = kept(("words", model.key), dict)
-        return lambda t: model.encode_words(t, known, KNOWN_WORDS)
-    return model.encode
+        return lambda batch: _lists([None if t is None else model.encode_words(t, known, KNOWN_WORDS) for t in batch.to_pylist()])
+    return lambda batch: _lists([None if t is None else model.encode(t) for t in batch.to_pylist()])
 
 
 def encode_ids(text: str | Column, model: Model, options: str = "") -> Column:
@@ -51,10 +120,9 @@ def encode_ids(text: str | Column, model: Model, options: str = "") -> Column:
     @arrow_udf("array<int>")
     def ids(batch: pa.Array) -> pa.Array:
         own = kept(("model", model.key), lambda: model)
-        run, last = encoder(own), own.options(options)
-        return _lists([None if t is None else last(run(t)) for t in batch.to_pylist()])
+        return encoder(own)(batch)
 
-    return ids(_col(text))
+    return with_options(ids(_col(text)), options, model)
 
 
 def encode_pieces(text: str | Column, model: Model) -> Column:
@@ -152,10 +220,11 @@ def token_counts(df: DataFrame, model: Model, text: str = "text", freq: str | No
         own = kept(("model", model.key), lambda: model)
         run, total = encoder(own), np.zeros(len(own.pieces), np.int64)
         for b in batches:
-            weights = b.column(1).to_pylist()
-            for t, w in zip(b.column(0).to_pylist(), weights):
-                if t and w:
-                    np.add.at(total, run(t), w)
+            if b.num_rows:
+                ids = run(b.column(0))
+                weight = pc.fill_null(b.column(1), 0).to_numpy(zero_copy_only=False)
+                size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                np.add.at(total, ids.flatten().to_numpy(zero_copy_only=False), np.repeat(weight, size))
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])

@@ -269,3 +269,70 @@ def test_byte_fallback_and_words():
     for _ in range(200):
         text = "".join(rng.choice("abcxy  ") for _ in range(20))
         assert plain.encode_words(text, {}) == plain.encode(text)
+
+
+BATCH_TEXTS = st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab c▁é中 \n"), max_size=14)), max_size=12)
+
+
+@given(BATCH_TEXTS, st.booleans(), st.sampled_from(["identity", "nmt_nfkc", "kept", "no_prefix"]), st.sampled_from(["unigram", "bpe"]))
+@settings(max_examples=250, deadline=None)
+def test_batches_are_encoded_like_single_texts(texts, fallback, form, kind):
+    import pyarrow as pa
+
+    from lexmill.operators.segment import BatchEncoder
+
+    spec = {"kept": NormalizerSpec("identity", remove_extra_whitespaces=False), "no_prefix": NormalizerSpec("identity", add_dummy_prefix=False)}.get(form) or NormalizerSpec(form)
+    pieces = [("<unk>", 0.0, "UNKNOWN"), ("▁", -2.0, "NORMAL"), ("a", -1.5, "NORMAL"), ("b", -3.0, "NORMAL"), ("▁a", -1.0, "NORMAL"), ("ab", -2.5, "NORMAL"), ("▁ab", -2.6, "NORMAL"), ("c", -4.0, "NORMAL")]
+    pieces += [(f"<0x{n:02X}>", 0.0, "BYTE") for n in range(256)] if fallback else []
+    model = Model(tuple(pieces), TrainerSpec(kind, byte_fallback=fallback), spec).checked()
+    assert model.by_words
+    own = BatchEncoder(model)
+    got = own(pa.array(["x", *texts, "y"], pa.string()).slice(1, len(texts))).to_pylist()
+    assert got == [None if t is None else model.encode(t) for t in texts]
+
+
+@given(st.text(st.sampled_from("abcd"), max_size=14), st.integers(0, 1000))
+@settings(max_examples=150, deadline=None)
+def test_best_path_and_ties_against_all_paths(text, seed):
+    rng = random.Random(seed)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(12)})
+    pieces = [("<unk>", 0.0, "UNKNOWN")] + [(w, -float(rng.randint(1, 4)), "USER_DEFINED" if rng.random() < 0.1 else "NORMAL") for w in words]
+    kernel = UnigramKernel(pieces)
+    # Forward over beginnings: of equal paths to a place the one from the first beginning stays.
+    n, ids = len(text), {p: (i, s, t) for i, (p, s, t) in enumerate(pieces)}
+    score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for i in range(n):
+        for k in range(1, n - i + 1):
+            hit = ids.get(text[i : i + k])
+            s = None if hit is None else 0.1 * (k - 1) if hit[2] == "USER_DEFINED" else hit[1]
+            if s is None and k == 1:
+                s = kernel.unknown_score
+            if s is not None and score[i] + s > score[i + k]:
+                score[i + k], back[i + k] = score[i] + s, i
+    want, at = [], n
+    while at:
+        want.append((back[at], at))
+        at = back[at]
+    path, best = kernel.best(text)
+    assert [p[:2] for p in path] == want[::-1] and best == score[n]
+
+
+@given(st.text(st.sampled_from("abc"), max_size=40), st.integers(0, 1000))
+@settings(max_examples=150, deadline=None)
+def test_short_words_merge_like_long_ones(text, seed):
+    rng = random.Random(seed)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(30)})
+    kernel = M.PairKernel([("<unk>", 0.0, "UNKNOWN")] + [(w, -float(rng.randint(1, 9)), "NORMAL") for w in words])
+    short = kernel.best(text)
+    kept, M.SHORT = M.SHORT, -1
+    try:
+        assert kernel.best(text) == short
+    finally:
+        M.SHORT = kept
+
+
+@pytest.mark.parametrize("x,want", [(0.1, -10.423754940411076), (0.5, -1.9635100260214235), (1.0, -0.5772156649015329), (2.5, 0.7031566406452432), (10.0, 2.251752589066721)])
+def test_digamma_against_known_values(x, want):
+    assert math.isclose(digamma(x), want, rel_tol=1e-12)
+    assert math.isclose(digamma(x + 1), digamma(x) + 1 / x, rel_tol=1e-10, abs_tol=1e-12)
+    assert math.isclose(digamma(2 * x), (digamma(x) + digamma(x + 0.5)) / 2 + math.log(2), rel_tol=1e-10, abs_tol=1e-12)
