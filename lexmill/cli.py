@@ -1,4 +1,4 @@
-"""Command lines: ``python -m lexmill.cli train|encode|decode|normalize|export|evaluate|refit``.
+"""Command lines: ``python -m lexmill.cli train|encode|decode|normalize|export|evaluate|refit|charsmap``.
 
 Thin drivers over the operators. Input is text files, one row a line; output a folder of text
 files in the rows' order within each file, or with ``--show`` the first rows.
@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import normalize_column
-from .kernels.text import read_rules
+from .kernels.text import named_rules, read_rules, without_redundant, write_rules
 from .operators import continuation, corpus, evaluation, segment, training, vocabulary
 from .session import local_session
 from .sources import model_files
 from .spec import NormalizerSpec, TrainerSpec
 
 #: How encoded rows are written.
-FORMATS = ("piece", "id", "nbest_id", "sample_id", "sample_piece", "spans")
+FORMATS = ("piece", "id", "proto", "nbest_piece", "nbest_id", "nbest_proto", "sample_piece", "sample_id", "sample_proto", "spans", "vocabulary")
 
 
 def spec_of(kind: type, options: list[str]):
@@ -40,21 +40,23 @@ def joined(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
-def encoded(rows: DataFrame, model, form: str, args) -> Column:
-    ids = segment.encode_ids("value", model, args.options)
-    if form == "id":
-        return joined(ids)
-    if form == "piece":
-        return joined(segment.encode_pieces("value", model))
-    if form == "nbest_id":
-        return F.array_join(F.transform(segment.encode_nbest("value", model, args.size), joined), "\t")
-    if form in ("sample_id", "sample_piece"):
-        drawn = segment.sample_ids("value", model, args.alpha, args.seed, args.size)
-        if form == "sample_id":
-            return joined(drawn)
-        names = F.array(*map(F.lit, (p for p, _, _ in model.pieces)))
-        return joined(F.transform(drawn, lambda i: F.element_at(names, i + 1)))
-    return F.to_json(segment.encode_spans("value", model))
+def encoded(rows: DataFrame, model, form: str, args) -> DataFrame:
+    """One column of lines; an n-best list is a line for each of its segmentations. ``proto`` forms are JSON of pieces with their surfaces and offsets."""
+    kind, _, what = form.rpartition("_")
+    if form == "spans" or (what == "proto" and not kind):
+        return rows.select(F.to_json(segment.encode_spans("value", model)))
+    if not kind:
+        return rows.select(joined(segment.encode_ids("value", model, args.options) if form == "id" else segment.encode_pieces("value", model, args.options)))
+    if kind == "nbest":
+        rows = rows.select(F.explode(segment.encode_nbest("value", model, args.size)).alias("ids"))
+    else:
+        rows = rows.select(segment.sample_ids("value", model, args.alpha, args.seed, args.size).alias("ids"))
+    if what == "id":
+        return rows.select(joined(F.col("ids")))
+    if what == "proto":
+        return rows.select(F.to_json(segment.decode_spans("ids", model)))
+    names = F.array(*map(F.lit, (p for p, _, _ in model.pieces)))
+    return rows.select(joined(F.transform("ids", lambda i: F.element_at(names, i + 1))))
 
 
 def put(rows: DataFrame, args) -> None:
@@ -67,11 +69,11 @@ def put(rows: DataFrame, args) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexmill", description=__doc__.splitlines()[0])
-    p.add_argument("command", choices=("train", "encode", "decode", "normalize", "export", "evaluate", "refit"))
+    p.add_argument("command", choices=("train", "encode", "decode", "normalize", "export", "evaluate", "refit", "charsmap"))
     p.add_argument("--input", nargs="+", default=[])
     p.add_argument("--output", default="")
     p.add_argument("--model", default="")
-    p.add_argument("--format", default="piece", choices=(*FORMATS, "vocab", "syms", "pieces", "text", "tsv"))
+    p.add_argument("--format", default="piece", choices=(*FORMATS, "vocab", "syms", "pieces", "text", "tsv", "short"))
     p.add_argument("--options", default="", help="bos, eos and reverse, with colons between")
     p.add_argument("--set", nargs="*", default=[], help="training options, name=value")
     p.add_argument("--normalizer", nargs="*", default=[], help="options of the normal form, name=value")
@@ -94,12 +96,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         df = corpus.parsed_weights(rows) if args.format == "tsv" else rows.select(F.col("value").alias("text"))
         model_files.save(spark, training.train(df, spec_of(TrainerSpec, args.set), normal), args.output)
         return
+    if args.command == "charsmap":  # a named or given form as a rule file, or the rules inside a model
+        spec = model_files.load(spark, args.model).normalizer if args.model else normal
+        rules = dict(spec.rules) if spec.rules is not None else named_rules(spec.name)
+        lines = write_rules(without_redundant(rules) if args.format == "short" else rules)
+        put(spark.createDataFrame(list(enumerate(lines)), "n int, line string").coalesce(1).sortWithinPartitions("n").select("line"), args)
+        return
     if args.command == "normalize" and not args.model:
         put(rows.select(normalize_column("value", normal)), args)
         return
     model = model_files.load(spark, args.model)
-    if args.command == "encode":
-        put(rows.select(encoded(rows, model, args.format, args)), args)
+    if args.command == "encode" and args.format == "vocabulary":
+        used = segment.used_vocabulary(rows.withColumnRenamed("value", "text"), model, vocabulary.vocabulary(spark, model))
+        put(used.orderBy(F.desc("n"), "piece").select(F.concat_ws("\t", "piece", F.col("n").cast("string"))).coalesce(1), args)
+    elif args.command == "encode":
+        put(encoded(rows, model, args.format, args), args)
     elif args.command == "decode":
         parts = F.filter(F.split("value", " ", -1), lambda x: x != "")
         by_id = segment.decode_ids(F.filter(F.transform(parts, lambda x: x.try_cast("int")), lambda x: x.isNotNull()), model)

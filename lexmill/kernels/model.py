@@ -231,6 +231,24 @@ class Model:
 
         return apply
 
+    def piece_options(self, spec: str):
+        """The same for lists of (piece, id), giving pieces; ``unk`` and ``unk_piece`` put the unknown piece in place of unknown stretches."""
+        self.options(spec)
+        names = list(filter(None, spec.split(":")))
+
+        def apply(found: list[tuple[str, int]]) -> list[str]:
+            for name in names:
+                if name in ("bos", "eos"):
+                    own = getattr(self.trainer, f"{name}_piece"), self.special(getattr(self.trainer, f"{name}_piece"))
+                    found = [own, *found] if name == "bos" else [*found, own]
+                elif name == "reverse":
+                    found = found[::-1]
+                else:
+                    found = [(self.trainer.unk_piece, i) if i == self.unk else (p, i) for p, i in found]
+            return [p for p, _ in found]
+
+        return apply
+
     # --- decoding ---
 
     @cached_property

@@ -313,10 +313,18 @@ def script(c: str) -> str:
     return "Common"
 
 
-# Names of scripts in the Unicode character database.
-SCRIPTS = """Latin Cyrillic Greek Han Hiragana Katakana Thai Devanagari Arabic Hebrew Hangul Inherited Armenian Georgian Bengali Tamil Telugu Kannada
-Malayalam Gujarati Gurmukhi Oriya Sinhala Khmer Lao Myanmar Tibetan Ethiopic Mongolian Cherokee Bopomofo Yi Syriac Thaana Coptic Gothic Runic Ogham
-Canadian_Aboriginal Tifinagh Nko Vai Javanese Balinese Sundanese Tagalog Deseret Braille""".split()
+# Names of scripts in the Unicode character database, the most frequent ones first.
+SCRIPTS = """Latin Cyrillic Greek Han Hiragana Katakana Thai Devanagari Arabic Hebrew Hangul Common Inherited Armenian Georgian Bengali Tamil Telugu Kannada
+Malayalam Gujarati Gurmukhi Oriya Sinhala Khmer Lao Myanmar Tibetan Ethiopic Mongolian Cherokee Bopomofo Yi Syriac Thaana Coptic
+Adlam Ahom Anatolian_Hieroglyphs Avestan Balinese Bamum Bassa_Vah Batak Bhaiksuki Brahmi Braille Buginese Buhid Canadian_Aboriginal Carian Caucasian_Albanian
+Chakma Cham Chorasmian Cuneiform Cypriot Cypro_Minoan Deseret Dives_Akuru Dogra Duployan Egyptian_Hieroglyphs Elbasan Elymaic Glagolitic Gothic Grantha
+Gunjala_Gondi Hanifi_Rohingya Hanunoo Hatran Imperial_Aramaic Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kawi Kayah_Li Kharoshthi
+Khitan_Small_Script Khojki Khudawadi Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Makasar Mandaic Manichaean Marchen Masaram_Gondi Medefaidrin
+Meetei_Mayek Mende_Kikakui Meroitic_Cursive Meroitic_Hieroglyphs Miao Modi Mro Multani Nabataean Nag_Mundari Nandinagari New_Tai_Lue Newa Nko Nushu
+Nyiakeng_Puachue_Hmong Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian Old_Sogdian Old_South_Arabian Old_Turkic Old_Uyghur
+Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham SignWriting
+Sogdian Sora_Sompeng Soyombo Sundanese Syloti_Nagri Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tangsa Tangut Tifinagh Tirhuta Toto Ugaritic Vai
+Vithkuqi Wancho Warang_Citi Yezidi Zanabazar_Square""".split()
 
 
 @cache

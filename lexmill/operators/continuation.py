@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import valid_piece_column
 from ..kernels.merges import RankedProgram
@@ -20,7 +22,7 @@ from ..kernels.text import valid_piece
 from ..kernels.unigram import add_logs
 from ..session import cut
 from ..spec import NORMAL, RARE, USER_DEFINED, TrainerSpec, need
-from .training import LOCAL_WORDS, expected_counts, joined, words_of
+from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, words_of
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,9 @@ class SupportIndex:
                 self.count[pair] += k
                 self.at[pair].add(n)
 
-    def apply(self, pair: tuple[str, str]) -> None:
+    def apply(self, pair: tuple[str, str]) -> set[tuple[str, str]]:
+        """Merges the pair everywhere; the pairs whose count changed."""
+        changed: set[tuple[str, str]] = set()
         for n in list(self.at[pair]):
             symbols, weight = self.rows[n]
             before = support([(symbols, weight)])
@@ -115,6 +119,36 @@ class SupportIndex:
             for p in before.keys() | after.keys():
                 self.count[p] += after[p] - before[p]
                 (self.at[p].add if after[p] else self.at[p].discard)(n)
+                changed.add(p)
+        return changed
+
+
+def learn_supported(corpus: list[tuple[list[str], int]], mergeable: set[str], known: set[str], retired: set[tuple[str, str]], new: int, spec: TrainerSpec) -> list[tuple[str, str]]:
+    """Up to ``new`` merges by support over weighted segmented words; ties go to the smaller left, then right piece, by bytes."""
+    index = SupportIndex(corpus)
+    mergeable, known = set(mergeable), set(known)
+    heap: list = []
+
+    def offer(pair: tuple[str, str]) -> None:
+        a, b = pair
+        if index.count[pair] > 0 and pair not in retired and a in mergeable and b in mergeable and a + b not in known and valid_piece(a + b, spec):
+            heapq.heappush(heap, (-index.count[pair], a.encode(), b.encode(), pair))
+
+    for pair in index.count:
+        offer(pair)
+    learnt: list[tuple[str, str]] = []
+    while len(learnt) < new and heap:
+        n, _, _, pair = heapq.heappop(heap)
+        whole = pair[0] + pair[1]
+        if whole in known or -n != index.count[pair]:
+            offer(pair)  # its count has changed; nothing is offered if its piece is known
+            continue
+        learnt.append(pair)
+        known.add(whole)
+        mergeable.add(whole)
+        for p in index.apply(pair):
+            offer(p)
+    return learnt
 
 
 def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec = TrainerSpec("bpe"), first_id: int | None = None, hard_limit: bool = True, local_words: int = LOCAL_WORDS) -> Program:
@@ -122,34 +156,35 @@ def continue_pairs(rows: DataFrame, base: Program, new: int, spec: TrainerSpec =
 
     Ties go to the smaller left, then right piece. Inherited ids never change; new ones follow the
     largest. Every new piece is derived again under the final program. The distinct words of the
-    corpus are counted before they are taken to the driver; more than ``local_words`` are an error.
+    corpus are counted before they are taken to the driver; beyond ``local_words`` the same is
+    learnt on the cluster.
     """
     base = base.checked()
     runtime = base.runtime() if [p.id for p in sorted(base.pieces, key=lambda p: p.id)] == list(range(len(base.pieces))) else None
     need(runtime is not None, "inherited ids must be dense from 0")
     names = {p.id: p.piece for p in base.pieces}
     mergeable = {p.piece for p in base.pieces if p.mergeable}
-    taken = words_of(rows, spec).take(local_words + 1)
-    need(len(taken) <= local_words, f"more than {local_words} distinct words")
-    corpus = []
-    for r in sorted((r.word, r.freq) for r in taken):
-        parts = [names[i] if i != runtime.unknown else RARE for _, _, i in runtime.encode(r[0])]
-        corpus.append((parts, r[1]))
-    index = SupportIndex(corpus)
     known = {p.piece for p in base.pieces}
-    retired: set[tuple[str, str]] = set(base.merges)
-    learnt: list[tuple[str, str]] = []
-    while len(learnt) < new:
-        counts = index.count
-        usable = [(-n, a, b) for (a, b), n in counts.items() if n > 0 and (a, b) not in retired and a in mergeable and b in mergeable and a + b not in known and valid_piece(a + b, spec)]
-        if not usable:
-            break
-        _, a, b = min(usable, key=lambda x: (x[0], x[1].encode(), x[2].encode()))
-        learnt.append((a, b))
-        retired.add((a, b))
-        known.add(a + b)
-        mergeable.add(a + b)
-        index.apply((a, b))
+    words = words_of(rows, spec)
+    taken = words.take(local_words + 1)
+    split = lambda word: [names[i] if i != runtime.unknown else RARE for _, _, i in runtime.encode(word)]
+    if len(taken) <= local_words:
+        learnt = learn_supported([(split(r.word), r.freq) for r in sorted(taken)], mergeable, known, set(base.merges), new, spec)
+    else:
+        fixed = sorted({p.piece for p in base.pieces if not p.mergeable} | {RARE})
+
+        @arrow_udf("array<string>")
+        def segmented(batch: pa.Array) -> pa.Array:
+            return pa.array([split(w) for w in batch.to_pylist()], pa.list_(pa.string()))
+
+        def usable(symbols: DataFrame) -> DataFrame:
+            pairs = support_counts(symbols).filter(~F.col("left").isin(fixed) & ~F.col("right").isin(fixed))
+            return pairs.filter(valid_piece_column(F.concat("left", "right"), spec))
+
+        symbols = cut(words.select(segmented("word").alias("symbols"), "freq"))
+        # Inherited merges were applied, so none of their pairs is left; their children are known.
+        first = lambda pairs, n: pairs.orderBy(F.desc("n"), "left", "right").limit(n)
+        learnt = [(x, y) for x, y, _ in merge_passes(symbols, new, usable, first, set(known))]
     need(not hard_limit or len(learnt) == new, f"only {len(learnt)} of {new} new pieces could be learnt")
     begin = max((p.id for p in base.pieces), default=-1) + 1
     first_id = begin if first_id is None else first_id

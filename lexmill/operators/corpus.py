@@ -52,9 +52,13 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample(df: DataFrame, n: int, seed: int = 12345678, text: str = "text") -> DataFrame:
-    """n rows by a hash of their text and the seed: the same whatever the partitions; equal texts stay together."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(text)), text).limit(n)
+def sample(df: DataFrame, n: int, seed: int = 12345678, text: str = "text", key: str | None = None) -> DataFrame:
+    """n rows by a hash of their key and the seed, the same whatever the partitions.
+
+    Without a key the text is hashed; then equal texts stay together, which a key prevents.
+    """
+    by = F.col(key or text)
+    return df.orderBy(F.xxhash64(F.lit(seed), by), by).limit(n)
 
 
 def masked(df: DataFrame, symbols: list[str]) -> DataFrame:

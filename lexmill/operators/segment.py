@@ -125,13 +125,15 @@ def encode_ids(text: str | Column, model: Model, options: str = "") -> Column:
     return with_options(ids(_col(text)), options, model)
 
 
-def encode_pieces(text: str | Column, model: Model) -> Column:
-    """ARRAY<STRING>: unknown stretches stand as they are."""
+def encode_pieces(text: str | Column, model: Model, options: str = "") -> Column:
+    """ARRAY<STRING>: unknown stretches stand as they are, or with the option ``unk`` as the unknown piece."""
+    model.options(options)
 
     @arrow_udf("array<string>")
     def pieces(batch: pa.Array) -> pa.Array:
         own = kept(("model", model.key), lambda: model)
-        return pa.array([None if t is None else [p for p, *_ in own.pieces_of(t)] for t in batch.to_pylist()], pa.list_(pa.string()))
+        run = own.piece_options(options)
+        return pa.array([None if t is None else run([(p, i) for p, i, *_ in own.pieces_of(t)]) for t in batch.to_pylist()], pa.list_(pa.string()))
 
     return pieces(_col(text))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel, digamma
 from ..session import cut
 from ..spec import NORMAL, RARE, SPACE, UNKNOWN, NormalizerSpec, TrainerSpec, need
-from .corpus import masked, sample, usable, weighted
+from .corpus import head, masked, sample, usable, weighted
 from .vocabulary import alphabet, char_histogram
 
 #: Distinct words up to which pairs are merged on the driver.
@@ -40,7 +40,8 @@ def training_rows(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec)
     rows = weighted(df) if "freq" in df.columns else df.select("text", F.lit(1).cast("bigint").alias("freq"))
     rows = usable(rows, spec.max_sentence_length)
     if spec.input_sentence_size:
-        rows = sample(rows, spec.input_sentence_size) if spec.shuffle_input_sentence else rows.limit(spec.input_sentence_size)
+        # The first rows as they are read; the order within and between files is that of the scan.
+        rows = sample(rows, spec.input_sentence_size) if spec.shuffle_input_sentence else head(rows.withColumn("__nth", F.monotonically_increasing_id()), spec.input_sentence_size, "__nth").drop("__nth")
     symbols = tuple(p for p, k in special_layout(spec).values() if k != "BYTE")
     form = NormalizerSpec(normalizer.name, normalizer.rules, normalizer.add_dummy_prefix, normalizer.remove_extra_whitespaces, normalizer.escape_whitespaces, spec.whitespace_as_suffix)
     rows = rows.withColumn("text", normalize_column("text", form, spec.user_defined_symbols)).filter("text <> ''")
@@ -250,8 +251,92 @@ def pairs_met(symbols: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return symbols.select("symbols").mapInArrow(met, "left string, right string").distinct()
 
 
-def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, every: int = 16, known: Iterable[str] = (), first: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
-    """The same as PairLearner.learn on the cluster, a job for each merge."""
+#: Candidates looked at in a pass over the words, and passes between cuts of the lineage.
+WINDOW, EVERY = 512, 4
+
+
+def new_neighbours(symbols: DataFrame, pairs: list[tuple[str, str]]) -> dict[int, int]:
+    """For each pair the most often that one neighbour stands beside it: no pair that its merge makes can be more frequent."""
+    number = {p: n for n, p in enumerate(pairs)}
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for word, freq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, p in enumerate(zip(word, word[1:])):
+                    n = number.get(p)
+                    if n is not None:
+                        if i:
+                            total[n, 0, word[i - 1]] += freq
+                        if i + 2 < len(word):
+                            total[n, 1, word[i + 2]] += freq
+        if total:
+            keys = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys]), pa.array(list(total.values()), pa.int64())], names=["pair", "side", "symbol", "n"])
+
+    rows = symbols.select("symbols", "freq").mapInArrow(beside, "pair int, side int, symbol string, n bigint").groupBy("pair", "side", "symbol").agg(F.sum("n").alias("n"))
+    return {r.pair: r.n for r in rows.groupBy("pair").agg(F.max("n").alias("n")).collect()}
+
+
+def all_applied(symbols: str | Column, merges: list[tuple[str, str]]) -> Column:
+    """Several merges that share no symbol, in one pass."""
+    wanted = frozenset(merges)
+
+    def done(word: list[str]) -> list[str]:
+        for pair in wanted.intersection(zip(word, word[1:])) if len(word) > 1 else ():
+            word = joined(word, *pair)
+        return word
+
+    @arrow_udf("array<string>")
+    def apply(batch: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else done(s) for s in batch.to_pylist()], pa.list_(pa.string()))
+
+    return apply(F.col(symbols) if isinstance(symbols, str) else symbols)
+
+
+def merge_passes(symbols: DataFrame, most: int, pairs_of: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame, int], DataFrame], learnt: set[str]) -> Iterator[tuple[str, str, int]]:
+    """Merges with their counts, in exactly the order in which they would be learnt one at a time, as many a pass as that allows.
+
+    pairs_of: the candidates ``left, right, n`` of symbols; first: the best n of them in order;
+    learnt: pieces that aren't learnt again, to which the new ones are added. A pass takes the
+    best candidates as long as they share no symbol with those before, so that their counts still
+    hold, and are more frequent than any pair that the merges before can make.
+    """
+    passes = made = 0
+    while made < most:
+        pairs, n = pairs_of(symbols), WINDOW + len(learnt)  # bounded by the vocabulary, but for pairs that make the same piece
+        while True:
+            found = first(pairs, n).collect()
+            fresh = [(r.left, r.right, r.n) for r in found if r.left + r.right not in learnt]
+            if fresh or len(found) < n:
+                break
+            n *= 2
+        fresh = [x for x in fresh if x[2] > 0][: min(WINDOW, most - made)]
+        if not fresh:
+            return
+        limit = new_neighbours(symbols, [(a, b) for a, b, _ in fresh]) if len(fresh) > 1 else {}
+        chosen: list[tuple[str, str]] = []
+        touched: set[str] = set()
+        bound = -1
+        for k, (a, b, n) in enumerate(fresh):
+            if a + b in learnt:  # made by another pair of this pass
+                continue
+            if chosen and (a in touched or b in touched or n <= bound):
+                break
+            learnt.add(a + b)
+            chosen.append((a, b))
+            touched |= {a, b}
+            bound = max(bound, limit.get(k, 0))
+            made += 1
+            yield a, b, n
+        symbols = symbols.withColumn("symbols", all_applied("symbols", chosen))
+        passes += 1
+        if passes % EVERY == 0:
+            symbols = cut(symbols)
+
+
+def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, known: Iterable[str] = (), first: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
+    """The same as PairLearner.learn on the cluster, many merges a pass where they don't touch each other."""
     whole = cut(symbols_of(words))
     symbols, out, learnt = whole, list(first), set(known)
     learnt |= {a + b for a, b in out}
@@ -263,22 +348,7 @@ def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, every: int
             return pa.array([None if s is None else [*replay(s, ranks)][-1][1] for s in batch.to_pylist()], pa.list_(pa.string()))
 
         symbols = cut(symbols.withColumn("symbols", last("symbols")))
-
-    def best(pairs: DataFrame) -> tuple[str, str] | None:
-        n = 1 + len(learnt)  # bounded by the vocabulary, but for pairs that make the same piece
-        while True:
-            found = first_pair(pairs, n).collect()
-            pair = next(((r.left, r.right) for r in found if r.left + r.right not in learnt), None)
-            if pair or len(found) < n:
-                return pair
-            n *= 2
-
-    while len(out) < most and (pair := best(valid_pairs(pair_counts(symbols), spec))):
-        learnt.add(pair[0] + pair[1])
-        out.append(pair)
-        symbols = symbols.withColumn("symbols", pair_applied("symbols", *pair))
-        if len(out) % every == 0:
-            symbols = cut(symbols)
+    out += [(a, b) for a, b, _ in merge_passes(symbols, most - len(out), lambda s: valid_pairs(pair_counts(s), spec), first_pair, learnt)]
     if len(out) < most:  # pairs that no longer occur fill up what room is left
         gone = cut(valid_pairs(pairs_met(whole, out), spec).withColumn("n", F.lit(0).cast("bigint")))
         n = most

@@ -10,6 +10,7 @@ from dataclasses import asdict, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import valid_piece_column
 from ..kernels.model import Model
 from ..operators.vocabulary import exported, model_pieces, vocabulary
 from ..spec import TYPES, NormalizerSpec, SpecError, TrainerSpec, need
@@ -41,28 +42,34 @@ def write_lines(vocab: DataFrame, path: str, form: str = "vocab") -> None:
     exported(vocab, form).orderBy("piece_id").select(F.col("line").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_merges(spark: SparkSession, merges: list[tuple[str, str]], path: str) -> None:
-    spark.createDataFrame([(f"{a}\t{b}",) for a, b in merges], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_merges(spark: SparkSession, merges: list[tuple[str, str] | tuple[str, str, int]], path: str) -> None:
+    """Lines of left, right and, for a merge of one level of a hierarchy, its level, in the order of ranks, as one file."""
+    spark.createDataFrame([(n, "\t".join(map(str, m))) for n, m in enumerate(merges)], "rank int, value string").coalesce(1).sortWithinPartitions("rank").select("value").write.mode("overwrite").text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``rank, value``: the lines of one file of the size of a vocabulary, numbered from 0."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\n\\z", "").alias("value")).filter("value <> ''")
+    return whole.select(F.posexplode(F.split("value", "\n", -1)).alias("rank", "value"))
 
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
-    """``rank, left, right`` of lines of two pieces and TAB, in file order within one file."""
-    rows = spark.read.text(path).withColumn("rank", F.monotonically_increasing_id().cast("int"))
+    """``rank, left, right, level`` of lines of two pieces and maybe a level, with TAB between."""
     parts = F.split("value", "\t", -1)
-    return rows.select("rank", F.element_at(parts, 1).alias("left"), F.element_at(parts, 2).alias("right"))
+    return numbered_lines(spark, path).select("rank", F.element_at(parts, 1).alias("left"), F.element_at(parts, 2).alias("right"), F.try_element_at(parts, F.lit(3)).try_cast("int").alias("level"))
 
 
-def read_seeds(spark: SparkSession, path: str, most: int = 1_000_000) -> DataFrame:
-    """``piece, value``: seeds of lines of piece and frequency; other lines are skipped. The value is frequency times characters."""
+def read_seeds(spark: SparkSession, path: str, most: int = 1_000_000, spec: TrainerSpec = TrainerSpec()) -> DataFrame:
+    """``piece, value``: seeds of lines of piece and frequency; other lines and pieces of a shape that the options forbid are skipped. The value is frequency times characters."""
     parts = F.split("value", "\t", -1)
     rows = spark.read.text(path).filter(F.size(parts) == 2).select(F.element_at(parts, 1).alias("piece"), F.element_at(parts, 2).alias("f"))
-    rows = rows.withColumn("f", F.expr("try_cast(f as bigint)")).filter("f > 0 and piece <> ''")
+    rows = rows.withColumn("f", F.expr("try_cast(f as bigint)")).filter("f > 0 and piece <> ''").filter(valid_piece_column("piece", spec))
     return rows.select("piece", (F.col("f") * F.char_length("piece")).alias("value")).orderBy(F.col("value").desc(), "piece").limit(most)
 
 
 def read_symbols(spark: SparkSession, path: str) -> list[str]:
-    """Symbols, one a line; empty lines are skipped."""
-    return [r.value for r in spark.read.text(path).filter("value <> ''").collect()]
+    """Symbols, required characters or protected pieces, one a line, in order; empty lines are skipped."""
+    return [r.value for r in numbered_lines(spark, path).filter("value <> ''").orderBy("rank").collect()]
 
 
 # --- wire format --------------------------------------------------------------------------------

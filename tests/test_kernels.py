@@ -133,6 +133,12 @@ def test_unreachable_and_samples():
     rng = random.Random(2)
     assert own.sample_nbest("cd", 0, 1.0, rng) == own.best("cd")[0]
     assert len(own.distinct_samples("abcd", 4, 0.5, rng)) == 4
+    every = {tuple((e.begin, e.end, e.id) for e in p): s for p, s in own.paths("abcd")}
+    whole = own.distinct_samples("abcd", 1000, 0.5, rng)
+    assert len(whole) == len(every) == len({tuple(p) for p, _ in whole}) and all(math.isclose(every[tuple(p)], s) for p, s in whole)
+    first = [tuple(own.distinct_samples("abcd", 2, 0.7, rng)[0][0]) for _ in range(6000)]
+    total = sum(math.exp(0.7 * s) for s in every.values())
+    assert all(abs(first.count(p) / 6000 - math.exp(0.7 * s) / total) < 0.03 for p, s in every.items())
     shares = [own.sample_nbest("cd", 2, 0.0, rng) for _ in range(400)]
     assert 120 < sum(len(p) == 1 for p in shares) < 280
 

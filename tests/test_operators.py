@@ -363,3 +363,47 @@ def test_reasons_come_from_the_joined_reject_rows(tmp_path):
     for i in (0, 1, 2, 5):  # without the reject rows there is no reason
         with pytest.raises(ValueError, match="neither a row nor an error"):
             rejects.judged(lines[i], read.rows.get(i), None)
+
+
+def random_rows(spark, seed, n=500):
+    rng = random.Random(seed)
+    stems = ["".join(rng.choice("abcdeé文") for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    return spark.createDataFrame([(" ".join(rng.choice(stems) + rng.choice(stems) for _ in range(6)), rng.randint(1, 9)) for _ in range(n)], "text string, freq bigint")
+
+
+@pytest.mark.parametrize("window", [3, 512])
+def test_many_merges_a_pass_are_learnt_in_the_order_of_one_at_a_time(spark, monkeypatch, window):
+    monkeypatch.setattr(L, "WINDOW", window)
+    words = L.words_of(C.normalized(random_rows(spark, 5), DUMMY), TrainerSpec("bpe"))
+    spec = TrainerSpec("bpe", split_by_script=False)
+    local = L.PairLearner([(r.word, r.freq) for r in words.collect()], spec).learn(60)
+    jobs = []
+    monkeypatch.setattr(L, "all_applied", lambda s, m, f=L.all_applied: jobs.append(len(m)) or f(s, m))
+    assert L.learn_distributed(words, spec, 60) == local
+    assert sum(jobs) == 60 and len(jobs) < 60
+
+
+def test_continuations_on_the_cluster_learn_the_same(spark):
+    rows = C.normalized(random_rows(spark, 8, 200), DUMMY)
+    base = N.Program((N.Piece(0, "<unk>", "UNKNOWN", False), *(N.Piece(1 + i, c, "NORMAL", True, True) for i, c in enumerate("abcde▁"))), ())
+    near, far = (N.continue_pairs(rows, base, 25, local_words=n) for n in (1 << 20, 1))
+    assert near == far and len(near.merges) == 25
+    again = [N.continue_pairs(rows, near, 8, local_words=n).merges for n in (1 << 20, 1)]
+    assert again[0] == again[1]
+
+
+def test_merge_files_keep_order_and_levels(spark, tmp_path):
+    merges = [("b", "c"), ("a", "bc", 2), ("▁", "abc")] + [(f"x{i}", "y") for i in range(300)]
+    model_files.write_merges(spark, merges, str(tmp_path / "m"))
+    got = model_files.read_merges(spark, str(tmp_path / "m")).orderBy("rank").collect()
+    assert [(r.left, r.right) if r.level is None else (r.left, r.right, r.level) for r in got] == merges and [r.rank for r in got] == list(range(303))
+
+
+def test_scripts_of_all_planes_and_unknown_pieces():
+    from lexmill.kernels import text as T
+
+    assert [T.script(c) for c in "aжα中あーไ𑀅𞤀𐤀ᯀ1"] == ["Latin", "Cyrillic", "Greek", "Han", "Han", "Han", "Thai", "Brahmi", "Adlam", "Phoenician", "Batak", "Common"]
+    model = Model((("<unk>", 0.0, "UNKNOWN"), ("<s>", 0.0, "CONTROL"), ("</s>", 0.0, "CONTROL"), ("▁", -1.0, "NORMAL"), ("a", -1.0, "NORMAL")), TrainerSpec("unigram"), NormalizerSpec("identity"))
+    found = [(p, i) for p, i, *_ in model.pieces_of("aqa")]
+    assert model.piece_options("")(found) == ["▁", "a", "q", "a"]
+    assert model.piece_options("unk:bos:reverse")(found) == ["a", "<unk>", "a", "▁", "<s>"]
