@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udf, arrow_udtf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from ..kernels.model import Model
 from ..operators.segment import encoder
@@ -41,15 +41,12 @@ def register(spark: SparkSession, model: Model, prefix: str = "lm") -> list[str]
     def count(text: pa.Array) -> pa.Array:
         return pc.list_value_length(encoder(own())(text))
 
-    @arrow_udtf(returnType="seq int, piece string, id int, begin int, end int")
+    # A plain table function: Arrow ones can't stand on the right of a lateral join.
+    @udtf(returnType="seq int, piece string, id int, begin int, end int")
     class Tokenize:
-        def eval(self, text: pa.Array):
-            for t in text.to_pylist():
-                spans = own().spans(t) if t else []
-                yield pa.table({
-                    "seq": pa.array(range(len(spans)), pa.int32()), "piece": pa.array([s.piece for s in spans], pa.string()), "id": pa.array([s.id for s in spans], pa.int32()),
-                    "begin": pa.array([s.begin for s in spans], pa.int32()), "end": pa.array([s.end for s in spans], pa.int32()),
-                })
+        def eval(self, text: str):
+            for n, s in enumerate(own().spans(text) if text else []):
+                yield n, s.piece, s.id, s.begin, s.end
 
     names = []
     for f in (normalize, encode, encode_pieces, decode, count):

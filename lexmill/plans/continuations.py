@@ -14,7 +14,7 @@ from ..operators.segment import encode_ids
 from ..session import table
 from ..spec import SPACE, NormalizerSpec, TrainerSpec
 from ..streaming import streams
-from .models import CLEAN, ESC, PLAIN, TEXTS, WORDS, _texts, given
+from .models import CLEAN, ESC, PLAIN, TEXTS, WORDS, _texts, encoded_sql, given
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -92,12 +92,24 @@ def sql_tokens(spark, d):
 
 
 def sql_tokenized(spark, d):
-    register(spark, given(spark, d, normalizer=NormalizerSpec("identity", remove_extra_whitespaces=False)), "lm")
+    """Ids and their number through the registered functions."""
+    register(spark, given(spark, d), "lm")
     table(spark, d, "surface_form").createOrReplaceTempView("lm_forms")
-    return spark.sql("select surface_id, size(lm_encode(surface)) = lm_count(surface) as equal from lm_forms")
+    return spark.sql("select surface_id, array_join(lm_encode(surface), ' ') as ids, lm_count(surface) as n from lm_forms where surface is not null")
+
+
+def sql_tokenize_rows(spark, d):
+    """The same through the table function: one row a token, with its piece and offsets."""
+    register(spark, given(spark, d, normalizer=NormalizerSpec("identity", remove_extra_whitespaces=False)), "lm")
+    table(spark, d, "surface_form").filter("surface <> ''").createOrReplaceTempView("lm_forms")
+    tokens = spark.sql("select surface_id, surface, t.* from lm_forms, lateral lm_tokenize(surface) t")
+    raw = F.encode("surface", "UTF-8")
+    part = F.decode(F.substring(raw, F.col("begin") + 1, F.col("end") - F.col("begin")), "UTF-8")
+    ends = tokens.groupBy("surface_id").agg(F.max("end").alias("bytes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("part")))), lambda x: x["part"]), "").alias("text"))
+    return ends.select("surface_id", "bytes", "text")
 
 
-QUERIES = {f.__name__: f for f in (continuation_candidates, support_counts, ambiguous_pieces, prefix_faults, continued_pairs, continued_unigram, refitted, stream_encoded, stream_words, sql_tokens, sql_tokenized)}
+QUERIES = {f.__name__: f for f in (continuation_candidates, support_counts, ambiguous_pieces, prefix_faults, continued_pairs, continued_unigram, refitted, stream_encoded, stream_words, sql_tokens, sql_tokenized, sql_tokenize_rows)}
 
 SQL = {
     "continuation_candidates": f"""with {TEXTS}, {ESC}, {WORDS}, s as (select word[i:i + k - 1] piece, freq from (select word, freq, i, unnest(range(2, least(8, length(word) - i + 1) + 1)) k from (select word, freq, unnest(range(1, length(word))) i from t)))
@@ -106,7 +118,9 @@ select piece, sum(freq)::bigint n from s where not contains(piece[2:], '{SPACE}'
     "prefix_faults": "select id::int as piece_id, case when id % 500 = 7 then 'missing' else 'piece' end fault from vocab_piece where id % 500 = 7 or id % 400 = 9",
     "stream_words": f"with l as (select text from refrow where text is not null), e as (select {CLEAN} as text from l where {CLEAN} <> '') select word, count(*) freq from (select '{SPACE}' || unnest(string_split(text, ' ')) as word from e) group by word",
     "sql_tokens": f"select row_id, text, {CLEAN} as decoded from refrow where text is not null",
-    "sql_tokenized": "select surface_id, true as equal from surface_form",
+    "sql_tokenized": f"{encoded_sql('unigram', 'surface_form', 'surface_id', 'surface')} select surface_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
+    "sql_tokenize_rows": "select surface_id, strlen(surface)::int bytes, surface as text from surface_form where surface <> ''",
+    "stream_encoded": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text', rows='')} select row_id, array_to_string(ids, ' ') ids from e union all select row_id, null from refrow where text is null",
     "support_counts": f"""with {TEXTS}, {ESC}, {WORDS}, c as (select word, freq, i, word[i] a, word[i + 1] b from (select word, freq, unnest(range(1, length(word))) i from t)),
 r as (select *, length(word[1:i]) - length(rtrim(word[1:i], a)) as place from c) select a as "left", b as "right", sum(freq)::bigint n from r where a <> b or place % 2 = 1 group by a, b""",
 }

@@ -252,6 +252,38 @@ WORDS = f"w as (select '{SPACE}' || unnest(string_split(text[2:], '{SPACE}')) as
 ROUND = f"with {TEXTS} select row_id, text, {CLEAN} as decoded from l"
 DOCS = "l as (select unnest(string_split(text, chr(10))) as text from documents)"
 PAIRS = "p as (select word[i] as left, word[i + 1] as right, sum(freq)::bigint n from (select string_split(word, '') as word, freq, unnest(range(1, length(word))) i from t) group by 1, 2)"
+#: Segmentations in SQL, of the distinct words t(word): g(word, ids), with the bytes of unknown characters.
+BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::int + zero)"
+#: The best path: at each place the best score and how long its last piece is; of equal ones the longest, which begins first.
+BEST_PATHS = f"""v as (select piece, id, case when piece_type = 'USER_DEFINED' then 0.1 * (strlen(piece) - 1) else score::double end s from vocab_piece where piece_type in ('NORMAL', 'USER_DEFINED')),
+u as (select min(score)::double - 10 worst, (select id from vocab_piece where piece = '<0x00>') zero from vocab_piece where piece_type = 'NORMAL'),
+r as (select word, 0 as n, [0.0::double] as best, []::int[] as ks from t union all
+  select word, n + 1, list_append(best, m.s), list_append(ks, m.k::int) from (select r.word, r.n, any_value(r.best) best, any_value(r.ks) ks, max({{'s': r.best[r.n + 2 - k] + coalesce(v.s, worst), 'k': k}}) m
+  from r, u, range(1, 25) g(k) left join v on v.piece = r.word[r.n + 2 - k:r.n + 1] where r.n < length(r.word) and k <= r.n + 1 and (v.s is not null or k = 1) group by r.word, r.n)),
+q as (select word, length(word) as pos, []::int[] as ids, ks from r where n = length(word) union all
+  select word, (pos - ks[pos])::bigint, (case when v.id is not null then [v.id] else {BYTES.format("word[pos - ks[pos] + 1:pos]")} end) || ids, ks from u, q left join v on v.piece = word[pos - ks[pos] + 1:pos] where pos > 0),
+g as (select word, ids from q where pos = 0)"""
+#: Merges by score, the leftmost of equal ones first; user-defined pieces are whole from the beginning.
+BY_MERGES = f"""v as (select piece, id, score::double s from vocab_piece where piece_type = 'NORMAL'), du as (select piece from vocab_piece where piece_type = 'USER_DEFINED'),
+f as (select word, unnest(x) as part, unnest(range(1, len(x) + 1)) i from (select word, regexp_extract_all(word, '<[a-z]{{4}}>|.', 0, 's') x from t)),
+z as (select word, flatten(list(case when length(part) = 1 or du.piece is not null then [part] else string_split(part, '') end order by i)) sym from f left join du on du.piece = part group by word),
+r as (select word, sym from z union all
+  select word, sym[:b - 1] || [sym[b] || sym[b + 1]] || sym[b + 2:] from (select word, any_value(sym) sym, -max({{'s': v.s, 'i': -i}}).i b from (select word, sym, unnest(range(1, len(sym))) i from r) join v on v.piece = sym[i] || sym[i + 1]
+  where sym[i] not in (select piece from du) and sym[i + 1] not in (select piece from du) group by word)),
+h as (select word, arg_min(sym, len(sym)) sym from r group by word), o as (select word, unnest(sym) as part, unnest(range(1, len(sym) + 1)) i from h),
+n as (select piece, id from vocab_piece where piece_type in ('NORMAL', 'USER_DEFINED')),
+g as (select word, flatten(list(case when n.id is not null then [n.id] else {BYTES.format("part")} end order by i)) ids from (select id as zero from vocab_piece where piece = '<0x00>'), o left join n on n.piece = part group by word)"""
+
+
+def encoded_sql(kind: str, table: str, key: str, text: str, rows: str = "distinct") -> str:
+    """CTEs that end in ``e(key, ids)``: the ids of each text of a table."""
+    clean = CLEAN.replace("text", "t0")
+    return f"""with recursive l as (select {rows} {key}, {text} as t0 from {table} where {text} is not null), c as (select {key}, t0, {clean} as c0, row_number() over () nth from l),
+p as (select {key}, nth, '{SPACE}' || unnest(string_split(replace(c0, '{SPACE}', ' '), ' ')) as word, unnest(range(1, len(string_split(replace(c0, '{SPACE}', ' '), ' ')) + 1)) as i from c where c0 <> ''),
+t as (select distinct word from p), {BEST_PATHS if kind == 'unigram' else BY_MERGES},
+j as (select nth, flatten(list(ids order by i)) ids from p join g using (word) group by nth), e as (select {key}, t0, coalesce(ids, []) ids from c left join j using (nth))"""
+
+
 STREAMS = "s as (select user_id, list((event_id % 11 + user_id % 3)::int order by event_id) ids from events group by user_id), x as (select user_id, [ids[1]] || [38] || ids || [39] as ids from s)"
 MERGED = "ids"
 for _rank, _l, _r, _c, _ in PROGRAM:
@@ -260,12 +292,16 @@ for _rank, _l, _r, _c, _ in PROGRAM:
 SQL = {
     "vocabulary_faults": "with v as (select id, piece, piece_type t from vocab_piece union all select id, piece, piece_type from vocab_piece where id in (0, 300) union all select 9999, '', 'WHAT') select 'empty piece' fault, count(*) n from v where piece = '' union all select 'unknown type', count(*) from v where t = 'WHAT' union all select 'piece twice', count(*) from (select piece from v group by piece having count(*) > 1) union all select 'id twice', count(*) from (select id from v group by id having count(*) > 1) union all select 'not one unknown piece', 1 union all select 'ids not dense', 1",
     "encode_best_score": f"""with recursive v as (select piece, case when piece_type = 'USER_DEFINED' then 0.1 * (strlen(piece) - 1) else score::double end s from vocab_piece where piece_type in ('NORMAL', 'USER_DEFINED')),
-u as (select min(score)::double - 10 worst from vocab_piece where piece_type = 'NORMAL'),
+u as (select min(score)::double - 10 worst, (select id from vocab_piece where piece = '<0x00>') zero from vocab_piece where piece_type = 'NORMAL'),
 w as (select distinct '{SPACE}' || replace({CLEAN.replace('text', 'surface')}, ' ', '{SPACE}') as word from surface_form where {CLEAN.replace('text', 'surface')} <> ''),
 r as (select word, 0 as n, [0.0::double] as best from w union all
   select r.word, r.n + 1, list_append(any_value(r.best), max(r.best[r.n + 2 - k] + coalesce(v.s, worst)))
   from r, u, range(1, 25) g(k) left join v on v.piece = r.word[r.n + 2 - k:r.n + 1] where r.n < length(r.word) and k <= r.n + 1 and (v.s is not null or k = 1) group by r.word, r.n)
 select surface_id, round(coalesce(best[-1], 0.0), 3) score from surface_form left join (select * from r where n = length(word)) x on x.word = '{SPACE}' || replace({CLEAN.replace('text', 'surface')}, ' ', '{SPACE}')""",
+    "encode_unigram": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select row_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
+    "encode_pairs": f"{encoded_sql('bpe', 'refrow', 'row_id', 'text')} select row_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
+    "vocabulary_used": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select piece, count(*) n from (select unnest(ids) id from e) join vocab_piece using (id) where piece_type not in ('UNKNOWN', 'CONTROL') group by piece",
+    "overlay_counts": f"with {STREAMS} select user_id, (len(ids) - len({MERGED}))::bigint merges, 0::bigint dropped from x",
     "vocabulary_lines": "select id as piece_id, piece || chr(9) || id as line from vocab_piece",
     "id_map_hash": "select sha256(string_agg(id || chr(9) || piece || chr(9) || piece_type || chr(10), '' order by id)) sha256 from vocab_piece",
     "piece_ids": "select entry_id, s.piece, coalesce(v.id, 0)::int id from (select distinct entry_id, piece from spill_entry where piece is not null) s left join vocab_piece v on s.piece = v.piece",
