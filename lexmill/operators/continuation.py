@@ -271,6 +271,12 @@ def prefix_faults(prior: DataFrame, output: DataFrame, gauge: float, tolerance:
     return both.select("piece_id", fault.alias("fault")).filter("fault is not null")
 
 
+def uncovered(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``piece, n``: the characters of rows ``text, freq`` that aren't pieces, which an extension needs."""
+    letters = rows.select(F.explode(F.split("text", "", -1)).alias("piece"), "freq").filter("piece <> ''").groupBy("piece").agg(F.sum("freq").cast("bigint").alias("n"))
+    return letters.join(vocabulary.select("piece"), "piece", "left_anti")
+
+
 def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec | None = None, mass: float = 0.9, iterations: int = 3) -> tuple[Model, float]:
     """A unigram model with up to ``new`` more pieces, and the gauge its inherited scores were shifted by.
 
@@ -285,8 +291,7 @@ def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec
     need(own, "the prior has no normal piece")
     inherited = spark.createDataFrame([(p,) for p, _, _ in prior.pieces], "piece string")
     words = cut(words_of(rows, spec).select(F.col("word").alias("text"), "freq"))
-    letters = words.select(F.explode(F.split("text", "", -1)).alias("piece"), "freq").filter("piece <> ''").groupBy("piece").agg(F.sum("freq").alias("n"))
-    required = [(r.piece, r.n) for r in letters.join(inherited, "piece", "left_anti").collect()]  # at most all of Unicode
+    required = [(r.piece, r.n) for r in uncovered(words, inherited).collect()]  # at most all of Unicode
     need(len(required) <= new, f"{len(required)} characters need pieces of their own")
     extra = sorted(required, key=lambda x: (-x[1], x[0]))
     must = {p for p, _ in extra}

@@ -199,6 +199,14 @@ MASK = "the merge table|the|run|lot"
 SQL_SCRIPTS = [x for x in "Latin Cyrillic Greek Thai Devanagari Arabic Hebrew Hangul Inherited Armenian Georgian Bengali Tamil Telugu Kannada Malayalam Gujarati Gurmukhi Oriya Sinhala Khmer Lao Myanmar Tibetan Ethiopic Mongolian Cherokee Bopomofo Yi Syriac Thaana Coptic Braille".split()]
 SCRIPT_CASES = "when regexp_matches(char, '[\\p{Han}\\p{Hiragana}\\p{Katakana}ー]') then 'Han' " + " ".join(f"when regexp_matches(char, '\\p{{{x}}}') then '{x}'" for x in SQL_SCRIPTS)
 ONE_SCRIPT = "|".join(["[0-9０-９]+", "\\p{Inherited}+", "[\\p{Han}\\p{Hiragana}\\p{Katakana}ー][\\p{Han}\\p{Hiragana}\\p{Katakana}ー\\p{Inherited}]*", *(f"\\p{{{x}}}[\\p{{{x}}}\\p{{Inherited}}]*" for x in SQL_SCRIPTS if x != "Inherited")])
+
+
+def shapes_sql(longest: int) -> str:
+    """A CTE ``s(piece, plain, one)`` of the distinct pieces: whether length and characters are allowed, and whether all is of one script."""
+    return f"""with p as (select distinct piece from spill_entry where piece is not null), q as (select piece, replace(piece, '{SPACE}', '') own, length(piece) between 1 and {longest} and not regexp_matches(piece, '[{RARE}\\x00{BOUNDARY} ]') plain from p),
+s as (select piece, plain, own = '' or regexp_full_match(own, '{ONE_SCRIPT}') or (regexp_full_match(own, '\\p{{Common}}[\\p{{Common}}\\p{{Inherited}}]*', 's') and not regexp_matches(own, '[0-9０-９ー]')) one from q)"""
+
+
 SQL = {
     "corpus_lines": f"with {LINES} select text from l",
     "corpus_usable": f"with {USABLE} select text from l",
@@ -227,7 +235,6 @@ SQL = {
     "char_usage": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, v as (select char, 2 + row_number() over (order by freq desc, char) id from k where kept qualify id < 300), al as (select unnest(string_split(text, chr(10))) as text from documents), ae as (select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text from al where {CLEAN} <> ''), p as (select unnest(string_split(text, '')) as char from ae) select coalesce(id, 0)::int id, count(*) n from p left join v using (char) where char <> '' group by 1",
     "char_tokens": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, v as (select char, 2 + row_number() over (order by freq desc, char) id from k where kept qualify id < 300), al as (select unnest(string_split(text, chr(10))) as text from documents), ae as (select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text, row_number() over () nth from al where {CLEAN} <> ''), p as (select nth, unnest(string_split(text, '')) as char, unnest(range(1, length(text) + 1)) i from ae), x as (select nth, i, coalesce(id, 0)::int id from p left join v using (char) where char <> ''), y as (select id, lag(id) over (partition by nth order by i) before_id from x) select id, count(*) n from y where not (id = 0 and coalesce(before_id, 1) = 0) group by id",
     "scripts": f"with {LINES}, e as (select text from l), {LETTERS} select char, freq, case {SCRIPT_CASES} else 'Common' end script from c",
-    "piece_shapes": f"""with p as (select distinct piece from spill_entry where piece is not null), s as (select piece, replace(piece, '{SPACE}', '') own, length(piece) between 1 and 12 and not regexp_matches(piece, '[{RARE}\\x00{BOUNDARY} ]') plain from p)
-select piece, plain and not contains(piece[2:], '{SPACE}') and (own = '' or regexp_full_match(own, '{ONE_SCRIPT}') or (regexp_full_match(own, '\\p{{Common}}[\\p{{Common}}\\p{{Inherited}}]*', 's') and not regexp_matches(own, '[0-9０-９ー]'))) as valid, plain and (length(piece) = 1 or piece[-1] <> '{SPACE}') valid_loose from s""",
+    "piece_shapes": f"{shapes_sql(12)} select piece, plain and not contains(piece[2:], '{SPACE}') and one as valid, plain and (length(piece) = 1 or piece[-1] <> '{SPACE}') valid_loose from s",
     "unknown_runs": "with s as (select row_id, seq, id, lag(id) over (partition by row_id order by seq) before_id from token_span) select row_id, count(*)::int as before, sum(case when id = 0 and before_id = 0 then 0 else 1 end)::int as after from s group by row_id",
 }

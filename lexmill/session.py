@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,18 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a folder of this
-    machine serves if all tasks run on it too (a local master); on a cluster that is an error.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a folder of this machine
+    serves if all tasks run on it too (a local master); on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.split("[")[0] == "local":
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexmill-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors can write and read."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the cluster's shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
