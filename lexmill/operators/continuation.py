@@ -21,7 +21,7 @@ from ..kernels.model import Model
 from ..kernels.text import valid_piece
 from ..kernels.unigram import add_logs
 from ..session import cut
-from ..spec import NORMAL, RARE, USER_DEFINED, TrainerSpec, need
+from ..spec import NORMAL, RARE, TYPE_NUMBERS, USER_DEFINED, TrainerSpec, need
 from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, words_of
 
 
@@ -66,7 +66,7 @@ class Program:
         return RankedProgram(rows, [(n, a, b, a + b) for n, (a, b) in enumerate(self.merges)])
 
     def identity(self) -> str:
-        lines = "".join(f"{p.id}\t{p.piece}\t{p.type}\n" for p in sorted(self.pieces, key=lambda p: p.id))
+        lines = "".join(f"{p.id}\t{p.piece}\t{TYPE_NUMBERS[p.type]}\n" for p in sorted(self.pieces, key=lambda p: p.id))
         return hashlib.sha256(lines.encode()).hexdigest()
 
 

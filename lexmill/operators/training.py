@@ -294,11 +294,12 @@ def all_applied(symbols: str | Column, merges: list[tuple[str, str]]) -> Column:
     return apply(F.col(symbols) if isinstance(symbols, str) else symbols)
 
 
-def merge_passes(symbols: DataFrame, most: int, pairs_of: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame, int], DataFrame], learnt: set[str]) -> Iterator[tuple[str, str, int]]:
+def merge_passes(symbols: DataFrame, most: int, pairs_of: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame, int], DataFrame], learnt: set[str], also: str | None = None) -> Iterator[tuple]:
     """Merges with their counts, in exactly the order in which they would be learnt one at a time, as many a pass as that allows.
 
     pairs_of: the candidates ``left, right, n`` of symbols; first: the best n of them in order;
-    learnt: pieces that aren't learnt again, to which the new ones are added. A pass takes the
+    learnt: pieces that aren't learnt again, to which the new ones are added; also: a column of
+    the candidates that comes after the count. A pass takes the
     best candidates as long as they share no symbol with those before, so that their counts still
     hold, and are more frequent than any pair that the merges before can make.
     """
@@ -307,18 +308,18 @@ def merge_passes(symbols: DataFrame, most: int, pairs_of: Callable[[DataFrame],
         pairs, n = pairs_of(symbols), WINDOW + len(learnt)  # bounded by the vocabulary, but for pairs that make the same piece
         while True:
             found = first(pairs, n).collect()
-            fresh = [(r.left, r.right, r.n) for r in found if r.left + r.right not in learnt]
+            fresh = [(r.left, r.right, r.n, *([r[also]] if also else [])) for r in found if r.left + r.right not in learnt]
             if fresh or len(found) < n:
                 break
             n *= 2
         fresh = [x for x in fresh if x[2] > 0][: min(WINDOW, most - made)]
         if not fresh:
             return
-        limit = new_neighbours(symbols, [(a, b) for a, b, _ in fresh]) if len(fresh) > 1 else {}
+        limit = new_neighbours(symbols, [x[:2] for x in fresh]) if len(fresh) > 1 else {}
         chosen: list[tuple[str, str]] = []
         touched: set[str] = set()
         bound = -1
-        for k, (a, b, n) in enumerate(fresh):
+        for k, (a, b, n, *rest) in enumerate(fresh):
             if a + b in learnt:  # made by another pair of this pass
                 continue
             if chosen and (a in touched or b in touched or n <= bound):
@@ -328,7 +329,7 @@ def merge_passes(symbols: DataFrame, most: int, pairs_of: Callable[[DataFrame],
             touched |= {a, b}
             bound = max(bound, limit.get(k, 0))
             made += 1
-            yield a, b, n
+            yield a, b, n, *rest
         symbols = symbols.withColumn("symbols", all_applied("symbols", chosen))
         passes += 1
         if passes % EVERY == 0:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words_column
 from ..kernels.model import Model
-from ..spec import RARE, TYPES, UNKNOWN, VOCABULARY
+from ..spec import RARE, TYPES, TYPE_NUMBERS, UNKNOWN, VOCABULARY
 
 #: Vocabularies up to so many pieces are broadcast; larger ones are joined by key.
 BROADCAST_PIECES = 2_000_000
@@ -101,7 +101,8 @@ def exported(vocab: DataFrame, form: str = "vocab") -> DataFrame:
 
 
 def id_map_hash(vocab: DataFrame) -> DataFrame:
-    """``sha256`` over the lines id, piece, type in the order of ids. A vocabulary's size bounds the one list."""
-    line = F.concat_ws("\t", F.col("piece_id").cast("string"), "piece", "type")
+    """``sha256`` over the lines id, piece, number of the type in the order of ids. A vocabulary's size bounds the one list."""
+    number = F.coalesce(*(F.when(F.col("type") == t, F.lit(str(n))) for t, n in TYPE_NUMBERS.items()))
+    line = F.concat_ws("\t", F.col("piece_id").cast("string"), "piece", number)
     ordered = F.array_sort(F.collect_list(F.struct("piece_id", line.alias("line"))))
     return vocab.agg(F.sha2(F.concat(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n"), F.lit("\n")).cast("binary"), 256).alias("sha256"))

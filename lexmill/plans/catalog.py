@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import corpus, evaluation, training
 from ..session import table
 from ..spec import NormalizerSpec, TrainerSpec
-from . import continuations, files, lattices, loading, models, texts
+from . import continuations, files, hierarchies, lattices, loading, models, texts
 
-MODULES = (loading, texts, models, continuations, files, lattices)
+MODULES = (loading, texts, models, continuations, files, lattices, hierarchies)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 

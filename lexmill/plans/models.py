@@ -303,7 +303,7 @@ select surface_id, round(coalesce(best[-1], 0.0), 3) score from surface_form lef
     "vocabulary_used": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select piece, count(*) n from (select unnest(ids) id from e) join vocab_piece using (id) where piece_type not in ('UNKNOWN', 'CONTROL') group by piece",
     "overlay_counts": f"with {STREAMS} select user_id, (len(ids) - len({MERGED}))::bigint merges, 0::bigint dropped from x",
     "vocabulary_lines": "select id as piece_id, piece || chr(9) || id as line from vocab_piece",
-    "id_map_hash": "select sha256(string_agg(id || chr(9) || piece || chr(9) || piece_type || chr(10), '' order by id)) sha256 from vocab_piece",
+    "id_map_hash": "select sha256(string_agg(id || chr(9) || piece || chr(9) || case piece_type when 'NORMAL' then 1 when 'UNKNOWN' then 2 when 'CONTROL' then 3 when 'USER_DEFINED' then 4 when 'UNUSED' then 5 else 6 end || chr(10), '' order by id)) sha256 from vocab_piece",
     "piece_ids": "select entry_id, s.piece, coalesce(v.id, 0)::int id from (select distinct entry_id, piece from spill_entry where piece is not null) s left join vocab_piece v on s.piece = v.piece",
     "id_pieces": "select row_id, seq, id, v.piece, v.piece_type as type from token_span t left join vocab_piece v using (id)",
     "roundtrip_unigram": ROUND, "roundtrip_pairs": ROUND, "roundtrip_sampled": ROUND, "roundtrip_dropout": ROUND, "roundtrip_options": ROUND,

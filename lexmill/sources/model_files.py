@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import valid_piece_column
 from ..kernels.model import Model
 from ..operators.vocabulary import exported, model_pieces, vocabulary
-from ..spec import TYPES, NormalizerSpec, SpecError, TrainerSpec, need
+from ..spec import TYPE_NUMBERS, TYPES, NormalizerSpec, SpecError, TrainerSpec, need
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
@@ -77,7 +77,6 @@ def read_symbols(spark: SparkSession, path: str) -> list[str]:
 # Numbers of the fields of the public model format.
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
 PIECE, SCORE, TYPE = 1, 2, 3
-TYPE_NUMBERS = {"NORMAL": 1, "UNKNOWN": 2, "CONTROL": 3, "USER_DEFINED": 4, "UNUSED": 5, "BYTE": 6}
 MODEL_TYPES = {"unigram": 1, "bpe": 2, "word": 3, "char": 4}
 TRAINER_FIELDS = {
     "model_type": (3, "model"), "vocab_size": (4, "int"), "character_coverage": (10, "float"), "input_sentence_size": (11, "int"), "seed_size": (14, "int"),

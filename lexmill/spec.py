@@ -9,6 +9,8 @@ RARE = "▅"  # stands for characters outside the covered alphabet while trainin
 BOUNDARY = "\x1f"  # no piece crosses it
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = "NORMAL", "UNKNOWN", "CONTROL", "USER_DEFINED", "UNUSED", "BYTE"
 TYPES = (NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE)
+# Numbers of the types in the public model format.
+TYPE_NUMBERS = {"NORMAL": 1, "UNKNOWN": 2, "CONTROL": 3, "USER_DEFINED": 4, "UNUSED": 5, "BYTE": 6}
 VOCABULARY = "piece_id int, piece string, score float, type string"
 MERGES = "rank int, left string, right string, piece string"
 UNKNOWN_SURFACE = " ⁇ "
