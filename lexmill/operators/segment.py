@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import kept
+from ..functions.text import kept, normalize_column
 from ..kernels.model import Model
-from ..spec import SPACE
+from ..spec import SPACE, USER_DEFINED, NormalizerSpec
 
 SPAN = pa.struct([("piece", pa.string()), ("id", pa.int32()), ("surface", pa.string()), ("begin", pa.int32()), ("end", pa.int32())])
 SPAN_DDL = "array<struct<piece string, id int, surface string, begin int, end int>>"
@@ -125,6 +125,40 @@ def encode_ids(text: str | Column, model: Model, options: str = "") -> Column:
     return with_options(ids(_col(text)), options, model)
 
 
+def encode_long(df: DataFrame, model: Model, key: str, text: str = "text", chunk: int = 1 << 20) -> DataFrame:
+    """``key, ids``: the same as ``encode_ids`` for a table with very long texts, whose parts are encoded in tasks of their own.
+
+    A normal form of more than ``chunk`` characters is cut before a space sign, where no piece
+    crosses; a model whose pieces do cross words takes whole texts. The key must be unique and not
+    null; a null text gives null, an empty one no ids.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if not model.by_words or model.trainer.whitespace_as_suffix or not model.normalizer.escape_whitespaces:
+        return rows.select(F.col("key").alias(key), encode_ids("text", model).alias("ids"))
+    kind = df.select(key).dtypes[0][1]
+    symbols = tuple(p for p, _, t in model.pieces if t == USER_DEFINED)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1).to_pylist()):
+                out, at = [], 0
+                while t is not None and len(t) - at > chunk:
+                    end = t.rfind(SPACE, at + 1, at + chunk + 1)
+                    end = t.find(SPACE, at + chunk) if end < 0 else end
+                    if end < 0:
+                        break
+                    out.append(t[at:end])
+                    at = end
+                out.append(None if t is None else t[at:])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), b.schema.field(0).type), pa.array(range(len(out)), pa.int32()), pa.array(out, pa.string())], names=["key", "part", "text"])
+
+    cut_up = rows.select("key", normalize_column("text", model.normalizer, symbols).alias("text")).mapInArrow(parts, f"key {kind}, part int, text string")
+    ready = Model(model.pieces, model.trainer, NormalizerSpec("identity", add_dummy_prefix=False, remove_extra_whitespaces=False), model.denormalizer)
+    coded = cut_up.repartition("key", "part").select("key", "part", encode_ids("text", ready).alias("ids"))
+    whole = coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return whole.select(F.col("key").alias(key), (F.col("ids") if model.trainer.byte_fallback else unknown_runs_merged("ids", model.unk)).alias("ids"))
+
+
 def encode_pieces(text: str | Column, model: Model, options: str = "") -> Column:
     """ARRAY<STRING>: unknown stretches stand as they are, or with the option ``unk`` as the unknown piece."""
     model.options(options)

@@ -77,6 +77,12 @@ def encode_unigram(spark, d):
     return rows.select("row_id", F.array_join("ids", " ").alias("ids"), F.size("ids").alias("n"))
 
 
+def encode_long(spark, d):
+    """The same with long texts cut into parts."""
+    rows = S.encode_long(_texts(spark, d), given(spark, d), "row_id", chunk=300)
+    return rows.select("row_id", F.array_join("ids", " ").alias("ids"), F.size("ids").alias("n"))
+
+
 def encode_best_score(spark, d):
     """The score of the best path of every surface."""
     surfaces = table(spark, d, "surface_form").select("surface_id", "surface")
@@ -240,7 +246,7 @@ def overlay_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    vocabulary_faults, vocabulary_lines, id_map_hash, piece_ids, id_pieces, word_encode, encode_unigram, encode_best_score, encode_pairs, roundtrip_unigram, roundtrip_pairs, roundtrip_sampled,
+    vocabulary_faults, vocabulary_lines, id_map_hash, piece_ids, id_pieces, word_encode, encode_unigram, encode_long, encode_best_score, encode_pairs, roundtrip_unigram, roundtrip_pairs, roundtrip_sampled,
     roundtrip_dropout, roundtrip_options, roundtrip_nbest, spans_cover, decode_given, decode_built_in, decode_spans, options_applied, byte_fallback, vocabulary_used,
     evaluation_report, pair_counts, first_pairs, pair_applied, train_pairs, train_unigram, seed_substrings, seed_substrings_lines, overlay_encoded, overlay_restored, overlay_built_in, overlay_counts,
 )}
@@ -299,6 +305,7 @@ r as (select word, 0 as n, [0.0::double] as best from w union all
   from r, u, range(1, 25) g(k) left join v on v.piece = r.word[r.n + 2 - k:r.n + 1] where r.n < length(r.word) and k <= r.n + 1 and (v.s is not null or k = 1) group by r.word, r.n)
 select surface_id, round(coalesce(best[-1], 0.0), 3) score from surface_form left join (select * from r where n = length(word)) x on x.word = '{SPACE}' || replace({CLEAN.replace('text', 'surface')}, ' ', '{SPACE}')""",
     "encode_unigram": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select row_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
+    "encode_long": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select row_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
     "encode_pairs": f"{encoded_sql('bpe', 'refrow', 'row_id', 'text')} select row_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",
     "vocabulary_used": f"{encoded_sql('unigram', 'refrow', 'row_id', 'text')} select piece, count(*) n from (select unnest(ids) id from e) join vocab_piece using (id) where piece_type not in ('UNKNOWN', 'CONTROL') group by piece",
     "overlay_counts": f"with {STREAMS} select user_id, (len(ids) - len({MERGED}))::bigint merges, 0::bigint dropped from x",

@@ -407,3 +407,15 @@ def test_scripts_of_all_planes_and_unknown_pieces():
     found = [(p, i) for p, i, *_ in model.pieces_of("aqa")]
     assert model.piece_options("")(found) == ["▁", "a", "q", "a"]
     assert model.piece_options("unk:bos:reverse")(found) == ["a", "<unk>", "a", "▁", "<s>"]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("form", [NormalizerSpec("identity"), NormalizerSpec("nmt_nfkc"), NormalizerSpec("identity", add_dummy_prefix=False, remove_extra_whitespaces=False)])
+def test_long_texts_in_parts_are_encoded_like_whole_ones(spark, fallback, form):
+    rng = random.Random(4)
+    pieces = [("<unk>", 0.0, "UNKNOWN"), ("▁", -2.0, "NORMAL"), ("a", -1.5, "NORMAL"), ("▁a", -1.0, "NORMAL"), ("ab", -2.5, "NORMAL")]
+    model = Model((*pieces, *((f"<0x{n:02X}>", 0.0, "BYTE") for n in range(256) if fallback)), TrainerSpec("unigram", byte_fallback=fallback), form).checked()
+    rows = [(i, "".join(rng.choice("abx  q") for _ in range(rng.randint(0, 90)))) for i in range(40)] + [(90, None), (91, ""), (92, "x" * 50), (93, "   ")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = {r.id: r.ids for r in df.select("id", S.encode_ids("text", model).alias("ids")).collect()}
+    assert {r.id: r.ids for r in S.encode_long(df, model, "id", chunk=7).collect()} == want
