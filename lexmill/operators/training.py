@@ -11,6 +11,7 @@ import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import normalize_column, valid_piece_column, words_column
+from ..functions.text import kept, normalize_column, valid_piece_column, words_column
 from ..kernels.model import Model, assemble, special_layout
 from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel, digamma
@@ -510,8 +511,10 @@ def expected_counts(rows: DataFrame, pieces: list[tuple[str, float]], known_only
     Each partition sends one row a piece at most; partial sums are added in the order of ids.
     """
 
+    name = uuid4().hex
+
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, counts, total = _kernel(pieces), {}, 0.0
+        kernel, counts, total = kept(("kernel", name), lambda: _kernel(pieces)), {}, 0.0  # once a worker and step
         for b in batches:
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
