@@ -125,9 +125,11 @@ class Record:
 def fenced(text: str, fences: Iterable[str]) -> list[tuple[int, int]]:
     """Stretches of the text that fenced strings cover: all occurrences, overlapping ones as one."""
     out: list[list[int]] = []
-    found = sorted(set(fences), key=len, reverse=True)
-    for i in range(len(text)):
-        size = next((len(f) for f in found if text.startswith(f, i)), 0)
+    by_first: dict[str, list[str]] = {}
+    for f in sorted(set(fences), key=len, reverse=True):
+        by_first.setdefault(f[0], []).append(f)
+    for i, c in enumerate(text):
+        size = next((len(f) for f in by_first[c] if text.startswith(f, i)), 0) if c in by_first else 0
         if size and out and i < out[-1][1]:
             out[-1][1] = max(out[-1][1], i + size)
         elif size:

@@ -8,18 +8,20 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import valid_piece_column
+from ..functions.text import kept, valid_piece_column
+from ..kernels.hierarchy import fenced
 from ..kernels.merges import RankedProgram
 from ..kernels.model import Model
 from ..kernels.text import valid_piece
-from ..kernels.unigram import add_logs
+from ..kernels.unigram import UnigramKernel
 from ..session import cut
 from ..spec import NORMAL, RARE, TYPE_NUMBERS, USER_DEFINED, TrainerSpec, need
 from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, words_of
@@ -250,7 +252,9 @@ def bisect(what: str, f: Callable[[float], float], low: float, high: float, incr
 
 def base_mass(scores: np.ndarray, lengths: np.ndarray, gauge: float) -> float:
     """The log of the inherited pieces' mass when each score is shifted by the gauge times its length."""
-    return add_logs((scores + gauge * lengths).tolist())
+    shifted = scores + gauge * lengths
+    top = shifted.max() if len(shifted) else -math.inf
+    return float(top + np.log(np.exp(shifted - top).sum())) if top > -math.inf else -math.inf
 
 
 def solve_gauge(scores: np.ndarray, lengths: np.ndarray, mass: float) -> float:
@@ -259,6 +263,32 @@ def solve_gauge(scores: np.ndarray, lengths: np.ndarray, mass: float) -> float:
     return bisect("gauge", lambda g: base_mass(scores, lengths, g) - math.log(mass), -1.0, 1.0)
 
 
+#: The log of an inherited mass that stands for none at all.
+NO_MASS = math.log(1e-30)
+
+
+def stationary_gauge(scores: np.ndarray, lengths: np.ndarray, inherited: float, fresh: float) -> float:
+    """The gauge g at which inherited * g + fresh * log(1 - mass(g)) is largest.
+
+    inherited: expected letters of inherited pieces; fresh: expected count of new ones. Without new
+    ones all mass is inherited, without inherited ones next to none.
+    """
+    need(math.isfinite(inherited) and math.isfinite(fresh) and inherited >= 0 and fresh >= 0, "expected counts must be finite")
+    most = bisect("largest gauge", lambda g: base_mass(scores, lengths, g), -1.0, 1.0)
+    if fresh <= 1e-30:
+        return most
+    if inherited <= 1e-30:
+        return bisect("least gauge", lambda g: base_mass(scores, lengths, g) - NO_MASS, most - 1, most)
+
+    def slope(g: float) -> float:
+        mass = np.exp(scores + g * lengths)
+        left = 1 - mass.sum()
+        return inherited - fresh * float((lengths * mass).sum()) / left if left > 0 else -math.inf
+
+    high = most - 1e-10
+    return bisect("gauge of a step", slope, high - 1, high, increasing=False)
+
+
 def prefix_faults(prior: DataFrame, output: DataFrame, gauge: float, tolerance: float = 1e-4) -> DataFrame:
     """``piece_id, fault`` of inherited pieces that an extension changed: missing, another string or type, a score off the gauge."""
     new = output.select("piece_id", F.col("piece").alias("new_piece"), F.col("score").alias("new_score"), F.col("type").alias("new_type"))
@@ -277,48 +307,115 @@ def uncovered(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return letters.join(vocabulary.select("piece"), "piece", "left_anti")
 
 
-def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec | None = None, mass: float = 0.9, iterations: int = 3) -> tuple[Model, float]:
-    """A unigram model with up to ``new`` more pieces, and the gauge its inherited scores were shifted by.
+def unfenced_stretches(text: str | Column, fences: list[str]) -> Column:
+    """ARRAY<STRING>: what is left of a text between fenced stretches, which no candidate may touch."""
+
+    @arrow_udf("array<string>")
+    def left(batch: pa.Array) -> pa.Array:
+        out = []
+        for t in batch.to_pylist():
+            edges = [e for stretch in fenced(t, fences) for e in stretch] if t is not None else []
+            out.append(None if t is None else [t[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(t)]) if a < b])
+        return pa.array(out, pa.list_(pa.string()))
 
-    rows: ``text, freq`` in normal form. Inherited pieces keep ids, strings and types, and their
-    scores move by one gauge times their length; the new pieces share what mass is left by
-    expected counts. Characters the prior doesn't know come first.
+    return left(F.col(text) if isinstance(text, str) else text)
+
+
+def on_basis(found: DataFrame, own: list[tuple[str, float]], required: list[tuple[str, float]]) -> list[tuple[str, float, int]]:
+    """(piece, score, inherited letters) of candidates ``piece``: their best path over inherited pieces and required characters. Those without one are left out."""
+    free, name = {p for p, _ in required}, uuid4().hex
+    pieces = [("<unk>", 0.0, "UNKNOWN"), *((p, s, NORMAL) for p, s in (*own, *required))]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = kept(("basis", name), lambda: UnigramKernel(pieces))
+        for b in batches:
+            rows = []
+            for p in b.column(0).to_pylist():
+                path, score = kernel.best(p)
+                if all(i != kernel.unknown for _, _, i in path):
+                    rows.append((p, score, sum(end - begin for begin, end, _ in path if p[begin:end] not in free)))
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32())], names=["piece", "score", "letters"])
+
+    return sorted((r.piece, r.score, r.letters) for r in found.select("piece").mapInArrow(spell, "piece string, score double, letters int").collect())  # at most the seeds
+
+
+def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec | None = None, hard_limit: bool = True, fences: tuple[str, ...] = ()) -> tuple[Model, float]:
+    """A unigram model with ``new`` more pieces, and the gauge its inherited scores were shifted by.
+
+    rows: ``text, freq`` in normal form. Inherited pieces keep ids, strings and types, and the
+    scores of normal ones move by one gauge times their length. Characters that they can't spell
+    are required: they share the mass that the prior leaves, by frequency, and no candidate
+    replaces them. Other candidates begin tied to their best path over this basis. Each step takes
+    expected counts, sets the gauge where the likelihood is stationary, and shares the rest of the
+    mass among the new pieces; the least expected ones go until ``new`` are left. Candidates touch
+    neither the prior's special symbols nor fences. Fewer candidates than ``new`` are an error
+    under the hard limit, and so is a prior without free mass where characters are required.
     """
     need(prior.trainer.model_type == "unigram", "the prior must be a unigram model")
+    need(new >= 0, "the number of new pieces must be 0 or more")
     spec = spec or prior.trainer
     spark = rows.sparkSession
     own = [(p, s) for p, s, t in prior.pieces if t == NORMAL]
-    need(own, "the prior has no normal piece")
-    inherited = spark.createDataFrame([(p,) for p, _, _ in prior.pieces], "piece string")
-    words = cut(words_of(rows, spec).select(F.col("word").alias("text"), "freq"))
-    required = [(r.piece, r.n) for r in uncovered(words, inherited).collect()]  # at most all of Unicode
-    need(len(required) <= new, f"{len(required)} characters need pieces of their own")
-    extra = sorted(required, key=lambda x: (-x[1], x[0]))
-    must = {p for p, _ in extra}
-    pool = [(r.piece, r.n) for r in candidates(words, inherited, spec, max(1, 4 * new)).collect()]
-    extra += [x for x in pool if x[0] not in must]
+    need(own and all(math.isfinite(s) for _, s in own), "the prior has no normal piece, or one without a finite score")
     scores, lengths = np.array([s for _, s in own]), np.array([len(p) for p, _ in own], float)
-    gauge = solve_gauge(scores, lengths, mass)
-
-    def shares(counts: list[float]) -> list[float]:
-        total = sum(counts)
-        return [math.log(max(n, 1e-12) / total) + math.log(1 - mass) for n in counts]
-
-    weights = [float(n) for _, n in extra]
-    for step in range(iterations + 2):
-        fresh = list(zip([p for p, _ in extra], shares(weights)))
-        pieces = [(p, s + gauge * len(p)) for p, s in own] + fresh
-        counts, _ = expected_counts(words, pieces)
-        weights = [max(float(n), 1e-6) for n in counts[len(own) :]]
-        if step < iterations and len(extra) > new:
-            size = max(new, int(0.6 * len(extra)))
-            order = sorted(range(len(extra)), key=lambda i: (extra[i][0] not in must, -round(weights[i], 9), extra[i][0]))[:size]
-            extra, weights = [extra[i] for i in sorted(order)], [weights[i] for i in sorted(order)]
-    order = sorted(range(len(extra)), key=lambda i: (extra[i][0] not in must, -round(weights[i], 9), extra[i][0]))[:new]
-    extra, weights = [extra[i] for i in order], [weights[i] for i in order]
-    fresh = list(zip([p for p, _ in extra], shares(weights)))
+    words = cut(words_of(rows, spec).select(F.col("word").alias("text"), "freq"))
+    spelled = spark.createDataFrame([(p,) for p, _, t in prior.pieces if t in (NORMAL, USER_DEFINED)], "piece string")
+    missing = sorted(((r.piece, r.n) for r in uncovered(words, spelled).collect()), key=lambda x: (-x[1], x[0]))  # at most all of Unicode
+    need(len(missing) <= new, f"{len(missing)} characters need pieces of their own")
+    if not new:
+        return prior, 0.0
+    left = 1 - math.exp(min(0.0, base_mass(scores, lengths, 0.0)))
+    need(not missing or left > 0, "the prior leaves no mass for the characters that it can't spell")
+    whole = sum(n for _, n in missing)
+    required = [(p, math.log(left * n / whole)) for p, n in missing]
+    marks = sorted({p for p, _, t in prior.pieces if t not in (NORMAL, "UNUSED")} | set(fences))
+    view = words.select(F.explode(unfenced_stretches("text", marks)).alias("text"), "freq")
+    inherited = spark.createDataFrame([(p,) for p, _, _ in prior.pieces], "piece string")
+    pool = on_basis(candidates(view, inherited, spec, max(new, spec.seed_size)), own, required)
+    need(not hard_limit or len(pool) + len(required) >= new, f"only {len(pool) + len(required)} of {new} new pieces can be spelled by the prior")
+
+    # The basis and the tied candidates hold all mass together.
+    tied, exposed = np.array([s for _, s, _ in pool]), np.array([h for *_, h in pool], float)
+    fixed = np.array([s for _, s in required])
+    everything, exposure = np.concatenate((scores, tied, fixed)), np.concatenate((lengths, exposed, np.zeros(len(fixed))))
+    gauge = bisect("gauge of the basis", lambda g: base_mass(everything, exposure, g), -1.0, 1.0)
+    names = [p for p, _ in required] + [p for p, *_ in pool]
+    fresh = np.concatenate((fixed, tied + gauge * exposed))
+    must = len(required)
+
+    def expected() -> np.ndarray:
+        pieces = list(zip((p for p, _ in own), (scores + gauge * lengths).tolist())) + list(zip(names, fresh.tolist()))
+        return expected_counts(words, pieces)[0]
+
+    def shared(counts: np.ndarray) -> np.ndarray:
+        counts = np.maximum(counts, 1e-30)
+        return math.log(max(1e-300, 1 - math.exp(base_mass(scores, lengths, gauge)))) + np.log(counts / counts.sum())
+
+    def step() -> np.ndarray:
+        nonlocal gauge, fresh
+        counts = expected()
+        gauge = stationary_gauge(scores, lengths, float((counts[: len(own)] * lengths).sum()), float(counts[len(own) :].sum()))
+        need(counts[len(own) :].sum() > 0, "the new pieces are never used")
+        fresh = shared(counts[len(own) :])
+        return counts[len(own) :]
+
+    while len(names) > new:
+        for _ in range(spec.num_sub_iterations):
+            counts = step()
+        keep = max(new, must, min(len(names) - 1, int(len(names) * spec.shrinking_factor)))
+        order = [*range(must), *sorted(range(must, len(names)), key=lambda i: (-round(counts[i], 9), names[i]))][:keep]
+        names, fresh = [names[i] for i in order], shared(counts[order])
+    for _ in range(max(2, spec.num_sub_iterations)):
+        counts = step()
+    need(not hard_limit or bool((counts > 0).all()), "some of the new pieces are never expected")
+    last = sorted(zip(names, fresh.tolist()), key=lambda x: (-round(x[1], 9), x[0]))
     rest = [(p, s + gauge * len(p) if t == NORMAL else s, t) for p, s, t in prior.pieces]
-    return Model((*rest, *((p, s, NORMAL) for p, s in fresh)), prior.trainer, prior.normalizer, prior.denormalizer).checked(), gauge
+    model = Model((*rest, *((p, s, NORMAL) for p, s in last)), prior.trainer, prior.normalizer, prior.denormalizer).checked()
+    # The last gate: the corpus can be spelled.
+    known = spark.createDataFrame([(p,) for p, _, t in model.pieces if t in (NORMAL, USER_DEFINED)], "piece string")
+    need(not uncovered(words, known).limit(1).collect(), "the model can't spell its corpus")
+    return model, gauge
 
 
 def refit(rows: DataFrame, model: Model, iterations: int = 8, floor: float = 1e-30) -> tuple[Model, list[float]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import kept, valid_piece_column
-from ..kernels.hierarchy import Record, ScopedProgram, fence_policy, fenced, parsed_gates, segmented
+from ..kernels.hierarchy import Record, ScopedProgram, fence_policy, parsed_gates, segmented
 from ..kernels.text import Normalizer
 from ..session import cut
 from ..spec import BOUNDARY, RARE, NormalizerSpec, SpecError, TrainerSpec, need
@@ -72,20 +72,6 @@ def normalised_fences(fences: list[str], spec: NormalizerSpec) -> list[str]:
     return out
 
 
-def unfenced_stretches(text: str | Column, fences: list[str]) -> Column:
-    """ARRAY<STRING>: what is left of a text between fenced stretches, which no unigram candidate may touch."""
-
-    @arrow_udf("array<string>")
-    def left(batch: pa.Array) -> pa.Array:
-        out = []
-        for t in batch.to_pylist():
-            edges = [e for s in fenced(t, fences) for e in s] if t is not None else []
-            out.append(None if t is None else [t[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(t)]) if a < b])
-        return pa.array(out, pa.list_(pa.string()))
-
-    return left(F.col(text) if isinstance(text, str) else text)
-
-
 def record_support(rows: DataFrame, fixed: frozenset[str]) -> DataFrame:
     """``left, right, n, applied`` of rows ``symbols, freq, gates, ranges``: the weight of replacements that the hierarchy supports, and of all."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sql import register
+from ..kernels.model import Model
 from ..operators import continuation as N
 from ..operators import corpus as C
 from ..operators import training as L
@@ -28,8 +30,7 @@ def _vocab(spark: SparkSession, d: str) -> DataFrame:
 
 def continuation_candidates(spark, d):
     words = L.words_of(_rows(spark, d), TrainerSpec()).select(F.col("word").alias("text"), "freq")
-    spec = TrainerSpec(max_piece_length=8, split_by_script=False, split_by_number=False)
-    return N.candidates(words, _vocab(spark, d), spec, most=2000)
+    return N.candidates(words, _vocab(spark, d), TrainerSpec(split_by_script=False, split_by_number=False))
 
 
 def support_counts(spark, d):
@@ -62,12 +63,18 @@ def continued_pairs(spark, d):
 
 
 def continued_unigram(spark, d):
-    model, gauge = N.continue_unigram(_rows(spark, d), given(spark, d), 1200, mass=0.95)
+    """A vocabulary that leaves a tenth of its mass, with pieces learnt on the corpus behind it."""
+    prior = given(spark, d)
+    own = [(p, s) for p, s, t in prior.pieces if t == "NORMAL"]
+    gauge = N.solve_gauge(np.array([s for _, s in own], float), np.array([len(p) for p, _ in own], float), 0.9)
+    prior = Model(tuple((p, s + gauge * len(p) if t == "NORMAL" else s, t) for p, s, t in prior.pieces), prior.trainer, prior.normalizer)
+    missing = N.uncovered(_rows(spark, d), _vocab(spark, d).filter("type in ('NORMAL', 'USER_DEFINED')").select("piece")).count()
+    model, gauge = N.continue_unigram(_rows(spark, d), prior, missing + 600, TrainerSpec("unigram", seed_size=20_000), hard_limit=False)
     return V.vocabulary(spark, model).select("piece_id", "piece", F.round(F.col("score").cast("double"), 3).alias("score"), "type")
 
 
 def refitted(spark, d):
-    base = L.train(table(spark, d, "refrow").filter("text is not null").select("text"), TrainerSpec("unigram", vocab_size=1200, character_coverage=1.0, seed_size=4000, max_piece_length=6, hard_vocab_limit=False, max_sentence_length=1 << 30), PLAIN)
+    base = L.train(table(spark, d, "refrow").filter("text is not null").select("text"), TrainerSpec("unigram", vocab_size=1200, character_coverage=1.0, hard_vocab_limit=False, max_sentence_length=1 << 30), PLAIN)
     model, history = N.refit(_rows(spark, d), base, 2)
     return V.vocabulary(spark, model)
 
@@ -112,8 +119,8 @@ def sql_tokenize_rows(spark, d):
 QUERIES = {f.__name__: f for f in (continuation_candidates, support_counts, ambiguous_pieces, prefix_faults, continued_pairs, continued_unigram, refitted, stream_encoded, stream_words, sql_tokens, sql_tokenized, sql_tokenize_rows)}
 
 SQL = {
-    "continuation_candidates": f"""with {TEXTS}, {ESC}, {WORDS}, s as (select word[i:i + k - 1] piece, freq from (select word, freq, i, unnest(range(2, least(8, length(word) - i + 1) + 1)) k from (select word, freq, unnest(range(1, length(word))) i from t)))
-select piece, sum(freq)::bigint n from s where not contains(piece[2:], '{SPACE}') and piece not in (select piece from vocab_piece) group by piece having sum(freq) >= 2 order by n * length(piece) desc, length(piece) desc, piece limit 2000""",
+    "continuation_candidates": f"""with {TEXTS}, {ESC}, {WORDS}, s as (select word[i:i + k - 1] piece, freq from (select word, freq, i, unnest(range(2, least(16, length(word) - i + 1) + 1)) k from (select word, freq, unnest(range(1, length(word))) i from t)))
+select piece, sum(freq)::bigint n from s where not contains(piece[2:], '{SPACE}') and piece not in (select piece from vocab_piece) group by piece having sum(freq) >= 2""",
     "ambiguous_pieces": "with v as (select piece from vocab_piece where piece_type = 'NORMAL'), s as (select piece, piece[1:k] a, piece[k + 1:] b from (select piece, unnest(range(1, length(piece))) k from v)), n as (select piece, count(*) filter (a in (select piece from v) and b in (select piece from v)) splits from s group by piece) select piece, splits from n where splits <> 1",
     "prefix_faults": "select id::int as piece_id, case when id % 500 = 7 then 'missing' else 'piece' end fault from vocab_piece where id % 500 = 7 or id % 400 = 9",
     "stream_words": f"with l as (select text from refrow where text is not null), e as (select {CLEAN} as text from l where {CLEAN} <> '') select word, count(*) freq from (select '{SPACE}' || unnest(string_split(text, ' ')) as word from e) group by word",

@@ -9,7 +9,7 @@ from ..operators import corpus as C
 from ..operators import hierarchy as H
 from ..operators import training as L
 from ..operators import vocabulary as V
-from ..operators.continuation import Piece, Program
+from ..operators.continuation import Piece, Program, unfenced_stretches
 from ..session import shared_folder, table
 from ..spec import SPACE, NormalizerSpec, TrainerSpec
 from .models import CLEAN, ESC, PLAIN, TEXTS, WORDS, _texts
@@ -46,7 +46,7 @@ def hierarchy_file(spark, d):
 
 def unfenced(spark, d):
     rows = C.normalized(_texts(spark, d), PLAIN)
-    return rows.select("row_id", F.array_join(H.unfenced_stretches("text", FENCES), "\x1f").alias("parts"))
+    return rows.select("row_id", F.array_join(unfenced_stretches("text", FENCES), "\x1f").alias("parts"))
 
 
 def _fixed(spark: SparkSession, d: str) -> Program:

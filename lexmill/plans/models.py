@@ -145,7 +145,7 @@ def decode_built_in(spark, d):
 def decode_spans(spark, d):
     model = plainly(spark, d)
     spans = _ids(spark, d).select("row_id", F.posexplode(S.decode_spans("ids", model)).alias("seq", "s"))
-    return spans.filter("s.id <> 0").select("row_id", "seq", F.col("s.id").alias("id"), "s.piece")
+    return spans.select("row_id", "seq", F.col("s.id").alias("id"), "s.piece")
 
 
 def options_applied(spark, d):
@@ -318,7 +318,7 @@ select surface_id, round(coalesce(best[-1], 0.0), 3) score from surface_form lef
     "spans_cover": f"with {TEXTS} select row_id, text, strlen(text)::int as bytes from l where text <> ''",
     "decode_given": f"select row_id, replace(ltrim(string_agg(piece, '' order by seq), '{SPACE}'), '{SPACE}', ' ') as text from token_span group by row_id",
     "decode_built_in": f"select row_id, ltrim(replace(string_agg(piece, '' order by seq), '{SPACE}', ' '), ' ') as text from token_span group by row_id",
-    "decode_spans": "select row_id, seq, t.id, v.piece from token_span t join vocab_piece v using (id) where t.id <> 0",
+    "decode_spans": "select row_id, seq, t.id, v.piece from token_span t join vocab_piece v using (id)",
     "options_applied": "select row_id, array_to_string(list_reverse([1] || list(id order by seq) || [2]), ' ') ids from token_span group by row_id",
     "byte_fallback": f"with {TEXTS}, c as (select distinct unnest(string_split(text, '')) as char from l) select char, regexp_replace(hex(encode(char)), '(..)', '<0x\\1>', 'g') pieces from c where char not in ('', ' ', chr(0), chr(9), chr(10), chr(13), '{SPACE}') and char not in (select piece from vocab_piece)",
     "pair_counts": f"with {TEXTS}, {ESC}, {WORDS}, {PAIRS} select \"left\", \"right\", n from p",

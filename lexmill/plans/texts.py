@@ -43,7 +43,7 @@ def corpus_filter_report(spark, d):
 
 
 def corpus_prepared(spark, d):
-    return C.prepared(_weighted(spark, d).filter(F.octet_length("text") <= 4192), PLAIN)
+    return C.prepared(_weighted(spark, d), PLAIN, longest=1 << 30)
 
 
 def corpus_head(spark, d):
@@ -135,8 +135,8 @@ def char_alphabet(spark, d):
 
 
 def piece_shapes(spark, d):
-    spec = TrainerSpec(max_piece_length=12)
-    loose = TrainerSpec(max_piece_length=12, split_by_script=False, split_by_whitespace=False)
+    spec = TrainerSpec(max_piece_length=16)
+    loose = TrainerSpec(max_piece_length=16, split_by_script=False, split_by_whitespace=False)
     pieces = table(spark, d, "spill_entry").select("piece").filter("piece is not null").distinct()
     return pieces.select("piece", T.valid_piece_column("piece", spec).alias("valid"), T.valid_piece_column("piece", loose).alias("valid_loose"))
 
@@ -211,7 +211,7 @@ SQL = {
     "corpus_lines": f"with {LINES} select text from l",
     "corpus_usable": f"with {USABLE} select text from l",
     "corpus_filter_report": f"with {LINES} select case when coalesce(text, '') = '' then 'empty' when strlen(text) > 4192 then 'too long' when contains(text, '▅') then 'reserved' else 'kept' end reason, count(*) n from l group by 1",
-    "corpus_prepared": f"with {WEIGHTED} select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text, coalesce(meta, '') meta, sum(freq)::bigint freq from l where {CLEAN} <> '' and strlen(text) <= 4192 group by 1, 2",
+    "corpus_prepared": f"with {WEIGHTED} select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text, coalesce(meta, '') meta, sum(freq)::bigint freq from l where {CLEAN} <> '' group by 1, 2",
     "corpus_head": f"with {WEIGHTED} select text, freq from l order by freq, text limit 500",
     "corpus_masked": f"with {LINES} select regexp_replace(text, '{MASK}', chr(31), 'g') as text from l",
     "corpus_replaced": f"with {LINES} select regexp_replace(text, '{MASK}', '#', 'g') as text from l",
@@ -235,6 +235,6 @@ SQL = {
     "char_usage": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, v as (select char, 2 + row_number() over (order by freq desc, char) id from k where kept qualify id < 300), al as (select unnest(string_split(text, chr(10))) as text from documents), ae as (select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text from al where {CLEAN} <> ''), p as (select unnest(string_split(text, '')) as char from ae) select coalesce(id, 0)::int id, count(*) n from p left join v using (char) where char <> '' group by 1",
     "char_tokens": f"with {USABLE}, {ESC}, {LETTERS}, {COVER}, v as (select char, 2 + row_number() over (order by freq desc, char) id from k where kept qualify id < 300), al as (select unnest(string_split(text, chr(10))) as text from documents), ae as (select '{SPACE}' || replace({CLEAN}, ' ', '{SPACE}') as text, row_number() over () nth from al where {CLEAN} <> ''), p as (select nth, unnest(string_split(text, '')) as char, unnest(range(1, length(text) + 1)) i from ae), x as (select nth, i, coalesce(id, 0)::int id from p left join v using (char) where char <> ''), y as (select id, lag(id) over (partition by nth order by i) before_id from x) select id, count(*) n from y where not (id = 0 and coalesce(before_id, 1) = 0) group by id",
     "scripts": f"with {LINES}, e as (select text from l), {LETTERS} select char, freq, case {SCRIPT_CASES} else 'Common' end script from c",
-    "piece_shapes": f"{shapes_sql(12)} select piece, plain and not contains(piece[2:], '{SPACE}') and one as valid, plain and (length(piece) = 1 or piece[-1] <> '{SPACE}') valid_loose from s",
+    "piece_shapes": f"{shapes_sql(16)} select piece, plain and not contains(piece[2:], '{SPACE}') and one as valid, plain and (length(piece) = 1 or piece[-1] <> '{SPACE}') valid_loose from s",
     "unknown_runs": "with s as (select row_id, seq, id, lag(id) over (partition by row_id order by seq) before_id from token_span) select row_id, count(*)::int as before, sum(case when id = 0 and before_id = 0 then 0 else 1 end)::int as after from s group by row_id",
 }

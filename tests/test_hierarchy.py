@@ -95,7 +95,7 @@ def test_fences_part_merges(spark):
     wide = RankedProgram([(0, "<unk>", "UNKNOWN", False), (1, "aa", "NORMAL", True)], [])
     with pytest.raises(SpecError, match="inside"):
         segmented("aaaa", wide, ["a"][:0], cuts=[1])
-    assert [r[0] for r in rows.select(H.unfenced_stretches("text", ["ab"])).collect()] == [["aa", "b"], []]
+    assert [r[0] for r in rows.select(N.unfenced_stretches("text", ["ab"])).collect()] == [["aa", "b"], []]
 
 
 def test_continuing_records_equals_continuing_words_without_limits(spark):

@@ -306,7 +306,7 @@ def test_programs_that_are_rejected(pieces, merges):
 def test_unigram_continuation_and_refit(spark):
     rows = spark.createDataFrame([("▁the▁cat", 9), ("▁the▁zebra", 4)], "text string, freq bigint")
     prior = Model((("<unk>", 0.0, "UNKNOWN"), *((c, -2.5, "NORMAL") for c in "▁thecabr"), ("th", -2.0, "NORMAL")), TrainerSpec("unigram"), DUMMY)
-    model, gauge = N.continue_unigram(rows, prior, 4)
+    model, gauge = N.continue_unigram(rows, prior, 4, hard_limit=False)
     assert len(model.pieces) == len(prior.pieces) + 4 and "z" in normal(model)
     assert N.prefix_faults(V.vocabulary(spark, prior), V.vocabulary(spark, model), gauge).collect() == []
     assert model.unk not in model.encode("the zebra")
@@ -419,3 +419,36 @@ def test_long_texts_in_parts_are_encoded_like_whole_ones(spark, fallback, form):
     df = spark.createDataFrame(rows, "id int, text string")
     want = {r.id: r.ids for r in df.select("id", S.encode_ids("text", model).alias("ids")).collect()}
     assert {r.id: r.ids for r in S.encode_long(df, model, "id", chunk=7).collect()} == want
+
+
+def continued(spark, new=14, **more):
+    rows = C.normalized(random_rows(spark, 3, 120), DUMMY)
+    prior = Model((("<unk>", 0.0, "UNKNOWN"), *((c, -1.9 - n / 10, "NORMAL") for n, c in enumerate("▁abcde")), ("ab", -3.0, "NORMAL"), ("q", 0.0, "UNUSED")), TrainerSpec("unigram"), DUMMY)
+    model, gauge = N.continue_unigram(rows, prior, new, TrainerSpec("unigram", split_by_script=False), hard_limit=False, **more)
+    return rows, prior, model, gauge
+
+
+def test_unigram_continuation_is_stationary_and_keeps_the_mass(spark):
+    rows, prior, model, gauge = continued(spark)
+    assert len(model.pieces) == len(prior.pieces) + 14 and {"é", "文"} <= {p for p, _, _ in model.pieces[len(prior.pieces) :]}
+    assert N.prefix_faults(V.vocabulary(spark, prior), V.vocabulary(spark, model), gauge).collect() == []
+    own = [(p, s) for p, s, t in prior.pieces if t == "NORMAL"]
+    scores, lengths = N.np.array([s for _, s in own]), N.np.array([len(p) for p, _ in own], float)
+    assert abs(sum(N.math.exp(s) for _, s, t in model.pieces if t == "NORMAL") - 1) < 1e-9
+    # The gauge is the best one for the counts that it was made from: no gauge near it does better.
+    at = lambda g: 700.0 * g + 90.0 * N.math.log(1 - N.math.exp(N.base_mass(scores, lengths, g)))
+    best = N.stationary_gauge(scores, lengths, 700.0, 90.0)
+    assert at(best) >= max(at(best - 1e-3), at(best + 1e-3))
+    assert N.base_mass(scores, lengths, N.stationary_gauge(scores, lengths, 5.0, 0.0)) == pytest.approx(0, abs=1e-9)
+    assert N.base_mass(scores, lengths, N.stationary_gauge(scores, lengths, 0.0, 5.0)) == pytest.approx(N.NO_MASS, abs=1e-6)
+
+
+def test_unigram_continuation_fences_and_faults(spark):
+    _, prior, model, _ = continued(spark, fences=("cd",))
+    assert not [p for p, _, _ in model.pieces[len(prior.pieces) :] if "cd" in p]
+    with pytest.raises(SpecError, match="need pieces"):
+        continued(spark, 1)
+    full = Model((("<unk>", 0.0, "UNKNOWN"), ("▁", -0.1, "NORMAL"), ("a", -0.1, "NORMAL")), TrainerSpec("unigram"), DUMMY)
+    with pytest.raises(SpecError, match="no mass"):
+        N.continue_unigram(C.normalized(random_rows(spark, 3, 9), DUMMY), full, 20)
+    assert N.continue_unigram(spark.createDataFrame([("▁a", 1)], "text string, freq bigint"), full, 0) == (full, 0.0)
