@@ -23,14 +23,22 @@ def kept(key, make):
 
 
 def blanks(c: Column, spec: NormalizerSpec) -> Column:
-    """The blank handling of a normal form as built-in expressions."""
+    """The blank handling of a normal form as built-in expressions, each argument of which stands once."""
     if spec.remove_extra_whitespaces:
-        c = F.regexp_replace(F.trim(c), " +", " ")
+        c = F.regexp_replace(F.trim(c), " {2,}", " ")
     if spec.add_dummy_prefix:
-        c = F.when(c == "", c).otherwise(F.concat(c, F.lit(" ")) if spec.suffix else F.concat(F.lit(" "), c))
+        # A text that isn't empty gets a blank at its beginning or end.
+        c = F.regexp_replace(c, "(?s)(?<=.)\\z" if spec.suffix else "(?s)\\A(?=.)", " ")
     return F.replace(c, F.lit(" "), F.lit(SPACE)) if spec.escape_whitespaces else c
 
 
+def filled(c: Column, spec: NormalizerSpec, symbols: tuple[str, ...] = ()) -> Column | None:
+    """Whether the normal form isn't empty, as a cheap condition on the text; None if only the normal form tells."""
+    if spec.rules is not None or spec.name != "identity" or symbols:
+        return None
+    return F.trim(c) != "" if spec.remove_extra_whitespaces else c != ""
+
+
 def nmt_column(c: Column) -> Column:
     """The nmt rules as one translation."""
     blank, gone = "".join(map(chr, K.NMT_BLANKS)), "".join(map(chr, K.NMT_DROPPED))

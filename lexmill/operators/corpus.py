@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_column
+from ..functions.text import filled, normalize_column
 from ..kernels.text import alternatives
 from ..spec import BOUNDARY, RARE, NormalizerSpec
 
@@ -86,6 +86,9 @@ def pretokenized(df: DataFrame, split: Column, allow_inconsistent: bool = False)
 
 def normalized(df: DataFrame, spec: NormalizerSpec, symbols: tuple[str, ...] = ()) -> DataFrame:
     """rows with ``text`` in its normal form; those that become empty are dropped."""
+    cheap = filled(F.col("text"), spec, symbols)
+    if cheap is not None:  # else the filter would work the normal form out twice
+        return df.filter(cheap).withColumn("text", normalize_column("text", spec, symbols))
     return df.withColumn("text", normalize_column("text", spec, symbols)).filter("text <> ''")
 
 

@@ -25,7 +25,8 @@ def evaluate(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     )
     t, b = F.col("tokens").cast("double"), F.col("bytes").cast("double")
     per = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    both = size.withColumn("__one", F.lit(1)).join(F.broadcast(sums.withColumn("__one", F.lit(1))), "__one")  # one row each
+    one = sums.select(F.struct(*sums.columns).alias("s")).scalar()
+    both = size.withColumn("s", one).select("*", "s.*")
     both = both.withColumn("empirical_nats", F.when(t > 0, F.col("__nlogn") - t * F.log(t)).otherwise(0.0))
     nats = F.col("viterbi_nats") if model.trainer.model_type == "unigram" else F.col("empirical_nats")
     return both.select(

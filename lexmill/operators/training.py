@@ -25,7 +25,7 @@ from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel, digamma
 from ..session import cut
 from ..spec import NORMAL, RARE, SPACE, UNKNOWN, NormalizerSpec, TrainerSpec, need
-from .corpus import head, masked, sample, usable, weighted
+from .corpus import head, masked, normalized, sample, usable, weighted
 from .vocabulary import alphabet, char_histogram
 
 #: Distinct words up to which pairs are merged on the driver.
@@ -45,7 +45,7 @@ def training_rows(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec)
         rows = sample(rows, spec.input_sentence_size) if spec.shuffle_input_sentence else head(rows.withColumn("__nth", F.monotonically_increasing_id()), spec.input_sentence_size, "__nth").drop("__nth")
     symbols = tuple(p for p, k in special_layout(spec).values() if k != "BYTE")
     form = NormalizerSpec(normalizer.name, normalizer.rules, normalizer.add_dummy_prefix, normalizer.remove_extra_whitespaces, normalizer.escape_whitespaces, spec.whitespace_as_suffix)
-    rows = rows.withColumn("text", normalize_column("text", form, spec.user_defined_symbols)).filter("text <> ''")
+    rows = normalized(rows, form, spec.user_defined_symbols)
     rows = masked(rows, list(symbols))
     if spec.pretokenization_delimiter:
         rows = rows.withColumn("text", F.replace("text", F.lit(spec.pretokenization_delimiter), F.lit("\x1f")))
