@@ -137,10 +137,14 @@ def fenced(text: str, fences: Iterable[str]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+# Fixed value: what a line of fences begins with in artifacts.
+POLICY = "bpe_explicit_fences_v1:"
+
+
 def fence_policy(fences: Iterable[str]) -> str:
     """The fences in one line: in order, with all but letters, digits, point, low line and hyphen as %XX."""
     safe = lambda b: chr(b) if b < 128 and (chr(b).isalnum() or chr(b) in "._-") else f"%{b:02X}"
-    return "bpe_explicit_fences_v1:[" + ",".join("".join(map(safe, f)) for f in sorted(f.encode() for f in set(fences))) + "]"
+    return POLICY + "[" + ",".join("".join(map(safe, f)) for f in sorted(f.encode() for f in set(fences))) + "]"
 
 
 def segmented(text: str, program: RankedProgram, fences: Iterable[str] = (), cuts: Iterable[int] = ()) -> list[str]:

@@ -22,6 +22,7 @@ from ..spec import BOUNDARY, RARE, NormalizerSpec, SpecError, TrainerSpec, need
 from .continuation import Piece, Program
 from .training import merge_passes, ranked, replay
 
+#: Fixed value: the first line of a hierarchy file ends so.
 HEADER = re.compile(r"# [a-z]+-bpe-hierarchy-v([12])")
 SIDECAR = "text string, meta string, gates string, ranges string"
 
