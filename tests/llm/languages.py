@@ -36,7 +36,7 @@ MORE_CLEAN = {
     "be": "Усе людзі нараджаюцца свабоднымі і роўнымі ў сваёй годнасці і правах. УСЕ ЛЮДЗІ Ў БЕЛАРУСІ.",
     "kk": "Барлық адамдар тумысынан азат және қадір-қасиеті мен құқықтары тең болып дүниеге келеді. ҚАЗАҚСТАН ӨҢІРІ.",
     "mn": "Хүн бүр төрж мэндлэхдээ эрх чөлөөтэй, адилхан нэр төртэй байдаг. МОНГОЛ УЛСЫН ҮНДЭСНИЙ ӨВ.",
-    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. ה-API של Google עובד.",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. ה-API של Python עובד.",
     "ar": "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميراً.",
     "fa": "تمام افراد بشر آزاد به دنیا می‌آیند و از لحاظ حیثیت و حقوق با هم برابرند.",
     "ur": "تمام انسان آزاد اور حقوق و عزت کے اعتبار سے برابر پیدا ہوئے ہیں۔",
