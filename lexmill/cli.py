@@ -1,4 +1,4 @@
-"""Command lines: ``python -m lexmill.cli train|encode|decode|normalize|export|evaluate|refit|charsmap``.
+"""Command lines: ``python -m lexmill.cli train|encode|decode|normalize|export|evaluate|refit|charsmap|continue|expand``.
 
 Thin drivers over the operators. Input is text files, one row a line; output a folder of text
 files in the rows' order within each file, or with ``--show`` the first rows.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import normalize_column
 from .kernels.text import named_rules, read_rules, without_redundant, write_rules
-from .operators import continuation, corpus, evaluation, segment, training, vocabulary
+from .operators import continuation, corpus, evaluation, hierarchy, segment, training, vocabulary
 from .session import local_session
 from .sources import model_files
 from .spec import NormalizerSpec, TrainerSpec
@@ -69,7 +69,7 @@ def put(rows: DataFrame, args) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexmill", description=__doc__.splitlines()[0])
-    p.add_argument("command", choices=("train", "encode", "decode", "normalize", "export", "evaluate", "refit", "charsmap"))
+    p.add_argument("command", choices=("train", "encode", "decode", "normalize", "export", "evaluate", "refit", "charsmap", "continue", "expand"))
     p.add_argument("--input", nargs="+", default=[])
     p.add_argument("--output", default="")
     p.add_argument("--model", default="")
@@ -81,6 +81,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--alpha", type=float, default=0.1)
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--size", type=int, default=-1)
+    p.add_argument("--fences", nargs="*", default=[], help="strings whose edges no merge crosses")
     p.add_argument("--show", type=int, default=0)
     return p
 
@@ -102,6 +103,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         lines = write_rules(without_redundant(rules) if args.format == "short" else rules)
         put(spark.createDataFrame(list(enumerate(lines)), "n int, line string").coalesce(1).sortWithinPartitions("n").select("line"), args)
         return
+    if args.command in ("continue", "expand"):  # a ranked program, in a directory or, to begin with, of the corpus's characters
+        weighted = corpus.parsed_weights(rows) if args.format == "tsv" else rows.select(F.col("value").alias("text"), F.lit(1).cast("bigint").alias("freq"))
+        if args.model:
+            base, about = hierarchy.load_program(spark, args.model)
+            inherited = NormalizerSpec(**{k: tuple(map(tuple, v)) if isinstance(v, list) else v for k, v in about["normalizer"].items()})
+            normal = hierarchy.reconciled(inherited, normal)
+        if args.command == "expand":
+            put(rows.select(joined(hierarchy.encode_expansion(normalize_column("value", normal), base))), args)
+            return
+        text = corpus.normalized(weighted, normal).groupBy("text").agg(F.sum("freq").cast("bigint").alias("freq"))
+        if not args.model:
+            chars = [r.char for r in vocabulary.char_histogram(text).orderBy("char").collect()]  # at most all of Unicode
+            base = continuation.Program((continuation.Piece(0, "<unk>", "UNKNOWN", False), *(continuation.Piece(1 + i, c, "NORMAL", True, True) for i, c in enumerate(chars))), ())
+        spec = spec_of(TrainerSpec, ["model_type=bpe", *args.set])
+        fences = tuple(hierarchy.normalised_fences(args.fences, normal)) if args.fences else ()
+        hierarchy.save_learnt(spark, hierarchy.continue_records(text, base, args.size, spec, fences, spec.hard_vocab_limit), base, args.output, normal)
+        return
     if args.command == "normalize" and not args.model:
         put(rows.select(normalize_column("value", normal)), args)
         return

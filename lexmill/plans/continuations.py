@@ -91,6 +91,14 @@ def stream_words(spark, d):
     return streams.drain(streams.running_words(rows), "counted_words", "complete")
 
 
+def stream_windows(spark, d):
+    """Words of the event stream by day; the watermark is wide enough for all rows of one trigger."""
+    schema = "row_id bigint, text string, weight bigint, meta string, lang string, shard string, created_at timestamp, arrived_at timestamp"
+    rows = streams.read_rows(spark, f"{d}/refrow.parq*", schema).filter("text is not null and created_at is not null")
+    out = streams.drain(streams.word_counts(rows, "created_at", "1 day", "36500 days"), "windowed_words", "update")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "word", "freq")
+
+
 def sql_tokens(spark, d):
     """Tokens per language through the registered functions."""
     register(spark, given(spark, d), "lm")
@@ -116,13 +124,14 @@ def sql_tokenize_rows(spark, d):
     return ends.select("surface_id", "bytes", "text")
 
 
-QUERIES = {f.__name__: f for f in (continuation_candidates, support_counts, ambiguous_pieces, prefix_faults, continued_pairs, continued_unigram, refitted, stream_encoded, stream_words, sql_tokens, sql_tokenized, sql_tokenize_rows)}
+QUERIES = {f.__name__: f for f in (continuation_candidates, support_counts, ambiguous_pieces, prefix_faults, continued_pairs, continued_unigram, refitted, stream_encoded, stream_words, stream_windows, sql_tokens, sql_tokenized, sql_tokenize_rows)}
 
 SQL = {
     "continuation_candidates": f"""with {TEXTS}, {ESC}, {WORDS}, s as (select word[i:i + k - 1] piece, freq from (select word, freq, i, unnest(range(2, least(16, length(word) - i + 1) + 1)) k from (select word, freq, unnest(range(1, length(word))) i from t)))
 select piece, sum(freq)::bigint n from s where not contains(piece[2:], '{SPACE}') and piece not in (select piece from vocab_piece) group by piece having sum(freq) >= 2""",
     "ambiguous_pieces": "with v as (select piece from vocab_piece where piece_type = 'NORMAL'), s as (select piece, piece[1:k] a, piece[k + 1:] b from (select piece, unnest(range(1, length(piece))) k from v)), n as (select piece, count(*) filter (a in (select piece from v) and b in (select piece from v)) splits from s group by piece) select piece, splits from n where splits <> 1",
     "prefix_faults": "select id::int as piece_id, case when id % 500 = 7 then 'missing' else 'piece' end fault from vocab_piece where id % 500 = 7 or id % 400 = 9",
+    "stream_windows": f"with l as (select text, strftime(created_at, '%Y-%m-%d') as day from refrow where text is not null and created_at is not null), e as (select {CLEAN} as text, day from l where {CLEAN} <> '') select day, word, count(*) freq from (select day, '{SPACE}' || unnest(string_split(text, ' ')) as word from e) group by day, word",
     "stream_words": f"with l as (select text from refrow where text is not null), e as (select {CLEAN} as text from l where {CLEAN} <> '') select word, count(*) freq from (select '{SPACE}' || unnest(string_split(text, ' ')) as word from e) group by word",
     "sql_tokens": f"select row_id, text, {CLEAN} as decoded from refrow where text is not null",
     "sql_tokenized": f"{encoded_sql('unigram', 'surface_form', 'surface_id', 'surface')} select surface_id, array_to_string(ids, ' ') ids, len(ids)::int n from e",

@@ -16,6 +16,7 @@ from ..operators import training as L
 from ..operators import vocabulary as V
 from ..session import table
 from ..spec import SPACE, NormalizerSpec, TrainerSpec
+from .texts import shape_sql
 
 PLAIN = NormalizerSpec("identity")
 
@@ -333,6 +334,11 @@ b as (select text, freq, unnest(range(1, length(text) + 1)) i from r), s as (sel
 q as (select text[i:i + k - 1] piece, substr(hex(encode(text[i + k:i + k] || chr(0))), 1, 2) nx, freq from s where i + k - 1 <= length(text)),
 g as (select piece, sum(freq)::bigint n, count(distinct nx) nexts from q group by piece)
 select piece, n from g where n >= 2 and nexts >= 2 and length(piece) >= 2 and not contains(piece[2:], '{SPACE}') and not regexp_matches(piece, '[0-9][^0-9]|[^0-9{SPACE}][0-9]')""",
+    "seed_substrings_lines": f"""with l as (select text from refrow where text <> '' and strlen(text) <= 4192 and not contains(text, '▅')), {ESC}, x as (select string_split(text[2:], '{SPACE}') ws from e),
+w as (select '{SPACE}' || unnest(ws) as word, case when unnest(range(1, len(ws) + 1)) = len(ws) then chr(0) else '{SPACE}' end as ending from x), r as (select word, ending, count(*) freq from w group by 1, 2),
+b as (select word, ending, freq, unnest(range(1, length(word) + 1)) i from r), s as (select word, ending, freq, i, unnest(range(1, least(16, length(word) - i + 1) + 1)) k from b),
+q as (select word[i:i + k - 1] piece, substr(hex(encode(word[i + k:i + k] || ending)), 1, 2) nx, freq from s), g as (select piece, sum(freq)::bigint n, count(distinct nx) nexts from q group by piece)
+select piece, n from g where n >= 2 and nexts >= 2 and length(piece) >= 2 and {shape_sql('piece', 16)}""",
     "word_encode": f"""with dl as (select unnest(string_split(text, chr(10))) as text from documents), du as (select {CLEAN} as text from dl where strlen(text) <= 4192 and not contains(text, '▅') and {CLEAN} <> ''),
 dw as (select '{SPACE}' || unnest(string_split(text, ' ')) as word from du), dc as (select word, count(*) f from dw group by word), v as (select word, 2 + row_number() over (order by f desc, word) id from dc qualify id < 3000),
 {TEXTS}, {ESC}, {WORDS} select t.word, t.freq, coalesce(v.id, 0)::int id from t left join v on t.word = v.word""",

@@ -201,6 +201,13 @@ SCRIPT_CASES = "when regexp_matches(char, '[\\p{Han}\\p{Hiragana}\\p{Katakana}
 ONE_SCRIPT = "|".join(["[0-9０-９]+", "\\p{Inherited}+", "[\\p{Han}\\p{Hiragana}\\p{Katakana}ー][\\p{Han}\\p{Hiragana}\\p{Katakana}ー\\p{Inherited}]*", *(f"\\p{{{x}}}[\\p{{{x}}}\\p{{Inherited}}]*" for x in SQL_SCRIPTS if x != "Inherited")])
 
 
+def shape_sql(piece: str, longest: int) -> str:
+    """Whether a column of strings may be pieces under the default options."""
+    own = f"replace({piece}, '{SPACE}', '')"
+    one = f"({own} = '' or regexp_full_match({own}, '{ONE_SCRIPT}') or (regexp_full_match({own}, '\\p{{Common}}[\\p{{Common}}\\p{{Inherited}}]*', 's') and not regexp_matches({own}, '[0-9０-９ー]')))"
+    return f"length({piece}) <= {longest} and not regexp_matches({piece}, '[{RARE}\\x00{BOUNDARY} ]') and not contains({piece}[2:], '{SPACE}') and {one}"
+
+
 def shapes_sql(longest: int) -> str:
     """A CTE ``s(piece, plain, one)`` of the distinct pieces: whether length and characters are allowed, and whether all is of one script."""
     return f"""with p as (select distinct piece from spill_entry where piece is not null), q as (select piece, replace(piece, '{SPACE}', '') own, length(piece) between 1 and {longest} and not regexp_matches(piece, '[{RARE}\\x00{BOUNDARY} ]') plain from p),

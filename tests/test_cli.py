@@ -27,5 +27,18 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "rules.tsv").write_text("63 61 74\t64 6F 67\n")
     run("normalize", "--input", str(text), "--rules", path("rules.tsv"), "--show", "1")
     assert capsys.readouterr().out == "▁the▁dog▁sat\n"
+    for form, n in (("proto", 3), ("nbest_piece", 6), ("nbest_proto", 6), ("sample_proto", 3)):
+        run("encode", "--model", path("m"), "--input", str(text), "--show", "9", "--format", form, "--size", "2")
+        assert len(capsys.readouterr().out.splitlines()) == n
+    run("encode", "--model", path("m"), "--input", str(text), "--show", "1", "--format", "vocabulary")
+    assert capsys.readouterr().out.split("\t")[1].strip().isdigit()
+    run("charsmap", "--rules", path("rules.tsv"), "--show", "2")
+    assert capsys.readouterr().out == "63 61 74\t64 6F 67\t# cat => dog\n"
+    plain = ("--normalizer", "name=identity")
+    run("continue", "--input", str(text), "--output", path("p1"), "--size", "4", *plain)
+    run("continue", "--input", str(text), "--model", path("p1"), "--output", path("p2"), "--size", "2", "--fences", "cat")
+    run("expand", "--model", path("p2"), "--input", str(text), "--show", "3")
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 3 and max(int(i) for x in lines for i in x.split()) >= 10
     with pytest.raises(SystemExit):
         run("train", "--input", str(text), "--set", "nothing=1")
