@@ -130,8 +130,8 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
-def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 20260101) -> DataFrame:
-    """One row a target source: the plan, what the mixture really holds of it, and its actual share.
+def mix_amounts(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 20260101) -> DataFrame:
+    """One row a target source: the plan, what the mixture really holds of it, and whether it is short.
 
     A source is ``short`` if the mixture holds every one of its documents as often as allowed and
     still less than its target.
@@ -139,7 +139,12 @@ def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: i
     lean = docs.select(key, "source", "n_tokens")
     plan = mix_plan(lean, targets)
     got = mixture(lean, targets, key, seed, plan).groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copy_no").alias("most_copies"))
-    out = cut(plan.drop("copies").join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_copies"]))  # one row a source
-    out = out.withColumn("short", (F.col("mixed_docs") == F.col("max_repeats") * F.col("source_docs")) & (F.col("target_tokens") > F.col("mixed_tokens")))
+    out = plan.drop("copies").join(got, "source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_copies"])
+    return out.withColumn("short", (F.col("mixed_docs") == F.col("max_repeats") * F.col("source_docs")) & (F.col("target_tokens") > F.col("mixed_tokens")))
+
+
+def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 20260101) -> DataFrame:
+    """The same with the mixture's size and each source's actual share of it."""
+    out = cut(mix_amounts(docs, targets, key, seed))  # one row a source, read twice
     whole = out.agg(F.sum("mixed_tokens")).scalar()
     return out.withColumn("mixture_tokens", whole).withColumn("actual_share", F.when(F.col("mixture_tokens") > 0, F.col("mixed_tokens") / F.col("mixture_tokens")).otherwise(0.0))

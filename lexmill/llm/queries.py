@@ -11,7 +11,7 @@ from .encodings import repaired_texts
 from .frequent import most_frequent
 from .leaks import leaked
 from .lookalikes import canonical_forms, lookalike_classes, lookalike_pairs
-from .mixing import byte_tokens, mix_report, mixture, shuffled
+from .mixing import byte_tokens, mix_amounts, mix_report, mixture, shuffled
 from .sentences import sentences
 from .splitting import LIMIT, OVERLAP, split_oversized
 from .term_counts import marked, term_counts
@@ -130,7 +130,7 @@ def sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mix_report(sized(spark, d), table(spark, d, "mix_target")).filter("short").select("source")
+    return mix_amounts(sized(spark, d), table(spark, d, "mix_target")).filter("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
