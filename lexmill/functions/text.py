@@ -105,7 +105,10 @@ def words_column(col: str | Column, suffix: bool = False, whitespace_only: bool
 
 
 def valid_piece_column(col: str | Column, spec: TrainerSpec = TrainerSpec()) -> Column:
-    """Whether a string may be a learnt piece. Length, reserved and blank rules are built in; scripts go through Python, for strings that pass so far."""
+    """Whether a string may be a learnt piece. Length, reserved and blank rules are built in; scripts go through Python, for strings that pass so far.
+
+    As a filter over aggregated strings it stays above the aggregate: Python sees each string once.
+    """
     c = F.col(col) if isinstance(col, str) else col
     shape = (c != "") & (F.char_length(c) <= spec.max_piece_length) & ~c.rlike(f"[{RARE}\\x00{BOUNDARY} ]")
 
@@ -113,7 +116,8 @@ def valid_piece_column(col: str | Column, spec: TrainerSpec = TrainerSpec()) ->
     def valid(piece: pa.Array) -> pa.Array:
         return pa.array([None if p is None else K.valid_piece(p, spec) for p in piece.to_pylist()], pa.bool_())
 
-    return F.coalesce(shape, F.lit(False)) & F.coalesce(valid(F.when(shape, c)), F.lit(False))
+    once = valid.asNondeterministic()  # else Catalyst moves it below the aggregate, where rows are many and wide
+    return F.coalesce(shape, F.lit(False)) & F.coalesce(once(F.when(shape, c)), F.lit(False))
 
 
 def script_column(col: str | Column) -> Column:

@@ -24,7 +24,7 @@ from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel
 from ..session import cut
 from ..spec import NORMAL, RARE, TYPE_NUMBERS, USER_DEFINED, TrainerSpec, need
-from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, words_of
+from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, prefix_counts, words_of
 
 
 @dataclass(frozen=True)
@@ -219,13 +219,13 @@ def ambiguous_pieces(vocab: DataFrame) -> DataFrame:
 # --- unigram ------------------------------------------------------------------------------------
 
 
-def candidates(rows: DataFrame, inherited: DataFrame, spec: TrainerSpec = TrainerSpec(), most: int = 1_000_000, least: int = 2) -> DataFrame:
-    """``piece, n``: the best substrings of rows ``text, freq`` that aren't inherited, by count times length."""
-    t, n = F.col("text"), F.char_length("text")
-    begins = rows.filter(n > 1).groupBy("text").agg(F.sum("freq").alias("freq")).select("text", "freq", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
-    subs = begins.select("freq", "text", "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(spec.max_piece_length), n - F.col("i") + 1))).alias("k")).filter("i + k - 1 <= char_length(text)")
-    counted = subs.select(t.substr(F.col("i"), F.col("k")).alias("piece"), "freq").groupBy("piece").agg(F.sum("freq").cast("bigint").alias("n")).filter(F.col("n") >= least)
+def candidates(rows: DataFrame, inherited: DataFrame, spec: TrainerSpec = TrainerSpec(), most: int | None = 1_000_000, least: int = 2) -> DataFrame:
+    """``piece, n``: the best substrings of rows ``text, freq`` that aren't inherited, by count times length; all of them if most is None."""
+    texts = rows.groupBy("text").agg(F.sum("freq").alias("freq")).select("text", "freq", F.lit("\0").alias("end"))
+    counted = prefix_counts(texts, spec.max_piece_length, least)
     fresh = counted.join(inherited.select("piece"), "piece", "left_anti").filter(valid_piece_column("piece", spec))
+    if most is None:
+        return fresh
     return fresh.orderBy((F.col("n") * F.char_length("piece")).desc(), F.char_length("piece").desc(), "piece").limit(most)
 
 

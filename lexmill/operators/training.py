@@ -439,6 +439,70 @@ def best_mixture(gains: list[int], chars: list[tuple[str, int]], room: int) -> t
 # --- unigram ----------------------------------------------------------------------------------
 
 
+#: Characters of a text that are cut into windows at a time.
+BLOCK = 512
+
+
+def first_bytes(chars: np.ndarray) -> np.ndarray:
+    """The first byte of each character's UTF-8."""
+    return np.select([chars < 0x80, chars < 0x800, chars < 0x10000], [chars, 0xC0 | chars >> 6, 0xE0 | chars >> 12], 0xF0 | chars >> 18).astype(np.int32)
+
+
+def prefixes_of(windows: list[str], freq: np.ndarray, longest: int, least: int, open_end: bool) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(pieces, n, low, high) of the prefixes of two characters and more of sorted windows, whose last character only follows.
+
+    Prefixes that end inside the list are whole and are left out if they're rarer than ``least`` or, with
+    open_end, always followed by the same byte; those at its ends may go on in other lists.
+    """
+    sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+    chars = np.array(windows, f"U{longest + 1}").view(np.uint32).reshape(len(windows), longest + 1)
+    differs = np.zeros(len(windows), bool)  # from the window before, in the first k characters
+    whole = np.ones(len(windows), bool)  # no NUL, which no piece may hold
+    for k in range(1, longest + 1):
+        differs[1:] |= chars[1:, k - 1] != chars[:-1, k - 1]
+        whole &= chars[:, k - 1] != 0
+        if k < 2:
+            continue
+        at = np.flatnonzero(sizes > k)
+        if not len(at):
+            break
+        group = np.cumsum(differs)[at]
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        end = np.concatenate((begin[1:], [len(at)])) - 1
+        n = np.add.reduceat(freq[at], begin)
+        low, high = first_bytes(chars[at[begin], k]), first_bytes(chars[at[end], k])
+        keep = (n >= least) & (low != high) if open_end else n >= least
+        keep[[0, -1]] = True
+        keep &= whole[at[begin]]
+        if keep.any():
+            yield np.ascontiguousarray(chars[at[begin[keep]], :k]).view(f"U{k}").ravel().tolist(), n[keep], low[keep], high[keep]
+
+
+def prefix_counts(rows: DataFrame, longest: int, least: int = 2, open_end: bool = False) -> DataFrame:
+    """``piece, n``: substrings of 2 to ``longest`` characters, without NUL, that occur ``least`` times in rows ``text, freq, end``.
+
+    end: the character after the text. With open_end only those that different bytes follow. Each
+    character sends one window, which holds all substrings that begin there: sorted windows have
+    equal substrings side by side, so what is rare is dropped before substrings are exchanged.
+    """
+    t = F.col("text")
+    text = rows.filter(F.char_length(t) > 1).select(F.concat(t, "end").alias("text"), (F.char_length(t) - 1).alias("most"), F.col("freq").cast("bigint").alias("freq"))
+    # Long texts go by blocks: a place in a string is found by counting from its beginning.
+    blocks = text.select("text", "most", "freq", F.explode(F.sequence(F.lit(0), F.col("most") - 1, F.lit(BLOCK))).alias("at"))
+    blocks = blocks.select(t.substr(F.col("at") + 1, F.lit(BLOCK + longest)).alias("block"), F.least(F.lit(BLOCK), F.col("most") - F.col("at")).alias("most"), "freq")
+    begins = blocks.select("block", "freq", F.explode(F.sequence(F.lit(1), "most")).alias("i"))
+    windows = begins.select(F.col("block").substr(F.col("i"), F.lit(longest + 1)).alias("window"), "freq").repartitionByRange("window").sortWithinPartitions("window")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                for pieces, *cols in prefixes_of(b.column(0).to_pylist(), b.column(1).to_numpy(), longest, least, open_end):
+                    yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), *map(pa.array, cols)], names=["piece", "n", "low", "high"])
+
+    counted = windows.mapInArrow(count, "piece string, n bigint, low int, high int").groupBy("piece").agg(F.sum("n").cast("bigint").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return counted.filter((F.col("n") >= least) & ((F.col("low") != F.col("high")) | F.lit(not open_end))).select("piece", "n")
+
+
 def repeated_substrings(rows: DataFrame, spec: TrainerSpec, order: str | None = None) -> DataFrame:
     """``piece, n``: valid substrings of at least two characters that occur twice and are followed by different bytes.
 
@@ -446,39 +510,37 @@ def repeated_substrings(rows: DataFrame, spec: TrainerSpec, order: str | None =
     followed by the next row's first byte, and such ends count once more, as the reference
     counts them; that takes one ordered pass and is meant for corpora of moderate size.
     """
-    t = F.col("text")
-    n = F.char_length(t)
-    end = F.lit("\0")
-    cols = ["text", "freq"]
-    inside = spec.split_by_whitespace and not spec.whitespace_as_suffix and not spec.allow_whitespace_only
     if order:
-        following = F.lead(F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)).over(Window.orderBy(order))
-        own = F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)
-        rows = rows.withColumn("__after", F.array_distinct(F.array_compact(F.array(F.when(F.col("freq") > 1, own), F.coalesce(following, F.lit("--"))))))
-        cols.append("__after")
-    elif inside:
-        # Equal words count together; a blank or the row's end follows.
-        words = F.split(t, f"(?={SPACE})", -1)
-        rows = rows.select(F.posexplode(words).alias("__at", "__word"), (F.size(words) - 1).alias("__last"), "freq")
-        rows = rows.select(F.col("__word").alias("text"), F.when(F.col("__at") == F.col("__last"), "\0").otherwise(SPACE).alias("__end"), "freq")
-        rows = rows.groupBy("text", "__end").agg(F.sum("freq").cast("bigint").alias("freq"))
-        end = F.col("__end")
-        cols.append("__end")
+        return ordered_substrings(rows, spec, order)
+    if spec.split_by_whitespace and not spec.whitespace_as_suffix and not spec.allow_whitespace_only:
+        # Equal words count together; a blank or the row's end follows. Beyond the next blank no piece is valid.
+        words = F.split("text", f"(?={SPACE})", -1)
+        rows = rows.select(F.posexplode(words).alias("__at", "text"), (F.size(words) - 1).alias("__last"), "freq")
+        rows = rows.select("text", F.when(F.col("__at") == F.col("__last"), "\0").otherwise(SPACE).alias("end"), "freq")
     else:
-        rows = rows.groupBy("text").agg(F.sum("freq").cast("bigint").alias("freq"))
-    begins = rows.filter(n > 0).select(*cols, F.explode(F.sequence(F.lit(1), n)).alias("i"))
+        rows = rows.select("text", F.lit("\0").alias("end"), "freq")
+    rows = rows.groupBy("text", "end").agg(F.sum("freq").cast("bigint").alias("freq"))
+    return prefix_counts(rows, spec.max_piece_length, 2, True).filter(valid_piece_column("piece", spec))
+
+
+def ordered_substrings(rows: DataFrame, spec: TrainerSpec, order: str) -> DataFrame:
+    """``repeated_substrings`` of rows in an order."""
+    t = F.col("text")
+    n = F.char_length(t)
+    following = F.lead(F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)).over(Window.orderBy(order))
+    own = F.substring(F.hex(F.encode(t, "UTF-8")), 1, 2)
+    rows = rows.withColumn("__after", F.array_distinct(F.array_compact(F.array(F.when(F.col("freq") > 1, own), F.coalesce(following, F.lit("--"))))))
+    begins = rows.filter(n > 0).select("text", "freq", "__after", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     most = F.least(F.lit(spec.max_piece_length), n - F.col("i") + 1)
-    if inside:
+    if spec.split_by_whitespace and not spec.whitespace_as_suffix and not spec.allow_whitespace_only:
         # Beyond the next blank no piece is valid.
         blank = F.call_function("locate", F.lit(SPACE), t, F.col("i") + 1)
         most = F.when(blank > 0, F.least(most, blank - F.col("i"))).otherwise(most)
-    sizes = F.sequence(F.lit(1), most)
-    subs = begins.select(*cols, "i", F.explode(sizes).alias("k"))
-    following = F.substring(F.hex(F.encode(F.concat(t, end).substr(F.col("i") + F.col("k"), F.lit(1)), "UTF-8")), 1, 2)
+    subs = begins.select("text", "freq", "__after", "i", F.explode(F.sequence(F.lit(1), most)).alias("k"))
+    following = F.substring(F.hex(F.encode(F.concat(t, F.lit("\0")).substr(F.col("i") + F.col("k"), F.lit(1)), "UTF-8")), 1, 2)
     inner = subs.select(t.substr(F.col("i"), F.col("k")).alias("piece"), F.lit(False).alias("ended"), F.array(following).alias("nexts"), "freq")
-    if order:
-        ended = subs.filter(F.col("i") + F.col("k") - 1 == n)
-        inner = inner.unionByName(ended.select(t.substr(F.col("i"), F.col("k")).alias("piece"), F.lit(True).alias("ended"), F.col("__after").alias("nexts"), "freq"))
+    ended = subs.filter(F.col("i") + F.col("k") - 1 == n)
+    inner = inner.unionByName(ended.select(t.substr(F.col("i"), F.col("k")).alias("piece"), F.lit(True).alias("ended"), F.col("__after").alias("nexts"), "freq"))
     # Numbers aggregate by hash; two different ones have different ends.
     code = lambda x: F.when(x == "--", -1).otherwise(F.conv(x, 16, 10).cast("int"))
     inner = inner.withColumn("nexts", F.transform("nexts", code))

@@ -30,7 +30,7 @@ def _vocab(spark: SparkSession, d: str) -> DataFrame:
 
 def continuation_candidates(spark, d):
     words = L.words_of(_rows(spark, d), TrainerSpec()).select(F.col("word").alias("text"), "freq")
-    return N.candidates(words, _vocab(spark, d), TrainerSpec(split_by_script=False, split_by_number=False))
+    return N.candidates(words, _vocab(spark, d), TrainerSpec(split_by_script=False, split_by_number=False), most=None)
 
 
 def support_counts(spark, d):

@@ -159,6 +159,46 @@ def test_repeated_substrings_against_brute_force(spark):
     assert {r.piece: r.n for r in got.collect()} == want and max(map(len, want)) > 6
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_substrings_by_windows_are_those_counted_one_by_one(spark, batch):
+    import random
+
+    rng = random.Random(batch)
+    rows = [("".join(rng.choices("abé漢😀\0", [9, 9, 3, 3, 3, 1], k=rng.choice((1, 2, 5, 30)))), rng.randint(1, 3)) for _ in range(150)]
+    rows.append(("".join(rng.choices("abc", k=2 * L.BLOCK + 7)), 2))  # cut into blocks
+    count, following = {}, {}
+    for t, f in rows:
+        for i in range(len(t)):
+            for j in range(i + 2, min(len(t), i + 5) + 1):
+                count[t[i:j]] = count.get(t[i:j], 0) + f
+                following.setdefault(t[i:j], set()).add((t[j : j + 1] or "\0").encode()[0])
+    want = {p: n for p, n in count.items() if n >= 3 and "\0" not in p}
+    df = spark.createDataFrame([(t, f, "\0") for t, f in rows], "text string, freq bigint, end string").repartition(3)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert {r.piece: r.n for r in L.prefix_counts(df, 5, 3).collect()} == want
+        assert {r.piece: r.n for r in L.prefix_counts(df, 5, 3, True).collect()} == {p: n for p, n in want.items() if len(following[p]) > 1}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pieces_are_judged_after_they_are_counted(spark):
+    """Else Python gets a row, with its text, for every place where a piece stands."""
+    rows = spark.createDataFrame([("▁abc", 3), ("▁abd", 2)], "text string, freq bigint")
+    frames = [N.candidates(rows, spark.createDataFrame([("ab",)], "piece string")), L.repeated_substrings(rows, TrainerSpec()), L.valid_pairs(L.pair_counts(L.symbols_of(rows.withColumnRenamed("text", "word"))), TrainerSpec())]
+    for df in frames:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("ArrowEvalPython") < plan.index("Aggregate"), plan
+
+
+def test_candidates_without_a_bound_are_all(spark):
+    rows = spark.createDataFrame([("abcabc", 1), ("xyxy", 5)], "text string, freq bigint")
+    none = spark.createDataFrame([], "piece string")
+    got = {r.piece: r.n for r in N.candidates(rows, none, most=None).collect()}
+    assert got == {"ab": 2, "bc": 2, "abc": 2, "xy": 10, "yx": 5, "xyx": 5, "yxy": 5, "xyxy": 5}
+    assert [r.piece for r in N.candidates(rows, none, most=2).collect()] == ["xyxy", "xy"]
+
+
 def test_unigram_queries_meet_a_corpus_with_the_trainers_own_options(spark):
     d = "/root/testdata/sf0.001"
     seeds = {r.piece for r in queries.QUERIES["seed_substrings_lines"](spark, d).collect()}
