@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..functions.text import kept, normalize_column, valid_piece_column, words_column
+from ..functions.text import normalize_column, valid_piece_column, words_column
 from ..kernels.model import Model, assemble, special_layout
 from ..kernels.text import valid_piece
-from ..kernels.unigram import UnigramKernel, digamma
+from ..kernels.unigram import Trainable, UnigramKernel, digamma
 from ..session import cut
 from ..spec import NORMAL, RARE, SPACE, UNKNOWN, NormalizerSpec, TrainerSpec, need
 from .corpus import head, masked, normalized, sample, usable, weighted
@@ -567,26 +567,49 @@ def _kernel(pieces: list[tuple[str, float]]) -> UnigramKernel:
     return UnigramKernel([*((p, s, NORMAL) for p, s in pieces), ("<unk>", 0.0, UNKNOWN)])
 
 
+_newest: dict = {}
+
+
+def newest(name: str, make: Callable[[], Trainable]) -> Trainable:
+    """What ``make`` builds, once in a worker and step; those of earlier steps are let go."""
+    if name not in _newest:
+        _newest.clear()
+        _newest[name] = make()
+    return _newest[name]
+
+
+def over_pieces(rows: DataFrame, pieces: list[tuple[str, float]], count: Callable[[Trainable, Iterator[pa.RecordBatch]], tuple[list[int], list[float]]]) -> list:
+    """``id, n`` summed over what each partition of rows ``text, freq`` counts: one row a piece. The pieces go once to each executor."""
+    name, sent = uuid4().hex, rows.sparkSession.sparkContext.broadcast(([p for p, _ in pieces], [s for _, s in pieces]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n = count(newest(name, lambda: Trainable(*sent.value)), batches)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n, pa.float64())], names=["id", "n"])
+
+    try:
+        return rows.select("text", "freq").mapInArrow(each, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    finally:
+        sent.destroy()
+
+
 def expected_counts(rows: DataFrame, pieces: list[tuple[str, float]], known_only: bool = False) -> tuple[np.ndarray, float]:
     """Expected counts of pieces over all segmentations of rows ``text, freq``, and the summed log-likelihood.
 
     Each partition sends one row a piece at most; partial sums are added in the order of ids.
     """
 
-    name = uuid4().hex
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, counts, total = kept(("kernel", name), lambda: _kernel(pieces)), {}, 0.0  # once a worker and step
+    def expect(kernel: Trainable, batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[float]]:
+        counts: dict[int, float] = {}
+        total = 0.0
         for b in batches:
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
                     total += kernel.expected(t, w, counts, known_only)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *counts], pa.int32()), pa.array([total, *counts.values()], pa.float64())], names=["id", "n"])
+        return [-1, *counts], [total, *counts.values()]
 
-    got = rows.select("text", "freq").mapInArrow(expect, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row a piece
     counts = np.zeros(len(pieces) + 1)
     likelihood = 0.0
-    for r in got:
+    for r in over_pieces(rows, pieces, expect):
         if r.id < 0:
             likelihood = r.n
         else:
@@ -595,16 +618,16 @@ def expected_counts(rows: DataFrame, pieces: list[tuple[str, float]], known_only
 
 
 def viterbi_counts(rows: DataFrame, pieces: list[tuple[str, float]]) -> np.ndarray:
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, counts = _kernel(pieces), Counter()
+    def best(kernel: Trainable, batches: Iterator[pa.RecordBatch]) -> tuple[list[int], list[float]]:
+        counts: Counter = Counter()
         for b in batches:
             for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for _, _, i in kernel.best(t)[0] if t else ():
+                for i in kernel.best(t) if t else ():
                     counts[i] += w
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["id", "n"])
+        return list(counts), list(counts.values())
 
     counts = np.zeros(len(pieces) + 1)
-    for r in rows.select("text", "freq").mapInArrow(best, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in over_pieces(rows, pieces, best):
         counts[r.id] = r.n
     return counts[: len(pieces)]
 
@@ -678,10 +701,13 @@ def train_unigram(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec =
     """A unigram vocabulary by expectation maximisation and pruning.
 
     Where no piece crosses words, the loop runs over distinct weighted words, which changes no
-    expectation. order: see ``repeated_substrings``; df then holds that column.
+    expectation. order: see ``repeated_substrings``; df then holds that column. Covered characters
+    and protected pieces that don't fit the vocabulary are an error, under a soft limit they stay.
     """
     base = training_rows(df, spec, normalizer)
     rows, chars = covered(base, spec)
+    room, must = spec.vocab_size - len(special_layout(spec)), len({*protected, *(c for c, _ in chars)})
+    need(not spec.hard_vocab_limit or must <= room, f"vocabulary of {spec.vocab_size} is too small for {must} characters and protected pieces")
     if order:  # rows of a table in files keep their order up to here
         rows = rows.withColumn(order, F.monotonically_increasing_id())
     rows = cut(rows)
@@ -705,7 +731,7 @@ def train_unigram(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec =
                 break
     gone = set(_kernel(pieces).unreachable())
     pieces = [x for i, x in enumerate(pieces) if i not in gone]
-    return assemble(spec, finished(pieces, chars, spec.vocab_size - len(special_layout(spec)), protected), normalizer)
+    return assemble(spec, finished(pieces, chars, room, protected), normalizer, must)
 
 
 def finished(pieces: list[tuple[str, float]], chars: list[tuple[str, int]], room: int, protected: tuple[str, ...] = ()) -> list[tuple[str, float]]:

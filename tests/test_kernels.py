@@ -342,3 +342,23 @@ def test_digamma_against_known_values(x, want):
     assert math.isclose(digamma(x), want, rel_tol=1e-12)
     assert math.isclose(digamma(x + 1), digamma(x) + 1 / x, rel_tol=1e-10, abs_tol=1e-12)
     assert math.isclose(digamma(2 * x), (digamma(x) + digamma(x + 0.5)) / 2 + math.log(2), rel_tol=1e-10, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("known_only", [False, True])
+def test_training_kernel_is_the_segmenting_one(known_only):
+
+    from lexmill.kernels.unigram import Trainable, UnigramKernel
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(200)} | {"a", "b", "c", "d"})
+    if not known_only:
+        names.remove("d")  # stands for what is unknown
+    scores = [-rng.uniform(1, 12) for _ in names]
+    slow = UnigramKernel([*((p, s, "NORMAL") for p, s in zip(names, scores)), ("<unk>", 0.0, "UNKNOWN")])
+    fast = Trainable(names, scores)
+    for size in (1, 2, 7, 40, 900):  # the last is below what products of probabilities hold
+        text = "".join(rng.choices("abcd", k=size))
+        want, got = {}, {}
+        assert fast.expected(text, 3.0, got, known_only) == pytest.approx(slow.expected(text, 3.0, want, known_only))
+        assert got == pytest.approx({i: n for i, n in want.items() if i in got}) and sum(n for i, n in want.items() if i not in got) < 1e-9
+        assert fast.best(text) == [i for _, _, i in slow.best(text)[0]]

@@ -206,6 +206,17 @@ def test_unigram_queries_meet_a_corpus_with_the_trainers_own_options(spark):
     assert len(pieces) > 1000 and max(map(len, seeds)) > 6 and max(map(len, pieces)) > 6
 
 
+def test_a_soft_limit_keeps_all_characters_and_a_hard_one_refuses(spark):
+    df = spark.createDataFrame([("abcdefgh abc abd", 2), ("hgfe dcba", 1)], "text string, freq bigint")
+    spec = dict(vocab_size=8, character_coverage=1.0)
+    model = L.train_unigram(df, TrainerSpec("unigram", hard_vocab_limit=False, **spec), DUMMY)
+    assert {p for p, _, t in model.pieces if t == "NORMAL"} == set("abcdefgh▁")
+    rows = spark.createDataFrame([("▁abc▁hgfe", 1)], "text string, freq bigint")
+    assert len(N.refit(rows, model, 2)[1]) == 2
+    with pytest.raises(SpecError, match="too small"):
+        L.train_unigram(df, TrainerSpec("unigram", **spec), DUMMY)
+
+
 def test_sparse_training(spark):
     df = spark.createDataFrame(WEIGHTED, "text string, freq bigint")
     model = L.train_unigram(df, TrainerSpec("unigram", vocab_size=30, character_coverage=1.0, hard_vocab_limit=False, sparse_pruning=True), DUMMY)
