@@ -95,7 +95,7 @@ def stream_windows(spark, d):
     """Words of the event stream by day; the watermark is wide enough for all rows of one trigger."""
     schema = "row_id bigint, text string, weight bigint, meta string, lang string, shard string, created_at timestamp, arrived_at timestamp"
     rows = streams.read_rows(spark, f"{d}/refrow.parq*", schema).filter("text is not null and created_at is not null")
-    out = streams.drain(streams.word_counts(rows, "created_at", "1 day", "36500 days"), "windowed_words", "update")
+    out = streams.drain(streams.word_counts(rows, "created_at", "1 day", "36500 days"), "windowed_words", "update", ("window", "word"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "word", "freq")
 
 

@@ -330,6 +330,21 @@ def test_streams_and_sql(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select * from t_tokenize('ab')").collect()] == [(0, "▁", 7, 0, 0), (1, "ab", 6, 0, 2)]
 
 
+def test_a_drained_stream_lies_in_files_and_keeps_the_last_update_of_a_key(spark, tmp_path):
+    for n, text in enumerate(("a b", "a a", "c")):
+        spark.createDataFrame([(text, "2026-01-01 00:10:00")], "text string, at string").select("text", F.col("at").cast("timestamp").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    rows = streams.read_rows(spark, str(tmp_path / "rows"), "text string, at timestamp", files_at_once=1)
+    last = streams.drain(streams.word_counts(rows, "at"), "updates", "update", ("window", "word"))
+    assert sorted((r.word, r.freq) for r in last.collect()) == [("▁a", 3), ("▁b", 1), ("▁c", 1)] and last.columns == ["window", "word", "freq"]
+    assert len(streams.drain(streams.word_counts(rows, "at"), "all_updates", "update").collect()) == 4
+    assert sorted((r.word, r.freq) for r in streams.drain(streams.running_words(rows), "whole", "complete").collect()) == [("▁a", 3), ("▁b", 1), ("▁c", 1)]
+    # Rows that the driver held would stand in the plan itself.
+    assert "LocalTableScan" not in last._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(streams.STORE[0]) != streams.STORE[1]
+    (tmp_path / "none").mkdir()
+    assert streams.drain(streams.encoded_stream(streams.read_rows(spark, str(tmp_path / "none"), "text string"), Model(END, TrainerSpec("unigram"), DUMMY)), "empty").collect() == []
+
+
 def test_continued_merges(spark):
     rows = spark.createDataFrame([("▁abab", 5), ("▁abc", 4), ("▁aaa", 3)], "text string, freq bigint")
     alphabet = (N.Piece(0, "<unk>", "UNKNOWN", False), *(N.Piece(i, c, "NORMAL", True, True) for i, c in enumerate("▁abc", 1)))
