@@ -345,6 +345,13 @@ def test_a_drained_stream_lies_in_files_and_keeps_the_last_update_of_a_key(spark
     assert streams.drain(streams.encoded_stream(streams.read_rows(spark, str(tmp_path / "none"), "text string"), Model(END, TrainerSpec("unigram"), DUMMY)), "empty").collect() == []
 
 
+def test_encoded_rows_of_a_stream_stay_off_the_driver(spark, tmp_path):
+    texts(spark, *(f"ab c{n}" for n in range(50))).write.parquet(str(tmp_path / "rows"))
+    stream = streams.encoded_stream(streams.read_rows(spark, str(tmp_path / "rows"), "text string"), Model(END, TrainerSpec("unigram"), DUMMY))
+    out = streams.drain(stream, "encoded_files")
+    assert out.count() == 50 and "FileScan" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_continued_merges(spark):
     rows = spark.createDataFrame([("▁abab", 5), ("▁abc", 4), ("▁aaa", 3)], "text string, freq bigint")
     alphabet = (N.Piece(0, "<unk>", "UNKNOWN", False), *(N.Piece(i, c, "NORMAL", True, True) for i, c in enumerate("▁abc", 1)))
