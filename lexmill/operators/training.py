@@ -21,14 +21,14 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import normalize_column, valid_piece_column, words_column
 from ..kernels.model import Model, assemble, special_layout
-from ..kernels.text import valid_piece
+from ..kernels.text import script, valid_piece
 from ..kernels.unigram import Trainable, UnigramKernel, digamma
 from ..session import cut
 from ..spec import NORMAL, RARE, SPACE, UNKNOWN, NormalizerSpec, TrainerSpec, need
 from .corpus import head, masked, normalized, sample, usable, weighted
 from .vocabulary import alphabet, char_histogram
 
-#: Distinct words up to which pairs are merged on the driver.
+#: Distinct words, or stretches of them, up to which pairs are merged on the driver.
 LOCAL_WORDS = 2_000_000
 
 
@@ -145,81 +145,169 @@ def pair_applied(symbols: str | Column, left: str, right: str) -> Column:
     return apply(F.col(symbols) if isinstance(symbols, str) else symbols)
 
 
+def segments_of(words: DataFrame, spec: TrainerSpec) -> DataFrame:
+    """``word, freq``: the stretches of words that no valid piece goes beyond, equal ones added up; single characters are left out.
+
+    Merges over these are those over the words, and there are far fewer of them.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for b in batches:
+            total: Counter = Counter()
+            for word, freq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                begin = 0
+                for i in range(1, len(word)):
+                    pair = word[i - 1 : i + 1]
+                    apart = known.get(pair)
+                    if apart is None:
+                        # A mark takes the script of the character before it, so what it goes with isn't known from two.
+                        apart = known[pair] = script(pair[0]) != "Inherited" and not valid_piece(pair, spec)
+                    if apart:
+                        if i - begin > 1:
+                            total[word[begin:i]] += freq
+                        begin = i
+                if len(word) - begin > 1:
+                    total[word[begin:]] += freq
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "freq"])
+
+    return words.mapInArrow(parts, "word string, freq bigint").groupBy("word").agg(F.sum("freq").cast("bigint").alias("freq"))
+
+
 class PairLearner:
-    """Learns merges over weighted distinct words, keeping each pair's words at hand."""
+    """Learns merges over weighted words in flat arrays, keeping each pair's places at hand.
+
+    A place is that of a symbol's first character; neighbours are linked, and -1 is no neighbour.
+    Places of a pair are looked at again when it is merged, as others may have changed them.
+    """
 
     def __init__(self, words: Iterable[tuple[str, int]], spec: TrainerSpec):
         self.spec = spec
-        self.words: list[list[str]] = []
-        self.weights: list[int] = []
-        self.count: Counter = Counter()
-        self.at: dict[tuple[str, str], set[int]] = defaultdict(set)
+        names, weights = [], []
+        for word, weight in words:
+            names.append(word)
+            weights.append(weight)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        text = "".join(names)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        del names, text
+        letters, ids = np.unique(chars, return_inverse=True)
+        del chars
+        self.names = [chr(c) for c in letters.tolist()]
+        self.number = {p: i for i, p in enumerate(self.names)}
+        self.symbol = ids.astype(np.int32)
+        size = len(ids)
+        self.weight = np.repeat(np.array(weights, np.int64), sizes)
+        self.after, self.before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
+        ends = np.cumsum(sizes)[sizes > 0]
+        self.after[ends - 1] = -1
+        self.before[(ends - sizes[sizes > 0])] = -1
+        self.count: dict[int, int] = {}
+        self.at: dict[int, list[np.ndarray]] = {}
         self.ok: dict[str, bool] = {}
         self.heap: list = []
-        self.retired: set[tuple[str, str]] = set()
-        for n, (word, weight) in enumerate(sorted(words)):
-            self.words.append(list(word))
-            self.weights.append(weight)
-            for pair in zip(word, word[1:]):
-                self.count[pair] += weight
-                self.at[pair].add(n)
-        for pair in self.count:
-            self.offer(pair)
-
-    def allowed(self, pair: tuple[str, str]) -> bool:
-        if RARE in pair:
+        self.retired: set[int] = set()
+        places = np.flatnonzero(self.after >= 0).astype(np.int32)
+        self.add(places, self.codes(places))
+
+    def codes(self, places: np.ndarray) -> np.ndarray:
+        """The number of the pair at each place."""
+        return self.symbol[places].astype(np.int64) << 32 | self.symbol[self.after[places]]
+
+    def add(self, places: np.ndarray, codes: np.ndarray) -> None:
+        """Counts new places of pairs and offers the pairs."""
+        if not len(places):
+            return
+        order = np.argsort(codes, kind="stable")
+        places, codes = places[order], codes[order]
+        begin = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        totals = np.add.reduceat(self.weight[places], begin).tolist()
+        edges = [*begin.tolist(), len(places)]
+        for k, (code, n) in enumerate(zip(codes[begin].tolist(), totals)):
+            self.count[code] = self.count.get(code, 0) + n
+            self.at.setdefault(code, []).append(places[edges[k] : edges[k + 1]])
+            self.offer(code)
+
+    def pair(self, code: int) -> tuple[str, str]:
+        return self.names[code >> 32], self.names[code & 0xFFFFFFFF]
+
+    def allowed(self, left: str, right: str) -> bool:
+        if RARE in (left, right):
             return False
-        whole = pair[0] + pair[1]
+        whole = left + right
         if whole not in self.ok:
             self.ok[whole] = valid_piece(whole, self.spec)
         return self.ok[whole]
 
-    def offer(self, pair: tuple[str, str]) -> None:
-        if pair not in self.retired and self.allowed(pair):
-            whole = pair[0] + pair[1]
-            heapq.heappush(self.heap, (-self.count[pair], len(whole), whole, len(pair[0]), pair))
-
-    def apply(self, pair: tuple[str, str]) -> None:
-        left, right = pair
-        changed: set[tuple[str, str]] = set()
-        for n in sorted(self.at.get(pair, ())):
-            old, weight = self.words[n], self.weights[n]
-            new = joined(old, left, right)
-            before, after = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
-            for p in before.keys() | after.keys():
-                if before[p] != after[p]:
-                    self.count[p] += (after[p] - before[p]) * weight
-                    changed.add(p)
-                if after[p]:
-                    self.at[p].add(n)
-                elif before[p]:
-                    self.at[p].discard(n)
-            self.words[n] = new
-        for p in changed:
-            self.offer(p)
+    def offer(self, code: int) -> None:
+        left, right = self.pair(code)
+        if code not in self.retired and self.allowed(left, right):
+            heapq.heappush(self.heap, (-self.count[code], len(left + right), left + right, len(left), code))
+
+    def apply(self, left: str, right: str) -> int:
+        """Merges the pair everywhere; how many symbols that saves, by weight."""
+        a, b = self.number.get(left, -1), self.number.get(right, -1)
+        code = a << 32 | b
+        if a < 0 or b < 0 or code not in self.at:
+            return 0
+        at = np.unique(np.concatenate(self.at.pop(code)))
+        at = at[(self.symbol[at] == a) & (self.after[at] >= 0)]
+        at = at[self.symbol[self.after[at]] == b]
+        if a == b and len(at):  # from the left on, never overlapping: every other place of a run
+            follows = np.concatenate(([False], self.after[at[:-1]] == at[1:]))
+            run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        if not len(at):
+            return 0
+        gone = self.after[at]
+        touched = np.unique(np.concatenate((self.before[at], at, gone)))
+        touched = touched[(touched >= 0)]
+        touched = touched[self.after[touched] >= 0]
+        codes = self.codes(touched)
+        found, where = np.unique(codes, return_inverse=True)
+        lost = np.zeros(len(found), np.int64)
+        np.add.at(lost, where, self.weight[touched])
+        for c, n in zip(found.tolist(), lost.tolist()):
+            self.count[c] -= n
+        whole = left + right
+        if whole not in self.number:
+            self.number[whole] = len(self.names)
+            self.names.append(whole)
+        self.symbol[at], self.symbol[gone] = self.number[whole], -1
+        nexts = self.after[gone]
+        self.after[at] = nexts
+        self.after[gone] = -1
+        there = nexts >= 0
+        self.before[nexts[there]] = at[there]
+        made = np.unique(np.concatenate((self.before[at], at)))
+        made = made[made >= 0]
+        made = made[self.after[made] >= 0]
+        self.add(made, self.codes(made))
+        return int(self.weight[at].sum())
 
     def learn(self, most: int, known: Iterable[str] = (), first: Iterable[tuple[str, str]] = ()) -> list[tuple[str, str]]:
         """Up to ``most`` merges. Pairs that no longer occur stay candidates and fill up what room is left."""
         out: list[tuple[str, str]] = []
         learnt = set(known)
-        for pair in first:
-            self.retired.add(pair)
-            self.apply(pair)
-            learnt.add(pair[0] + pair[1])
-            out.append(pair)
+        for left, right in first:
+            if left in self.number and right in self.number:
+                self.retired.add(self.number[left] << 32 | self.number[right])
+            self.apply(left, right)
+            learnt.add(left + right)
+            out.append((left, right))
         while len(out) < most and self.heap:
-            n, _, whole, _, pair = heapq.heappop(self.heap)
-            if pair in self.retired:
+            n, _, whole, _, code = heapq.heappop(self.heap)
+            if code in self.retired:
                 continue
-            if -n != self.count[pair]:
-                self.offer(pair)
+            if -n != self.count[code]:
+                self.offer(code)
                 continue
-            self.retired.add(pair)
+            self.retired.add(code)
             if whole in learnt:
                 continue
             learnt.add(whole)
-            out.append(pair)
-            self.apply(pair)
+            out.append(self.pair(code))
+            self.apply(*out[-1])
         return out
 
 
@@ -367,35 +455,34 @@ def learn_distributed(words: DataFrame, spec: TrainerSpec, most: int, known: Ite
 def train_pairs(df: DataFrame, spec: TrainerSpec, normalizer: NormalizerSpec = NormalizerSpec(), seed_merges: tuple[tuple[str, str], ...] = (), protected: tuple[str, ...] = (), local_words: int = LOCAL_WORDS) -> tuple[Model, list[tuple[str, str]]]:
     """A merge vocabulary and its merges in order. Scores are the negated positions; characters follow the merges."""
     rows, chars = covered(training_rows(df, spec, normalizer), spec)
-    words = words_of(rows, spec)
+    words = cut(segments_of(words_of(rows, spec), spec))
     room = spec.vocab_size - len(special_layout(spec)) - len(protected)
     whole = spec.auto_character_coverage
     budget = room if whole else room - len(chars)
     need(budget >= 0, f"vocabulary of {spec.vocab_size} is too small for {len(chars)} characters")
-    local = words.take(local_words + 1)
-    if len(local) <= local_words:
-        merges = PairLearner([(r.word, r.freq) for r in local], spec).learn(budget, protected, seed_merges)
+    few = words.count() <= local_words
+    if few:
+        merges = PairLearner(gathered(words), spec).learn(budget, protected, seed_merges)
     else:
-        words = cut(words)
         merges = learn_distributed(words, spec, budget, known=protected, first=seed_merges)
     names = [c for c, _ in chars]
     if whole:
-        k, names = best_mixture(merge_gains(merges, local) if len(local) <= local_words else merge_gains_distributed(merges, words), [(c, n) for c, n in chars], room)
+        k, names = best_mixture(merge_gains(merges, gathered(words)) if few else merge_gains_distributed(merges, words), [(c, n) for c, n in chars], room)
         merges = merges[:k]
     order = list(dict.fromkeys([*protected, *(a + b for a, b in merges), *names]))
     return assemble(spec, [(p, -float(i)) for i, p in enumerate(order)], normalizer), merges
 
 
-def merge_gains(merges: list[tuple[str, str]], words: list) -> list[int]:
+def gathered(words: DataFrame) -> Iterator[tuple[str, int]]:
+    """``word, freq`` as pairs, of which Python holds a batch at a time."""
+    for b in words.select("word", "freq").toArrow().to_batches():
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+
+def merge_gains(merges: list[tuple[str, str]], words: Iterable[tuple[str, int]]) -> list[int]:
     """How many symbols each merge saves over the weighted words, when applied in order."""
-    learner = PairLearner([(r[0], r[1]) for r in words], TrainerSpec())
-    out = []
-    for pair in merges:
-        before = sum(len(learner.words[n]) * learner.weights[n] for n in learner.at.get(pair, ()))
-        touched = list(learner.at.get(pair, ()))
-        learner.apply(pair)
-        out.append(before - sum(len(learner.words[n]) * learner.weights[n] for n in touched))
-    return out
+    learner = PairLearner(words, TrainerSpec())
+    return [learner.apply(*pair) for pair in merges]
 
 
 def merge_gains_distributed(merges: list[tuple[str, str]], words: DataFrame) -> list[int]:
@@ -557,8 +644,8 @@ def seed_pieces(rows: DataFrame, spec: TrainerSpec, order: str | None = None) ->
     value = (F.col("n") * F.pow(F.char_length("piece"), F.lit(spec.seed_length_power))).cast("bigint")
     parts = rows.select(F.explode(F.split("text", "\x1f", -1)).alias("text"), "freq", *([order] if order else [])).filter("text <> ''")
     top = repeated_substrings(parts, spec, order).withColumn("value", value)
-    top = top.orderBy(F.col("value").desc(), F.octet_length("piece").desc(), "piece").limit(spec.seed_size).collect()
-    found = [*letters, *sorted(((r.piece, r.value) for r in top), key=lambda x: (-x[1], -len(x[0].encode()), x[0]))]
+    top = top.orderBy(F.col("value").desc(), F.octet_length("piece").desc(), "piece").limit(spec.seed_size).select("piece", "value").toArrow()
+    found = [*letters, *sorted(zip(top["piece"].to_pylist(), top["value"].to_pylist()), key=lambda x: (-x[1], -len(x[0].encode()), x[0]))]
     total = math.log(sum(n for _, n in found))
     return [(p, math.log(n) - total) for p, n in found]
 
@@ -578,8 +665,8 @@ def newest(name: str, make: Callable[[], Trainable]) -> Trainable:
     return _newest[name]
 
 
-def over_pieces(rows: DataFrame, pieces: list[tuple[str, float]], count: Callable[[Trainable, Iterator[pa.RecordBatch]], tuple[list[int], list[float]]]) -> list:
-    """``id, n`` summed over what each partition of rows ``text, freq`` counts: one row a piece. The pieces go once to each executor."""
+def over_pieces(rows: DataFrame, pieces: list[tuple[str, float]], count: Callable[[Trainable, Iterator[pa.RecordBatch]], tuple[list[int], list[float]]]) -> tuple[np.ndarray, float]:
+    """n by id, summed over what each partition of rows ``text, freq`` counts, and that of id -1. The pieces go once to each executor."""
     name, sent = uuid4().hex, rows.sparkSession.sparkContext.broadcast(([p for p, _ in pieces], [s for _, s in pieces]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,9 +674,12 @@ def over_pieces(rows: DataFrame, pieces: list[tuple[str, float]], count: Callabl
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n, pa.float64())], names=["id", "n"])
 
     try:
-        return rows.select("text", "freq").mapInArrow(each, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        got = rows.select("text", "freq").mapInArrow(each, "id int, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row a piece
     finally:
         sent.destroy()
+    counts = np.zeros(len(pieces) + 2)
+    counts[got["id"].to_numpy() + 1] = got["n"].to_numpy()
+    return counts[1:-1], float(counts[0])
 
 
 def expected_counts(rows: DataFrame, pieces: list[tuple[str, float]], known_only: bool = False) -> tuple[np.ndarray, float]:
@@ -607,14 +697,7 @@ def expected_counts(rows: DataFrame, pieces: list[tuple[str, float]], known_only
                     total += kernel.expected(t, w, counts, known_only)
         return [-1, *counts], [total, *counts.values()]
 
-    counts = np.zeros(len(pieces) + 1)
-    likelihood = 0.0
-    for r in over_pieces(rows, pieces, expect):
-        if r.id < 0:
-            likelihood = r.n
-        else:
-            counts[r.id] = r.n
-    return counts[: len(pieces)], likelihood
+    return over_pieces(rows, pieces, expect)
 
 
 def viterbi_counts(rows: DataFrame, pieces: list[tuple[str, float]]) -> np.ndarray:
@@ -626,10 +709,7 @@ def viterbi_counts(rows: DataFrame, pieces: list[tuple[str, float]]) -> np.ndarr
                     counts[i] += w
         return list(counts), list(counts.values())
 
-    counts = np.zeros(len(pieces) + 1)
-    for r in over_pieces(rows, pieces, best):
-        counts[r.id] = r.n
-    return counts[: len(pieces)]
+    return over_pieces(rows, pieces, best)[0]
 
 
 def maximised(pieces: list[tuple[str, float]], counts: np.ndarray) -> list[tuple[str, float]]:

@@ -352,6 +352,32 @@ def test_encoded_rows_of_a_stream_stay_off_the_driver(spark, tmp_path):
     assert out.count() == 50 and "FileScan" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merges_over_stretches_are_those_over_words(spark):
+    lines = ["abc漢字abc 12ab3 漢字漢字 e\u0301te\u0301 \u0301ab", "漢字abcかな 漢字 e\u0301te\u0301x ababab aaaa", "abcabc漢漢漢 12 12ab"]
+    for spec in (TrainerSpec("bpe"), TrainerSpec("bpe", split_by_number=False), TrainerSpec("bpe", whitespace_as_suffix=True), TrainerSpec("bpe", split_digits=True)):
+        words = L.words_of(spark.createDataFrame([("▁" + x.replace(" ", "▁"), n + 1) for n, x in enumerate(lines)], "text string, freq bigint"), spec)
+        parts = L.segments_of(words, spec)
+        want = L.PairLearner([(r.word, r.freq) for r in words.collect()], spec).learn(60)
+        assert len(want) > 5 and L.PairLearner(L.gathered(parts), spec).learn(60) == want
+        assert L.merge_gains(want, L.gathered(parts)) == L.merge_gains(want, L.gathered(words)) == L.merge_gains_distributed(want, words)
+    assert {r.word for r in L.segments_of(spark.createDataFrame([("▁abc漢字12x", 1)], "word string, freq bigint"), TrainerSpec("bpe")).collect()} == {"▁abc", "漢字", "12"}
+
+
+def test_merges_on_the_driver_are_held_in_arrays():
+    import tracemalloc
+
+    import random
+
+    rng = random.Random(1)
+    words = [("▁" + "".join(rng.choices("abcdefghij", k=12)), 1) for _ in range(20_000)]
+    tracemalloc.start()
+    try:
+        assert len(L.PairLearner(words, TrainerSpec("bpe")).learn(50)) == 50
+        assert tracemalloc.get_traced_memory()[1] < 150 * 20_000 * 12 / 2  # bytes; with sets of words it is several times that
+    finally:
+        tracemalloc.stop()
+
+
 def test_continued_merges(spark):
     rows = spark.createDataFrame([("▁abab", 5), ("▁abc", 4), ("▁aaa", 3)], "text string, freq bigint")
     alphabet = (N.Piece(0, "<unk>", "UNKNOWN", False), *(N.Piece(i, c, "NORMAL", True, True) for i, c in enumerate("▁abc", 1)))
