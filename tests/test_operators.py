@@ -378,6 +378,13 @@ def test_merges_on_the_driver_are_held_in_arrays():
         tracemalloc.stop()
 
 
+def test_a_worker_holds_the_kernel_of_one_step():
+    one = L.newest("one", lambda: L.Trainable(["a"], [-1.0]))
+    assert L.newest("one", lambda: None) is one
+    L.newest("two", lambda: L.Trainable(["b"], [-1.0]))
+    assert list(L._newest) == ["two"]
+
+
 def test_continued_merges(spark):
     rows = spark.createDataFrame([("▁abab", 5), ("▁abc", 4), ("▁aaa", 3)], "text string, freq bigint")
     alphabet = (N.Piece(0, "<unk>", "UNKNOWN", False), *(N.Piece(i, c, "NORMAL", True, True) for i, c in enumerate("▁abc", 1)))
