@@ -22,9 +22,9 @@ from ..kernels.merges import RankedProgram
 from ..kernels.model import Model
 from ..kernels.text import valid_piece
 from ..kernels.unigram import UnigramKernel
-from ..session import cut
+from ..session import cut, tidied
 from ..spec import NORMAL, RARE, TYPE_NUMBERS, USER_DEFINED, TrainerSpec, need
-from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, prefix_counts, words_of
+from .training import LOCAL_WORDS, expected_counts, joined, merge_passes, prefix_counts, segments_of, words_of
 
 
 @dataclass(frozen=True)
@@ -359,9 +359,10 @@ def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec
     own = [(p, s) for p, s, t in prior.pieces if t == NORMAL]
     need(own and all(math.isfinite(s) for _, s in own), "the prior has no normal piece, or one without a finite score")
     scores, lengths = np.array([s for _, s in own]), np.array([len(p) for p, _ in own], float)
-    words = cut(words_of(rows, spec).select(F.col("word").alias("text"), "freq"))
-    spelled = spark.createDataFrame([(p,) for p, _, t in prior.pieces if t in (NORMAL, USER_DEFINED)], "piece string")
-    missing = sorted(((r.piece, r.n) for r in uncovered(words, spelled).collect()), key=lambda x: (-x[1], x[0]))  # at most all of Unicode
+    with tidied(spark):
+        words = cut(words_of(rows, spec).select(F.col("word").alias("text"), "freq"))
+        spelled = spark.createDataFrame([(p,) for p, _, t in prior.pieces if t in (NORMAL, USER_DEFINED)], "piece string")
+        missing = sorted(((r.piece, r.n) for r in uncovered(words, spelled).collect()), key=lambda x: (-x[1], x[0]))  # at most all of Unicode
     need(len(missing) <= new, f"{len(missing)} characters need pieces of their own")
     if not new:
         return prior, 0.0
@@ -372,7 +373,10 @@ def continue_unigram(rows: DataFrame, prior: Model, new: int, spec: TrainerSpec
     marks = sorted({p for p, _, t in prior.pieces if t not in (NORMAL, "UNUSED")} | set(fences))
     view = words.select(F.explode(unfenced_stretches("text", marks)).alias("text"), "freq")
     inherited = spark.createDataFrame([(p,) for p, _, _ in prior.pieces], "piece string")
-    pool = on_basis(candidates(view, inherited, spec, max(new, spec.seed_size)), own, required)
+    with tidied(spark):
+        if spec.split_by_whitespace:  # then no valid piece goes beyond a stretch, and there are far fewer of them than words
+            view = segments_of(view.withColumnRenamed("text", "word"), spec).withColumnRenamed("word", "text")
+        pool = on_basis(candidates(view, inherited, spec, max(new, spec.seed_size)), own, required)
     need(not hard_limit or len(pool) + len(required) >= new, f"only {len(pool) + len(required)} of {new} new pieces can be spelled by the prior")
 
     # The basis and the tied candidates hold all mass together.

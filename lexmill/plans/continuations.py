@@ -68,8 +68,10 @@ def continued_unigram(spark, d):
     own = [(p, s) for p, s, t in prior.pieces if t == "NORMAL"]
     gauge = N.solve_gauge(np.array([s for _, s in own], float), np.array([len(p) for p, _ in own], float), 0.9)
     prior = Model(tuple((p, s + gauge * len(p) if t == "NORMAL" else s, t) for p, s, t in prior.pieces), prior.trainer, prior.normalizer)
-    missing = N.uncovered(_rows(spark, d), _vocab(spark, d).filter("type in ('NORMAL', 'USER_DEFINED')").select("piece")).count()
-    model, gauge = N.continue_unigram(_rows(spark, d), prior, missing + 600, TrainerSpec("unigram", seed_size=20_000), hard_limit=False)
+    once = lambda texts: C.normalized(texts, PLAIN).select("text", F.lit(1).cast("bigint").alias("freq"))
+    # Which characters there are doesn't depend on rows that come twice, and words are added up whether or not texts were.
+    missing = N.uncovered(once(table(spark, d, "refrow").filter("text is not null").select("text")), _vocab(spark, d).filter("type in ('NORMAL', 'USER_DEFINED')").select("piece")).count()
+    model, gauge = N.continue_unigram(once(_texts(spark, d)), prior, missing + 600, TrainerSpec("unigram", seed_size=20_000), hard_limit=False)
     return V.vocabulary(spark, model).select("piece_id", "piece", F.round(F.col("score").cast("double"), 3).alias("score"), "type")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 
@@ -65,6 +67,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Deletes what a query shuffled when it ends; else it stays until the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled by DataFrames that are made, collected and cut in here is deleted at once. Not for ``toArrow``, which still runs when Spark deletes."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def spread(spark: SparkSession) -> int:
     """The number of partitions for a shuffle whose number must be stated."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -1,6 +1,7 @@
 """Operators on small tables: goldens, rejections, nulls and empty tables, invariance."""
 
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -19,6 +20,7 @@ from lexmill.operators import training as L
 from lexmill.operators import vocabulary as V
 from lexmill.plans import models as queries
 from lexmill.plans.models import program
+from lexmill.session import cut, tidied
 from lexmill.sources import model_files, rejects
 from lexmill.spec import NormalizerSpec, SpecError, TrainerSpec
 from lexmill.streaming import streams
@@ -549,6 +551,25 @@ def test_unigram_continuation_is_stationary_and_keeps_the_mass(spark):
     assert N.base_mass(scores, lengths, N.stationary_gauge(scores, lengths, 0.0, 5.0)) == pytest.approx(N.NO_MASS, abs=1e-6)
 
 
+def test_unigram_continuation_sends_stretches_and_leaves_no_shuffle_files(spark, monkeypatch):
+    sent = []
+    take = N.candidates
+    monkeypatch.setattr(N, "candidates", lambda view, *a: sent.extend((r.text, r.freq) for r in view.collect()) or take(view, *a))
+    rows = spark.createDataFrame([("▁abc漢字12x", 2), ("▁abcd漢字", 3)], "text string, freq bigint")
+    prior = Model((("<unk>", 0.0, "UNKNOWN"), *((c, -4.0, "NORMAL") for c in "▁abcd漢字12x")), TrainerSpec("unigram"), DUMMY)
+    model, _ = N.continue_unigram(rows, prior, 3, hard_limit=False)
+    assert sorted(sent) == [("12", 2), ("▁abc", 2), ("▁abcd", 3), ("漢字", 5)]
+    assert "漢字" in normal(model)
+    dirs = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*.data")}
+    before = files()
+    with tidied(spark):
+        assert len(cut(rows.groupBy("text").agg(F.sum("freq").alias("freq"))).collect()) == 2
+    assert not files() - before
+    rows.groupBy("text").agg(F.sum("freq").alias("freq")).collect()
+    assert files() - before
+
+
 def test_unigram_continuation_fences_and_faults(spark):
     _, prior, model, _ = continued(spark, fences=("cd",))
     assert not [p for p, _, _ in model.pieces[len(prior.pieces) :] if "cd" in p]
