@@ -74,7 +74,7 @@ class BatchEncoder:
         ids = self.known.get(word)
         if ids is None:
             m, full = self.model, SPACE + word
-            ids = tuple(i for _, i, _, _ in m.finished(full, m.segment(full)))
+            ids = tuple(m.finished_ids(full, m.segment(full)))
             if len(self.known) >= KNOWN_WORDS:
                 self.known.clear()
             self.known[word] = ids

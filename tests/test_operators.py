@@ -354,6 +354,21 @@ def test_encoded_rows_of_a_stream_stay_off_the_driver(spark, tmp_path):
     assert out.count() == 50 and "FileScan" in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_ids_of_words_are_taken_without_building_their_pieces(monkeypatch, fallback):
+    pieces = [("<unk>", 0.0, "UNKNOWN"), ("▁", -2.0, "NORMAL"), ("a", -1.5, "NORMAL"), ("▁a", -1.0, "NORMAL"), ("ab", -2.5, "NORMAL")]
+    model = Model((*pieces, *((f"<0x{n:02X}>", 0.0, "BYTE") for n in range(256) if fallback)), TrainerSpec("unigram", byte_fallback=fallback), DUMMY).checked()
+    rng = random.Random(2)
+    rows = ["".join(rng.choice("abxé漢😀 ") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["x" * 99, "", None]
+    want = [None if t is None else model.encode(t) for t in rows]
+
+    def refuse(*_):
+        raise AssertionError("pieces were built")
+
+    monkeypatch.setattr(Model, "finished", refuse)
+    assert S.BatchEncoder(model)(S.pa.array(rows)).to_pylist() == want
+
+
 def test_merges_over_stretches_are_those_over_words(spark):
     lines = ["abc漢字abc 12ab3 漢字漢字 e\u0301te\u0301 \u0301ab", "漢字abcかな 漢字 e\u0301te\u0301x ababab aaaa", "abcabc漢漢漢 12 12ab"]
     for spec in (TrainerSpec("bpe"), TrainerSpec("bpe", split_by_number=False), TrainerSpec("bpe", whitespace_as_suffix=True), TrainerSpec("bpe", split_digits=True)):
